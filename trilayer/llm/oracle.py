@@ -34,6 +34,30 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+pos AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+occ AS (
+  SELECT r, i, n.n, item
+  FROM pos CROSS JOIN (SELECT DISTINCT n FROM win) n
+  JOIN win ON win.n = n.n AND win.g = array_to_string(w[i : i + n.n - 1], ' ')
+  WHERE i + n.n - 1 <= len(w)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM occ) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
+
 OP8 = r"""
 WITH t AS (
   SELECT conv_id, role, text,
@@ -51,4 +75,4 @@ SELECT conv_id, n AS n_turns, n_copies, rendered FROM u ANTI JOIN inner_ USING (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3, "op8_chat_formatting": OP8}
+    return {"op3_source_mixing": OP3, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8}
