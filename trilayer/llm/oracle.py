@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM g a JOIN g b USING (s) WHERE a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 9 * i >= 4 * (x.n + y.n)),
+reach AS (
+  SELECT r AS a, r AS b FROM d
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = b GROUP BY a),
+k AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, doc_id IS NOT DISTINCT FROM class_id AS kept
+FROM d JOIN c USING (r) LEFT JOIN k USING (r)
+"""
+
 OP3 = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
@@ -75,4 +96,4 @@ SELECT conv_id, n AS n_turns, n_copies, rendered FROM u ANTI JOIN inner_ USING (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8}
+    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8}
