@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trilayer.llm.license_join import TEMPLATES
+
 OP1 = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -95,5 +97,29 @@ SELECT conv_id, n AS n_turns, n_copies, rendered FROM u ANTI JOIN inner_ USING (
 """
 
 
+OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (SELECT r, doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM d),
+phrase(label, p) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+template(label, t) AS (VALUES %s),
+ts AS (SELECT label, list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM template),
+place AS (
+  SELECT r, label, i - 1 AS word
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN phrase ON w[i] = p[1] AND w[i : i + len(p) - 1] = p),
+block AS (SELECT r, list_distinct(regexp_extract_all(b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM d)),
+match AS (
+  SELECT r, label, c FROM (SELECT r, label, CAST(len(list_intersect(b, t)) AS DOUBLE) / len(t) AS c FROM block CROSS JOIN ts)
+  WHERE c >= 0.8),
+bl AS (SELECT r, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r),
+al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM place UNION ALL SELECT r, label FROM match) GROUP BY r),
+sc AS (SELECT r, max(c) AS c FROM match GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END AS score
+FROM w LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)
+""" % ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8}
+    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10}

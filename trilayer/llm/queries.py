@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilayer.llm import conversations, decontam, mixing, ngram_join
+from trilayer.llm import conversations, decontam, license_join, mixing, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +43,20 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_join.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.col(x)["label"] for x in c]))), ",")
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.col("places")["word"]).alias("first_word"),
+        F.array_max(F.col("places")["word"]).alias("last_word"),
+        labels("places").alias("base_labels"),
+        labels("places", "matches").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("matches")["containment"]), F.lit(0.0))).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op8_chat_formatting)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op8_chat_formatting, op10_license_scan)}
