@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilayer.llm import conversations, decontam, license_join, mixing, ngram_join
+from trilayer.llm import conversations, decontam, license_join, mixing, ngram_join, pii_crf
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii_crf.KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_join.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.col(x)["label"] for x in c]))), ",")
@@ -59,4 +67,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op8_chat_formatting, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op8_chat_formatting, op9_pii, op10_license_scan)}
