@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilayer.llm import conversations, decontam, license_join, mixing, ngram_join, pii_crf
+from trilayer.llm import conversations, decontam, license_join, mixing, ngram_join, pii_crf, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.collapse(_table(spark, sf_dir, "conversations"))
 
@@ -67,4 +73,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op8_chat_formatting, op9_pii, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op7_quality_classifier, op8_chat_formatting, op9_pii, op10_license_scan)}
