@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilayer.llm import conversations, decontam, license_join, mixing, ngram_join, pii_crf, quality
+from trilayer.llm import conversations, decontam, kneser_ney, license_join, mixing, ngram_join, pii_crf, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.label(docs, ngram_join.join(docs))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.count(docs.where(~kneser_ney.held_out(F.col("doc_id"))))
+    scored = kneser_ney.score(docs, model)
+    out = kneser_ney.held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", out, "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", F.col("lm_score").alias("score"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -73,4 +81,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op6_benchmark_decontamination, op7_quality_classifier, op8_chat_formatting, op9_pii, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_source_mixing, op6_benchmark_decontamination, op7_quality_classifier, op8_chat_formatting, op9_pii, op10_license_scan)}
