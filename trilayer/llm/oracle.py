@@ -57,6 +57,24 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP4 = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT r AS a, r AS b FROM v
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = b GROUP BY a),
+k AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN k USING (r)
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -122,4 +140,4 @@ FROM w LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10}
+    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op4_embedding_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10}
