@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 4 << 20
-_STEP = 1 << 21
+_STEP = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trilayer.llm._forest import local_roots
 from trilayer.llm._spark import components, cut, small
 from trilayer.llm._text import gram_hashes, mix64, pieces, word_hashes, words
 
@@ -114,15 +115,17 @@ def _deeper(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 class Leaders:
     """Connects the rows of one large bucket in a single pass.
 
-    A row is joined to every leader within the threshold's distance plus a
+    A row is joined to the leaders within the threshold's distance plus a
     leader's radius (plus slack for the sketch), and becomes a leader when none
     lies within the radius.  Distances obey the triangle inequality, so of two
-    linked rows the later meets the earlier one's leader.
+    linked rows the later meets the earlier one's leader.  Pairs form a forest:
+    a row gives one, and two leaders that a row joins give one at most.
     """
 
     def __init__(self, near: float, radius: float = 0.1):
         self.lowest, self.close = math.floor((near - radius) * SLOTS), math.ceil((1 - radius) * SLOTS)
         self.rid, self.sig = np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16)
+        self.group = np.zeros(0, np.int64)
 
     def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros((len(a), len(b)), np.int16)
@@ -143,7 +146,17 @@ class Leaders:
             self.rid, self.sig = np.concatenate([self.rid, r[new]]), np.concatenate([self.sig, s[new]])
             same = np.concatenate([same, self._same(s, s[new])], axis=1)
             a, b = np.nonzero(same >= self.lowest)
-            edges.append((r[a], self.rid[b]))
+            first = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
+            edges.append((r[a[first]], self.rid[b[first]]))
+            self.group = np.concatenate([self.group, np.arange(len(self.group), len(self.rid))])
+            more = np.flatnonzero(~first)
+            if len(more):
+                lead = b[np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))][more]
+                x, y = self.group[lead], self.group[b[more]]
+                apart = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+                if len(apart):
+                    edges.append((self.rid[apart[:, 0]], self.rid[apart[:, 1]]))
+                    self.group = local_roots(len(self.rid), apart[:, 0], apart[:, 1])[self.group]
         return edges
 
 
@@ -153,15 +166,22 @@ def _meet(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordB
     path, rid, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16)
     open_: Leaders | None = None
 
+    def stars(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Connected rows, each with the smallest rid of its part: buckets that hold the same sets give the same pairs."""
+        root = local_roots(len(at), a, b)
+        least = rid[at].copy()
+        np.minimum.at(least, root, rid[at])
+        return rid[at], least[root]
+
     def small_groups(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in sorted(set(size.tolist())):
             at = first[size == s][:, None] + np.arange(s)[None, :]
             x, y = np.triu_indices(s, 1)
-            a, b = at[:, x].ravel(), at[:, y].ravel()
-            for k in range(0, len(a), _PAIRS):
-                p, q = a[k : k + _PAIRS], b[k : k + _PAIRS]
-                ok = (sig[p] == sig[q]).sum(axis=1) >= need
-                yield rid[p[ok]], rid[q[ok]]
+            for k in range(0, len(at), max(1, _PAIRS // len(x))):
+                part = at[k : k + max(1, _PAIRS // len(x))]
+                ok = (sig[part[:, x]] == sig[part[:, y]]).sum(axis=2) >= need
+                g, c = np.nonzero(ok)
+                yield stars(part.ravel(), g * s + x[c], g * s + y[c])
 
     def groups(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nonlocal path, rid, sig, open_
@@ -179,7 +199,10 @@ def _meet(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordB
         f, z = first[whole], size[whole]
         yield from small_groups(f[(z > 1) & (z <= 48)], z[(z > 1) & (z <= 48)])
         for a, n in zip(f[z > 48], z[z > 48], strict=True):
-            yield from Leaders(near).add(rid[a : a + n], sig[a : a + n])
+            pairs = Leaders(near).add(rid[a : a + n], sig[a : a + n])
+            order = np.argsort(rid[a : a + n])
+            place = lambda x, a=a, n=n, order=order: order[np.searchsorted(rid[a : a + n], x, sorter=order)]
+            yield stars(np.arange(a, a + n), *(place(np.concatenate(x)) for x in zip(*pairs, strict=True)))
         if not last and len(path) - keep > 20_000:
             open_ = Leaders(near)
             yield from open_.add(rid[keep:], sig[keep:])
