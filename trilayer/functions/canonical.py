@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trilayer.functions.session import materialise
 from trilayer.functions.text import FOLD_FROM, FOLD_TO, FOLD_WIDE, collapse
 
 _TABLE = str.maketrans(dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | FOLD_WIDE)
@@ -40,7 +41,9 @@ def _map_labels(df: DataFrame, pairs: dict[str, str], ascii_form: Callable[[Colu
         for b in batches:
             yield b.assign(_form=b["_label"].map(python_form))
 
-    forms = labels.mapInPandas(run, "_label string, _form string")
+    forms = materialise(labels.mapInPandas(run, "_label string, _form string"))
+    if forms.isEmpty():
+        return df.withColumns({new: F.coalesce(ascii_form(F.col(c)), F.lit("")) for c, new in pairs.items()})
     out = df
     for c, new in pairs.items():
         f = forms.select(F.col("_label").alias(f"_l_{new}"), F.col("_form").alias(f"_f_{new}"))

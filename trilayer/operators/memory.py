@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilayer.functions.canonical import canonical
+from trilayer.functions.session import materialise
 from trilayer.functions.text import hash_id
 
 KEYS = ["head_key", "rel_key", "tail_key"]
@@ -101,11 +102,11 @@ def replace_facts(mem: Memory, rewrites: DataFrame) -> Memory:
     Passages are united; an untyped target inherits the smallest schema of its sources.
     """
     r = canonical(rewrites, {"head": "head_key", "relation": "rel_key", "tail": "tail_key"})
-    r = r.select(F.col("fact_id").alias("old"), fact_id().alias("new"), "head", "relation", "tail", *KEYS)
+    r = materialise(r.select(F.col("fact_id").alias("old"), fact_id().alias("new"), "head", "relation", "tail", *KEYS))
     old = mem.facts.join(r.select(F.col("old").alias("fact_id"), F.col("new")), "fact_id")
     schema = old.groupBy("new").agg(F.min("schema_id").alias("given"))
     named = r.groupBy("new").agg(F.min_by(F.struct("head", "relation", "tail", *KEYS), "old").alias("t"))
-    kept = mem.facts.join(r.select(F.col("old").alias("fact_id")).where("true"), "fact_id", "left_anti")
+    kept = mem.facts.join(r.select(F.col("old").alias("fact_id")), "fact_id", "left_anti")
     fresh = named.join(kept.select(F.col("fact_id").alias("new")), "new", "left_anti").join(old.select("new").distinct(), "new")
     fresh = fresh.select(F.col("new").alias("fact_id"), "t.head", "t.relation", "t.tail", *[f"t.{k}" for k in KEYS], F.lit(0).cast("long").alias("frequency"), F.lit(None).cast("string").alias("schema_id"), F.lit(True).alias("active"))
     facts = kept.unionByName(fresh).join(schema.withColumnRenamed("new", "fact_id"), "fact_id", "left")

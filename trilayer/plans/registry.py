@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilayer.functions.canonical import canonical
+from trilayer.functions.session import materialise
 from trilayer.operators import graph, memory, ontology
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,24 +60,25 @@ class Tables:
 
     @cached_property
     def keyed(self) -> DataFrame:
-        return canonical(self.triples, {"head": "head_key", "relation": "rel_key", "tail": "tail_key", "head_type": "head_type_key", "tail_type": "tail_type_key"})
+        k = canonical(self.triples, {"head": "head_key", "relation": "rel_key", "tail": "tail_key", "head_type": "head_type_key", "tail_type": "tail_type_key"})
+        return materialise(k)
 
     @cached_property
     def mem(self) -> memory.Memory:
-        """Typed memory; facts and links are used several times, so they are kept."""
+        """Typed memory, materialised layer by layer."""
         m = memory.build(self.keyed, self.chunks)
         typed = self.keyed.withColumn("fact_id", memory.fact_id())
-        facts = ontology.link_schemas(m.facts, typed).persist()
-        schemas = ontology.schema_frequency(ontology.dedup_schemas(self.keyed), facts).persist()
-        return m.with_(facts=facts, links=m.links.persist(), schemas=schemas)
+        facts = materialise(ontology.link_schemas(m.facts, typed))
+        schemas = materialise(ontology.schema_frequency(ontology.dedup_schemas(self.keyed), facts))
+        return m.with_(facts=facts, links=materialise(m.links), passages=materialise(m.passages), schemas=schemas)
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return graph.build_nodes(self.mem)
+        return materialise(graph.build_nodes(self.mem))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.build_edges(self.mem).persist()
+        return materialise(graph.build_edges(self.mem))
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -153,13 +155,23 @@ nodes AS MATERIALIZED (
 """
 
 
+_last: dict[str, object] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder; queries of one session share what is derived from the folder read last."""
+    if _last.get("key") != (spark, sf_dir):
+        _last.update(key=(spark, sf_dir), tables=Tables(spark, sf_dir))
+    return _last["tables"]
+
+
 def query(name: str, sql: str | None = None, plain: bool = False) -> Callable:
     """Register a function of ``Tables``; ``sql`` follows the shared prelude unless ``plain``."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"registered twice: {name}")
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
         if sql is not None:
             s = sql.strip()
             joint = ",\n" if s.split(None, 1)[0].upper() not in ("SELECT",) else "\n"
