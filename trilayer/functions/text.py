@@ -107,7 +107,8 @@ def parse_score(text: Column) -> Column:
     named = F.regexp_extract(text, r"(?i)score\s*[:=]\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.try_cast("double"))
     inside = F.filter(numbers, lambda x: (x >= 0) & (x <= 10))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), named)), F.when(F.size(inside) > 0, inside[0]))
+    clamped = F.when(named.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), named)))
+    return F.coalesce(clamped, F.when(F.size(inside) > 0, inside[0]))
 
 
 def has_citation(text: Column) -> Column:

@@ -102,7 +102,7 @@ def normalise_triples(raw: Column) -> Column:
     """Triples from a JSON array of 3-lists or objects; every slot trimmed and not blank."""
     items = F.from_json(raw, "array<string>")
     found = F.filter(F.transform(items, lambda x: _slots(x, ("triple", "processed_triple", "raw_triple"))), lambda r: r.isNotNull())
-    found = F.transform(found, lambda r: F.transform(r, F.trim))
+    found = F.transform(found, lambda r: F.transform(r, lambda x: F.trim(x)))
     return F.coalesce(_structs(F.filter(found, lambda r: F.forall(r, lambda s: s.isNotNull() & (s != "")))), F.array().cast("array<struct<head:string,relation:string,tail:string>>"))
 
 

@@ -20,7 +20,7 @@ def latency_summary(log: DataFrame, by: list[str], col: str = "value") -> DataFr
 
 def throughput(log: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     """Requests a second between the first and the last, errors counted too."""
-    wall = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6
+    wall = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6
     return log.groupBy(*by).agg(F.count("*").alias("requests"), F.coalesce(F.count("*") / F.nullif(wall, F.lit(0.0)), F.lit(0.0)).alias("per_second"))
 
 
