@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trilayer.llm._forest import local_roots
 from trilayer.llm._spark import components, cut
 
-BLOCKS, TILE = 4, 1024
+BLOCKS, TILE = 4, 4096
 _SLACK, _SLAB = 1e-9, 50_000
 
 
@@ -101,23 +101,28 @@ def _tile(rid: np.ndarray, copies: np.ndarray, side: np.ndarray, chunk: np.ndarr
 
 def _join(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile: links and forests of each tile."""
-    key, rows = None, []
+    key, parts = None, []
 
     def flush() -> pa.RecordBatch | None:
-        if len(rows) < 2:
+        if sum(len(p[0]) for p in parts) < 2:
             return None
-        rid, copies, side, chunk, vector = zip(*rows, strict=True)
-        a, root, n = _tile(np.array(rid), np.array(copies), np.array(side), np.array(chunk), np.array(vector, np.float64), key[2], key[4:], threshold, blocks)
+        rid, copies, side, chunk, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, root, n = _tile(rid, copies, side, chunk, raw, key[2], key[4:], threshold, blocks)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(root), pa.array(n)], names=["a", "b", "n"]) if len(a) else None
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("label", "dim", "block", "place", "i", "j", "rid", "copies", "side", "chunk", "vector")]
-        for label, dim, block, place, i, j, *row in zip(*cols, strict=True):
-            if (k := (label, dim, block, place, i, j)) != key:
+        keys = list(zip(*[batch.column(c).to_pylist() for c in ("label", "dim", "block", "place", "i", "j")], strict=True))
+        cols = [batch.column(c).to_numpy() for c in ("rid", "copies", "side", "chunk")]
+        edge = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if a == b:
+                continue
+            if keys[a] != key:
                 if (made := flush()) is not None:
                     yield made
-                key, rows = k, []
-            rows.append(row)
+                key, parts = keys[a], []
+            raw = batch.column("vector").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            parts.append((*[c[a:b] for c in cols], raw.reshape(b - a, key[1])))
     if (made := flush()) is not None:
         yield made
 
