@@ -15,9 +15,9 @@ _GROUPED = f"source string, questions map<string,array<struct<{_QUESTION.replace
 STRATEGIES = "FRP"
 
 
-def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(idx, title, text) of JSON lists; blank texts dropped, in file order."""
-    d = spark.read.schema("title string, text string").json(path, multiLine=True).select(F.monotonically_increasing_id().alias("idx"), "title", "text")
+def read_corpus(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True) -> DataFrame:
+    """(idx, title, text) of JSON lists (or JSON lines); blank texts dropped, in file order."""
+    d = spark.read.schema("title string, text string").json(path, multiLine=multi_line).select(F.monotonically_increasing_id().alias("idx"), "title", "text")
     d = d.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     return d.orderBy("idx").limit(limit) if limit else d
 
@@ -33,10 +33,10 @@ def _examples(q: DataFrame) -> DataFrame:
     return q.select(F.coalesce("id", "_id").alias("example_id"), ok.alias("question"), gold_answers(answers, F.col("answer_aliases")).alias("gold_answers"), gold_docs(F.col("supporting_facts"), F.col("paragraphs"), F.col("source")).alias("gold_docs"), F.coalesce("type", F.lit("")).alias("question_type"))
 
 
-def read_questions(spark: SparkSession, path: str, types: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def read_questions(spark: SparkSession, path: str, types: list[str] | None = None, limit: int | None = None, multi_line: bool = True) -> DataFrame:
     """Examples of flat records and of records that group questions by type."""
-    flat = spark.read.schema(_QUESTION + ", questions string").json(path, multiLine=True).where("questions is null").drop("questions")
-    grouped = spark.read.schema(_GROUPED).json(path, multiLine=True).where("questions is not null")
+    flat = spark.read.schema(_QUESTION + ", questions string").json(path, multiLine=multi_line).where("questions is null").drop("questions")
+    grouped = spark.read.schema(_GROUPED).json(path, multiLine=multi_line).where("questions is not null")
     g = grouped.select(F.col("source").alias("_s"), F.explode("questions").alias("_type", "_qs")).select("_s", "_type", F.explode("_qs").alias("q"))
     cols = [c for c in flat.columns if c not in ("type", "source")]
     g = g.select(*[F.col(f"q.{c}").alias(c) for c in cols], F.col("_type").alias("type"), F.coalesce("q.source", "_s").alias("source"))
@@ -84,7 +84,7 @@ def decode_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8"))
     pdf = F.substring("content", 1, 4) == F.lit(b"%PDF")
     t = files.withColumn("text", text)
-    why = F.when(pdf, "needs a parser").when(F.col("text").isNull(), "not UTF-8").when(F.trim("text") == "", "blank").when(F.rlike(F.trim("text"), F.lit(r"^b['\"]")), "byte literal")
+    why = F.when(pdf, "needs a parser").when(F.col("text").isNull(), "not UTF-8").when(F.rlike("text", F.lit(r"^\s*$")), "blank").when(F.rlike(F.trim("text"), F.lit(r"^b['\"]")), "byte literal")
     t = t.withColumn("reason", why)
     return t.where("reason is null").drop("reason", "content"), t.where("reason is not null").select("doc_id", "file_path", "reason")
 
@@ -107,9 +107,9 @@ def route_files(files: DataFrame, rules: DataFrame, default: str = "legacy") ->
     return best.select("file_path", F.coalesce(F.nullif("_e", F.lit("")), F.col("rule.engine"), F.lit(default)).alias("engine"), F.when(letter == "", F.lit("F")).otherwise(letter).alias("strategy"))
 
 
-def read_extractions(spark: SparkSession, path: str) -> DataFrame:
+def read_extractions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Records of extraction files, raw JSON lists kept as text."""
-    d = spark.read.schema("docs array<struct<idx:string,passage:string,extracted_entities:string,extracted_triples:string,failed:boolean,error:string>>").json(path, multiLine=True)
+    d = spark.read.schema("docs array<struct<idx:string,passage:string,extracted_entities:string,extracted_triples:string,failed:boolean,error:string>>").json(path, multiLine=multi_line)
     return d.select(F.explode("docs").alias("d")).select("d.*")
 
 
