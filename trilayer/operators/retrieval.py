@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilayer.functions.session import materialise
 from trilayer.functions.text import basename, defang, hash_id
 from trilayer.operators.vectors import knn
 
@@ -84,27 +85,24 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return s.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("p"))
 
 
-def ppr(reset: DataFrame, adj: DataFrame, damping: float = 0.5, steps: int = 20, cut_every: int = 5) -> DataFrame:
+def ppr(reset: DataFrame, adj: DataFrame, damping: float = 0.5, steps: int = 20) -> DataFrame:
     """Personalised PageRank of all questions: (query_id, node_id, mass).
 
     x = (1 - d) r + d (P'x + dangling r), from x = r, a fixed number of steps
     (error at most 2 d^steps).  Each step is one join on the node and one sum
-    combined before the shuffle; the adjacency is partitioned once.  Lineage is
-    cut by a checkpoint every few steps where a checkpoint folder is set.
+    combined before the shuffle; the adjacency is partitioned once.  A step's
+    result is used twice by the next, so each is checkpointed: plans stay small
+    and a lost executor costs one step.
     """
-    spark = reset.sparkSession
     a = adj.repartition("src").persist()
     degree = a.select(F.col("src").alias("node_id")).distinct()
     r = reset.persist()
     x = r
-    saved = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    for k in range(1, steps + 1):
+    for _ in range(steps):
         moved = x.join(a, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), (F.col("mass") * F.col("p") * damping).alias("mass"))
         loose = x.join(degree, "node_id", "left_anti").groupBy("query_id").agg(F.sum("mass").alias("d"))
         back = r.join(loose, "query_id", "left").select("query_id", "node_id", (F.col("mass") * (F.lit(1 - damping) + damping * F.coalesce("d", F.lit(0.0)))).alias("mass"))
-        x = moved.union(back).groupBy("query_id", "node_id").agg(F.sum("mass").alias("mass"))
-        if saved and k % cut_every == 0 and k < steps:
-            x = x.checkpoint()
+        x = materialise(moved.union(back).groupBy("query_id", "node_id").agg(F.sum("mass").alias("mass")))
     return x
 
 
