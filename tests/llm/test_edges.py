@@ -232,3 +232,23 @@ def test_license(spark, docs, none):
     every = license_join.scan(docs).collect()
     assert len(every) == len(ROWS) and all(not r.places and not r.matches for r in every)
     assert license_join.scan(none).count() == 0
+
+
+def test_line_links_of_many_variants_are_complete(spark):
+    import random
+
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choice("etanirsodhl") for _ in range(6)) for _ in range(12))
+    lines = {base}
+    while len(lines) < 200:
+        w = base.split()
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(4, 12)
+            w[k] = "".join(rng.choice("etanirs") for _ in range(6)) if rng.random() < 0.7 else w[k][:-1] + rng.choice("xyz")
+        lines.add(" ".join(w))
+    lines = sorted(lines)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    ids = {r.h: r.text for r in df.select(F.xxhash64("text").alias("h"), "text").collect()}
+    got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(df).collect()}
+    want = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
+    assert got == want and len(want) > 20

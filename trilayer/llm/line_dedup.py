@@ -4,21 +4,29 @@ A line of some length, cut into threshold + 1 segments, shares at least one
 whole segment with every line within the threshold's edits.  Each distinct line
 gives hashes of its own segments and of the substrings that could equal a
 segment of an equally long or shorter line (only positions that edits on both
-sides allow).  Lines that share a hash are candidates; Spark's banded
-``levenshtein(a, b, threshold)`` verifies them on the lines themselves.
+sides allow).  Lines that share a hash and whose letter counts differ by no more than the edits
+allow are candidates; Spark's banded ``levenshtein(a, b, threshold)`` verifies
+them on the lines themselves.
+
+Many lines that share a hash (variants of one line) would give many candidates.
+Each of them is first measured against a few pivots of its hash: by the triangle
+inequality two lines within the threshold are about equally far from every
+pivot, so only such pairs become candidates.
 
 Only hashes are shuffled, except for the texts of candidate lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilayer.llm._spark import cut, small
 
 #: Edits up to which lines are copies; characters from which a line is looked at.
 EDITS, LEAST = 2, 20
+#: Lines of one hash from which pivots are used, how many, and the distance up to which they are measured.
+MANY, PIVOTS, REACH = 64, 8, 40
 
 
 def lines_of(text: Column) -> Column:
@@ -27,7 +35,7 @@ def lines_of(text: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r", "  "))
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _segment(length: Column, parts: int, k: int) -> tuple[Column, Column]:
@@ -36,13 +44,35 @@ def _segment(length: Column, parts: int, k: int) -> tuple[Column, Column]:
     return (F.lit(k) * q + F.greatest(F.lit(0), F.lit(k) - short) + 1).cast("int"), (q + F.when(F.lit(k) >= short, 1).otherwise(0)).cast("int")
 
 
-def segment_keys(line: Column, edits: int) -> tuple[Column, Column]:
-    """(hashes of own segments, hashes of substrings to look up) of a line.
+#: Letters whose counts (modulo 16) a line is known by.
+LETTERS = "etanirso"
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of ``LETTERS``, four bits each."""
+    n = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        out = out + n(c) * F.lit(16**k).cast("long")
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Least sum of differences that two packed counts leave possible; an edit changes it by two at most."""
+    out = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
+        out = out + F.least(d, 16 - d)
+    return out
+
+
+def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
+    """(hashes of own segments, hashes of substrings to look up, null where none fits) of a line of n characters.
 
     A substring stands for segment k of a line shorter by d: its start may be
     moved by at most k edits before it, and at most edits - k after it.
     """
-    n, parts = F.length(line), edits + 1
+    parts = edits + 1
     own, looked = [], []
     for d in range(edits + 1):
         for k in range(parts):
@@ -56,7 +86,7 @@ def segment_keys(line: Column, edits: int) -> tuple[Column, Column]:
                 else:
                     fits = (start + move >= 1) & (start + move + size - 1 <= n)
                     looked.append(F.when(fits, key))
-    return F.array(*own), F.array_compact(F.array(*looked))
+    return F.array(*own), F.array(*looked)
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -68,16 +98,42 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, b): hashes of distinct lines that 1 to ``edits`` edits part, a < b."""
     occ = _occurrences(docs, id_col, text_col, least)
-    own, looked = segment_keys(F.col("line"), edits)
-    lines = occ.select(F.xxhash64("line").alias("id"), own.alias("own"), looked.alias("looked"))
-    lines = lines.groupBy("id").agg(F.first("own").alias("own"), F.first("looked").alias("looked"))
-    keys = lines.select("id", F.posexplode(F.concat("own", "looked")).alias("at", "key"))
-    left = keys.where(F.col("at") <= edits).select("key", F.col("id").alias("x"))
-    pairs = left.join(keys.select("key", F.col("id").alias("y")), "key").where("x <> y")
-    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = occ.select(F.xxhash64("line").alias("id"), "line").join(small(ids, 16), "id", "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")))
+    own, looked = segment_keys(F.col("line"), F.col("n"), edits)
+    lines = occ.withColumn("n", F.length("line")).select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("c"), own.alias("own"), looked.alias("looked"))
+    lines = lines.groupBy("id").agg(F.first("c").alias("c"), F.first("own").alias("own"), F.first("looked").alias("looked"))
+    rows = lines.select("id", "c", F.posexplode(F.concat("own", "looked")).alias("at", "key")).where("key is not null")
+    by = Window.partitionBy("key")
+    met = rows.select("key", "id", "c", (F.col("at") <= edits).alias("own"), F.count("*").over(by).alias("n"), F.min("at").over(by).alias("first"))
+    met = cut(met.where((F.col("n") > 1) & (F.col("first") <= edits)).select("key", "id", "c", "own", "n"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        found = occ.select(F.xxhash64("line").alias("id"), "line").join(small(ids, 16), "id", "left_semi")
+        return cut(found.groupBy("id").agg(F.first("line").alias("line")))
+
+    def candidates(m: DataFrame, more: Column | None = None) -> DataFrame:
+        a, b = m.where("own").alias("a"), m.alias("b")
+        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (counts_apart(F.col("a.c"), F.col("b.c")) <= 2 * edits)
+        got = a.join(b, on if more is None else on & more)
+        return got.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+    pairs = candidates(met.where(F.col("n") <= MANY))
+    large = met.where(F.col("n") > MANY).drop("n").distinct()
+    if not large.isEmpty():
+        lines_of_large = fetch(cut(large.select("id").distinct()))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(1)), "id"))
+        pivots = large.select("key", "id").distinct().withColumn("p", rank).where(F.col("p") <= PIVOTS)
+        pivots = pivots.join(lines_of_large.withColumnRenamed("line", "pivot"), "id").select("key", "p", "pivot")
+        far = large.join(lines_of_large, "id").join(pivots, "key")
+        away = F.levenshtein("line", "pivot", REACH)
+        far = far.select("key", "id", "c", "own", "p", F.when(away < 0, REACH + 1).otherwise(away).alias("d"))
+        far = far.groupBy("key", "id", "c", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]).alias("d"))
+        far = cut(far.select("*", *[F.coalesce(F.get("d", F.lit(k)), F.lit(0)).alias(f"d{k}") for k in range(PIVOTS)]).drop("d"))
+        alike = F.lit(True)
+        for k in range(PIVOTS):
+            alike = alike & (F.abs(F.col(f"a.d{k}") - F.col(f"b.d{k}")) <= edits)
+        pairs = pairs.union(candidates(far, alike))
+    pairs = cut(pairs.distinct())
+    texts = fetch(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     t = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     return t.where(F.levenshtein("la", "lb", edits) >= 1).select("a", "b")
 
