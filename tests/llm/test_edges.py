@@ -252,3 +252,24 @@ def test_line_links_of_many_variants_are_complete(spark):
     got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(df).collect()}
     want = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
     assert got == want and len(want) > 20
+
+
+def test_license_over_several_lines(spark):
+    import textwrap
+
+    for label, notice in license_join.TEMPLATES:
+        wrapped = "\n".join("# " + x for x in textwrap.wrap(notice, 24))
+        assert "\n" in wrapped
+        apart = wrapped.replace("\n", "\n\n")
+        rows = [(1, f"Own words.\n\n{wrapped}\n\nMore words."), (2, f"Own words.\n{apart}\n\nMore words."), (3, apart), (4, f"Own words.\n\n{notice}\n\nMore words.")]
+        got = {r.doc_id: r for r in license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        last = wrapped.count("\n")
+        want = {1: (2, 2 + last), 2: (1, 1 + 2 * last), 3: (0, 2 * last)}
+        for i, (a, b) in want.items():
+            assert (label, a, b, 1.0) in [tuple(s) for s in got[i].spans], (i, label)
+        assert not got[4].spans and label in [m.label for m in got[4].matches]
+    lines = [textwrap.fill(t, 70) for _, t in license_join.TEMPLATES if len(t) > 100]
+    halves = [(9, lines[0].split("\n")[0]), (10, lines[0].split("\n")[1]), (11, None), (12, ""), (13, "\n\n")]  # a window stays in its row
+    got = license_join.scan(spark.createDataFrame([*enumerate(lines), *halves], "doc_id long, text string").coalesce(1)).collect()
+    assert [{s.label for s in r.spans} for r in got] == [{"mit"}, {"bsd"}, set(), set(), set(), set(), set()]
+    assert [r.matches for r in got] == [[]] * 7

@@ -1,7 +1,9 @@
 """License scans as an exact set-similarity join.
 
-Text blocks (lines) are joined with license templates where the block's words
-contain at least the threshold's share of a template's words.  Tokens are put in
+Text blocks are joined with license templates where the block's words contain at
+least the threshold's share of a template's words.  Blocks are lines and, for
+notices that are wrapped, windows over several lines of as many words as the
+template has (in whole paragraphs, short templates are found scattered).  Tokens are put in
 one global order, rarest first, by the number of blocks of the whole corpus that
 hold them.  A block qualifies only if it holds a token of the template's prefix
 (prefix filter), is long enough (length filter) and has enough tokens left from
@@ -51,6 +53,7 @@ class Templates:
         if sum(len(t) for _, t in templates) > TEMPLATE_CHARS:
             raise ValueError("too many templates for one pass: join them in several tables")
         sets = [(label, sorted(set(text_word_hashes(t).tolist()))) for label, t in templates]
+        self.length = [n for n in (len(text_word_hashes(t)) for _, t in templates) if n]
         self.phrases = [(label, text_word_hashes(p)) for p, label in phrases.items()]
         every = sorted({x for _, s in sets for x in s} | {int(x) for _, p in self.phrases for x in p})
         self.vocabulary = np.array(every, np.uint64)
@@ -118,14 +121,62 @@ def _match(block: np.ndarray, token: np.ndarray, words_in: np.ndarray, tp: Templ
         yield t, candidates[shared >= need], shared[shared >= need]
 
 
+def _windows(ids: np.ndarray, wf: np.ndarray, block: np.ndarray, lines: dict[int, tuple[np.ndarray, np.ndarray]], tp: Templates) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(template, first words, last words, shared tokens) of windows over several lines that share more than each of these alone.
+
+    lines: by template, the lines that meet the threshold and their shared tokens.
+    A window starts and ends with a word of the template and lies in one row.
+    """
+    known = np.flatnonzero(ids >= 0)
+    token = ids[known]
+    for t, members in enumerate(tp.sets):
+        place = np.full(len(tp.vocabulary), -1, np.int64)
+        place[members[np.argsort(tp.rank[members])]] = np.arange(len(members))
+        p, need = place[token], tp.need[t]
+        at, p = known[p >= 0], p[p >= 0]
+        if not len(at):
+            continue
+        end = np.minimum(at + tp.length[t], wf[np.searchsorted(wf, at, side="right")])
+        hi = np.searchsorted(at, end)
+        rare = np.concatenate(([0], np.cumsum(p <= len(members) - need)))
+        lo = np.arange(len(at))
+        ok = (hi - lo >= need) & (rare[hi] > rare[lo]) & (block[at] != block[at[hi - 1]])
+        lo, hi = lo[ok], hi[ok]
+        if not len(lo):
+            continue
+        owner = np.repeat(np.arange(len(lo)), hi - lo)
+        shared = np.bincount(_pairs(owner, p[spans_of(lo, hi - lo)], len(members))[0], minlength=len(lo))
+        ok = shared >= need
+        if t in lines:
+            hits, alone = lines[t]
+            a, b = np.searchsorted(hits, block[at[lo]]), np.searchsorted(hits, block[at[hi - 1]], side="right")
+            for k in np.flatnonzero(ok & (a < b)).tolist():
+                ok[k] = shared[k] > alone[a[k] : b[k]].max()
+        if ok.any():
+            yield t, at[lo[ok]], at[hi[ok] - 1], shared[ok]
+
+
+def _best(first: np.ndarray, last: np.ndarray, shared: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of windows that overlap, sorted by their first words, the one that shares most, the first of equal ones."""
+    out, reach = [], -1
+    for w in zip(first.tolist(), last.tolist(), shared.tolist(), strict=True):
+        if w[0] > reach:
+            out.append(w)
+        elif w[2] > out[-1][2]:
+            out[-1] = w
+        reach = max(reach, w[1])
+    return out
+
+
 _PLACE = pa.struct([("label", pa.string()), ("word", pa.int64())])
 _MATCH = pa.struct([("label", pa.string()), ("block", pa.int64()), ("containment", pa.float64())])
+_SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], tp: Templates, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        count, places, matches = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
+        count, places, matches, spans = np.zeros(n, np.int64), *([[] for _ in range(n)] for _ in range(3))
         for i, wf, ids, block, first, n_blocks in _blocks(batch.column(text), tp):
             count[i : i + len(wf) - 1] = np.diff(wf)
             for label, seq in tp.sequences:
@@ -140,36 +191,45 @@ def _scan(batches: Iterator[pa.RecordBatch], tp: Templates, text: str) -> Iterat
             b, ranked = _pairs(block[known], tp.rank[ids[known]], len(tp.vocabulary))
             token = np.argsort(tp.rank)[ranked]
             words_in = np.bincount(block, minlength=n_blocks)
+            lines = {}
             for t, hits, shared in _match(b, token, words_in, tp):
+                lines[t] = hits, shared
                 row = np.searchsorted(first, hits, side="right") - 1
                 for r, x, s in zip(row.tolist(), (hits - first[row]).tolist(), shared.tolist(), strict=True):
                     matches[i + r].append((x, tp.labels[t], s / len(tp.sets[t])))
+            for t, *found in _windows(ids, wf, block, lines, tp):
+                for a, z, s in _best(*found):
+                    r = int(np.searchsorted(wf, a, side="right")) - 1
+                    spans[i + r].append((int(block[a] - first[r]), int(block[z] - first[r]), tp.labels[t], s / len(tp.sets[t])))
         arrays = [
             pa.array(count),
             pa.array([[{"label": b, "word": a} for a, b in sorted(p)] for p in places], pa.list_(_PLACE)),
             pa.array([[{"label": b, "block": a, "containment": c} for a, b, c in sorted(m)] for m in matches], pa.list_(_MATCH)),
+            pa.array([[{"label": c, "first": a, "last": b, "containment": d} for a, b, c, d in sorted(m)] for m in spans], pa.list_(_SPAN)),
         ]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "n_words", "places", "matches"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "n_words", "places", "matches", "spans"])
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """``docs`` with license phrases and template matches of each row.
 
     Adds n_words (long), places (array of label and word: where a phrase's words
-    stand consecutively) and matches (array of label, block and containment:
-    lines whose word set holds ``threshold`` or more of a template's).  Words
-    are runs of letters and digits, A-Z lower-cased.
+    stand consecutively), matches (array of label, block and containment: lines
+    whose word set holds ``threshold`` or more of a template's) and spans (array
+    of label, first, last and containment: the lines of the best of overlapping
+    windows of the template's number of words, that hold more than each line alone).
+    Words are runs of letters and digits, A-Z lower-cased.
 
     Null or empty text: no words, nothing found.  Templates without words match
     nothing.  Repeated rows and null ids: each row has its own result.  A block
     that meets several templates, and ties between blocks, are all reported.
-    Empty table: no rows.  All columns pass through; the three added names must
+    Empty table: no rows.  All columns pass through; the four added names must
     not be taken.
     """
-    if clash := {"n_words", "places", "matches"} & set(docs.columns):
+    if clash := {"n_words", "places", "matches", "spans"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
     tp = Templates(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, threshold)
     counts = docs.select(text_col).mapInArrow(lambda it: _count(it, tp), "token long, blocks long").groupBy("token").agg(F.sum("blocks").alias("blocks"))
     tp.order({r["token"]: r["blocks"] for r in counts.collect()})  # one row per template word at most
-    added = T._parse_datatype_string("n_words long, places array<struct<label:string,word:long>>, matches array<struct<label:string,block:long,containment:double>>")
+    added = T._parse_datatype_string("n_words long, places array<struct<label:string,word:long>>, matches array<struct<label:string,block:long,containment:double>>, spans array<struct<label:string,first:long,last:long,containment:double>>")
     return docs.mapInArrow(lambda it: _scan(it, tp, text_col), T.StructType(docs.schema.fields + added.fields))

@@ -84,8 +84,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(F.col("places")["word"]).alias("first_word"),
         F.array_max(F.col("places")["word"]).alias("last_word"),
         labels("places").alias("base_labels"),
-        labels("places", "matches").alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("matches")["containment"]), F.lit(0.0))).alias("score"),
+        labels("places", "matches", "spans").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.concat(F.col("matches")["containment"], F.col("spans")["containment"])), F.lit(0.0))).alias("score"),
     )
 
 
