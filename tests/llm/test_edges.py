@@ -273,3 +273,14 @@ def test_license_over_several_lines(spark):
     got = license_join.scan(spark.createDataFrame([*enumerate(lines), *halves], "doc_id long, text string").coalesce(1)).collect()
     assert [{s.label for s in r.spans} for r in got] == [{"mit"}, {"bsd"}, set(), set(), set(), set(), set()]
     assert [r.matches for r in got] == [[]] * 7
+
+
+def test_ngram_join_recall_when_all_buckets_are_large(spark, monkeypatch):
+    pairs, rows = 1500, []
+    for i in range(pairs):
+        common = " ".join(f"c{i}x{k}" for k in range(84))  # 80 shingles, and 10 more on each side
+        rows += [(2 * i + side, common + "".join(f" s{side}x{i}x{k}" for k in range(10))) for side in (0, 1)]
+    monkeypatch.setattr(ngram_join, "BUCKET", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = sum(r.n_links for r in ngram_join.join(df).collect()) / 2
+    assert met >= 0.992 * pairs

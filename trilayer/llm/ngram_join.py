@@ -39,13 +39,22 @@ _PAIRS = 100_000
 def runs_for(threshold: float, depth: int, recall: float) -> int:
     """Runs after which a pair at the threshold has met with the target probability.
 
-    The shared children of such a pair number one on average at each node, so
-    it survives a level with 1 - exp(-survival of the rest).
+    depth: levels that a pair may have to survive.  The shared children of a
+    pair that agrees in k slots number k / (threshold * SLOTS) on average at
+    each node, so it survives a level with 1 - exp(-that * survival of the
+    rest).  k is binomial.
     """
-    q = 1.0
+    if recall >= 1:
+        raise ValueError("no number of runs is certain to meet a pair")
+    k = np.arange(SLOTS + 1)
+    weight = np.array([math.comb(SLOTS, int(x)) * threshold**x * (1 - threshold) ** (SLOTS - x) for x in k.tolist()])
+    q = np.ones(SLOTS + 1)
     for _ in range(depth):
-        q = 1 - math.exp(-q)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
+        q = 1 - np.exp(-q * k / (threshold * SLOTS))
+    runs = 1
+    while weight @ (1 - q) ** runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def row_shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -356,7 +365,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     reps = cut(reps.withColumn("rid", F.monotonically_increasing_id()))
     sets = reps.where("n > 0").select("rid", "sig")
 
-    runs = runs_for(threshold, depth, recall)
+    runs = runs_for(threshold, depth + extra_levels, recall)  # buckets that stay large are met at the last level only
     met = sets.mapInArrow(lambda it: _paths(it, runs, depth, threshold), "path long, rid long")
     edges = None
     for level in range(extra_levels + 1):
