@@ -284,3 +284,16 @@ def test_ngram_join_recall_when_all_buckets_are_large(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     met = sum(r.n_links for r in ngram_join.join(df).collect()) / 2
     assert met >= 0.992 * pairs
+
+
+def test_line_dedup_of_short_lines(spark, none):
+    footer = "Terms | Home | Help"
+    assert len(footer) == 19
+    rows = [(i, f"own {i}\n\n{footer}" + ("\n\nOK\nOK\n--\n--" if i == 0 else "")) for i in range(30)] + [(30, "Terms | Home | Hell"), (31, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = line_dedup.short_repeats(df).collect()
+    assert [(r.n_lines, r.n_repeats) for r in left] == [(63, 30)]
+    assert [(r.n_lines, r.n_repeats) for r in line_dedup.short_repeats(none).collect()] == [(0, 0)]
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(df, short=True).collect()}
+    want = {i: (f"own {i}\n", 1, 0) for i in range(1, 30)} | {0: (f"own 0\n\n{footer}\n\nOK\n--\n--", 1, 0), 30: ("Terms | Home | Hell", 0, 0), 31: (None, 0, 0)}
+    assert got == want

@@ -89,10 +89,10 @@ def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
     return F.array(*own), F.array(*looked)
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(doc, pos, line) of each line that is looked at."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool = False) -> DataFrame:
+    """(doc, pos, line) of each line that is looked at; short: also shorter ones with a letter or digit."""
     d = docs.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    return d.select("doc", "pos", trimmed(F.col("line")).alias("line")).where(F.length("line") >= least)
+    return d.select("doc", "pos", trimmed(F.col("line")).alias("line")).where((F.length("line") >= least) | (F.lit(short) & F.rlike("line", F.lit(r"[\p{L}\p{N}]"))))
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -138,9 +138,9 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return t.where(F.levenshtein("la", "lb", edits) >= 1).select("a", "b")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(doc, exact, near): numbers of the lines that go from each document that loses any."""
-    occ = cut(_occurrences(docs, id_col, text_col, least).select("doc", "pos", F.xxhash64("line").alias("id"), F.unhex(F.md5("line")).alias("h")))
+    occ = cut(_occurrences(docs, id_col, text_col, least, short).select("doc", "pos", F.xxhash64("line").alias("id"), F.unhex(F.md5("line")).alias("h")))
     first = occ.groupBy("id", "h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
     first = cut(first)
     links = cut(near_links(docs, id_col, text_col, edits, least))
@@ -156,11 +156,21 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def short_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """One row (n_lines, n_repeats): lines under ``least`` characters with a letter or digit, and those that repeat an earlier one."""
+    short = _occurrences(docs, id_col, text_col, least, True).where(F.length("line") < least)
+    n = short.groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return n.agg(total(F.col("n")).alias("n_lines"), total(F.col("n") - 1).alias("n_repeats"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """``docs`` without repeated lines, with n_lines, n_exact and n_near.
 
     Lines of ``least`` characters or more (blanks at the ends aside) are looked
-    at; shorter ones stay.  Of equal lines the first stays, by (id, line
+    at; shorter ones stay, and ``short_repeats`` counts the repeats among them.
+    With ``short``, shorter lines that hold a letter or digit are looked at too,
+    for exact repeats alone.  Of equal lines the first stays, by (id, line
     number), nulls first.  A line also goes if one within ``edits`` edits of it
     first occurs earlier.  n_lines counts all lines of the text before, n_exact
     the lines that went as repeats, n_near those that went as near copies.
@@ -173,7 +183,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     """
     if clash := {"n_lines", "n_exact", "n_near"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
-    lost = cut(dropped_lines(docs, id_col, text_col, edits, least))
+    lost = cut(dropped_lines(docs, id_col, text_col, edits, least, short))
     d, l = docs.alias("d"), small(lost, 200).alias("l")  # noqa: E741
     gone = F.concat(F.col("l.exact"), F.col("l.near"))
     lines = lines_of(F.col(f"d.{text_col}"))
