@@ -169,3 +169,17 @@ def test_memory_round_trip(spark, tmp_path):
     m = m.with_(schemas=spark.createDataFrame([("s", 1)], "schema_id string, frequency long"))
     memory.save(m, str(tmp_path / "m"))
     assert memory.load(spark, str(tmp_path / "m")).facts.collect() == m.facts.collect()
+
+
+def test_predictions_are_whole_texts(spark):
+    from types import SimpleNamespace
+
+    from trilayer.operators import evaluation
+    from trilayer.plans import text_queries
+
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(4, text), (5, text)], "doc_id long, text string")
+    p = text_queries._preds(SimpleNamespace(documents=docs))
+    assert {r.prediction for r in p.collect()} == {text}
+    assert {r.example_id: round(r.value, 9) for r in evaluation.token_f1(p).collect()} == {4: 1.0, 5: round(20 / 310, 9)}
+    assert {r.example_id: (r.hit, r.truncated) for r in evaluation.str_acc(p).collect()} == {4: (True, True), 5: (True, True)}
