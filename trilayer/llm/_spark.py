@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows times row bytes up to which a side may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -49,6 +50,24 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def _weight(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return sum((_weight(c[f.name], f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.NumericType):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 24
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _weight(x, kind.elementType)), F.lit(24))
+    return F.lit(8)
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """``df`` (already materialised) with a broadcast hint if its rows are measured to be small."""
+    total = df.agg(F.sum(sum((_weight(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8)).cast("long"))).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,31 +2,36 @@
 
 A line of some length, cut into threshold + 1 segments, shares at least one
 whole segment with every line within the threshold's edits.  Each distinct line
-gives hashes of its own segments and of the substrings that could equal a
-segment of an equally long or shorter line (only positions that edits on both
-sides allow).  Lines that share a hash and whose letter counts differ by no more than the edits
-allow are candidates; Spark's banded ``levenshtein(a, b, threshold)`` verifies
-them on the lines themselves.
-
-Many lines that share a hash (variants of one line) would give many candidates.
-Each of them is first measured against a few pivots of its hash: by the triangle
-inequality two lines within the threshold are about equally far from every
-pivot, so only such pairs become candidates.
+is indexed under hashes of its own segments, and looks up the substrings that
+could equal a segment of an equally long or shorter line (only positions that
+edits on both sides allow).  Pairs that meet, and whose letter counts differ by
+no more than the edits allow, are verified by a banded bit-parallel edit
+distance on the lines themselves.
+
+A segment that many lines own would give many candidates.  Such a group isn't
+paired: the shared segment is taken out of its lines and what is left of them,
+which must again lie within the threshold, is cut into segments of its own, a
+few times over.  Groups that stay large hold lines that differ little; they are
+compared in tiles of bounded size that say which lines have a near one before
+them, not which pairs there are.
 
 Only hashes are shuffled, except for the texts of candidate lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trilayer.llm._spark import cut, small
+from trilayer.llm._spark import cut, measured
 
 #: Edits up to which lines are copies; characters from which a line is looked at.
 EDITS, LEAST = 2, 20
-#: Lines of one hash from which pivots are used, how many, and the distance up to which they are measured.
-MANY, PIVOTS, REACH = 64, 8, 40
+#: Owners of a segment up to which it gives pairs, how often larger groups are cut again, and lines on a tile's side.
+MANY, LEVELS, SIDE = 64, 3, 1000
+_ID = ["h1", "h2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -38,10 +43,9 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _segment(length: Column, parts: int, k: int) -> tuple[Column, Column]:
-    """(start from 1, length) of segment k from 0; the last ones take what doesn't divide."""
-    q, short = F.floor(length / parts), F.lit(parts) - length % parts
-    return (F.lit(k) * q + F.greatest(F.lit(0), F.lit(k) - short) + 1).cast("int"), (q + F.when(F.lit(k) >= short, 1).otherwise(0)).cast("int")
+def line_id(line: Column) -> list[Column]:
+    """128 bits that a line is known by."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
 #: Letters whose counts (modulo 16) a line is known by.
@@ -66,90 +70,239 @@ def counts_apart(a: Column, b: Column) -> Column:
     return out
 
 
-def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
-    """(hashes of own segments, hashes of substrings to look up, null where none fits) of a line of n characters.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def edit_distance(a: Column, b: Column, most: int) -> Column:
+    """Edits between two strings where they are at most ``most``; otherwise some number above it.
+
+    Bit-parallel over a band: bit t of a column's words stands for the row
+    t - ``most`` below the column's own, so that the band moves down by one as
+    the words shift.  The distance is followed along the diagonal that ends in
+    the last cell, where it grows by one in each column whose diagonal step
+    isn't free.
+    """
+    width = 2 * most + 1
+    full = (1 << width) - 1
+    apart = F.abs(F.length(a) - F.length(b))
+    one = lambda x: F.lit(x).cast("long")
+    flip = lambda x: x.bitwiseXOR(one(full))
+
+    def matches(long_: Column, c: Column, j: Column) -> Column:
+        out = one(0)
+        for t in range(width):
+            out = out + F.when(F.get(long_, j + (t - most)) == c, one(1 << t)).otherwise(one(0))
+        return out
+
+    def step(s: Column, x: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
+        free = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(one(full))
+        return let(free, lambda d: follow(s, d, vn.bitwiseOR(flip(d.bitwiseOR(vp))), F.shiftright(d, 1)))
+
+    def follow(s: Column, d: Column, hp: Column, down: Column) -> Column:
+        vp = d.bitwiseAND(s["vp"]).bitwiseOR(flip(down.bitwiseOR(hp)))
+        stays = (d.bitwiseAND(s["bit"]) != 0).cast("long")
+        return F.struct(vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["n"] + 1 - stays).alias("n"), s["bit"].alias("bit"))
+
+    bits = F.array(*[one(1 << (most + d)) for d in range(most + 1)])
+    start = F.struct(one(full & ~((1 << most) - 1)).alias("vp"), one(0).alias("vn"), apart.cast("long").alias("n"), F.get(bits, F.least(apart, F.lit(most))).alias("bit"))
+    swap = F.length(a) < F.length(b)
+    both = F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("long"), F.split(F.when(swap, a).otherwise(b), "").alias("short"))
+    met = let(both, lambda s: F.aggregate(F.transform(s["short"], lambda c, j: matches(s["long"], c, j)), start, step, lambda x: x["n"]))
+    return F.when((apart > most) | (F.length(a) == 0) | (F.length(b) == 0), apart.cast("long")).otherwise(met)
+
+
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(d, k, move): a substring stands for segment k of a line shorter by d, moved by ``move``.
+
+    At most k edits lie before it and edits - k after it.  Own segments come first.
+    """
+    out = [(d, k, move) for d in range(edits + 1) for k in range(edits + 1) for move in range(-edits, edits + 1) if abs(move) <= k and abs(move - d) <= edits - k]
+    return sorted(out, key=lambda p: (p[0] != 0 or p[2] != 0, p))
+
+
+def _segment(length: Column, parts: int, k: Column) -> tuple[Column, Column]:
+    """(start from 1, length) of segment k from 0; the last ones take what doesn't divide."""
+    q, whole = ((length - length % parts) / parts).cast("int"), parts - length % parts
+    return k * q + F.greatest(F.lit(0), k - whole) + 1, q + F.when(k >= whole, 1).otherwise(0)
+
+
+def _hash(line: Column, target: Column, k: Column, at: Column, size: Column, *more: Column) -> Column:
+    """Hash of a substring; all lines give bytes, which are cut out directly where each character is one."""
+    plain = F.length(line) == F.octet_length(line)
+    part = F.when(plain, F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
+    return F.xxhash64(*more, target.cast("int"), k.cast("int"), part)
+
+
+def own_keys(line: Column, edits: int) -> list[Column]:
+    out = []
+    for k in range(edits + 1):
+        at, size = _segment(F.length(line), edits + 1, F.lit(k))
+        out.append(_hash(line, F.length(line), F.lit(k), at, size))
+    return out
+
+
+def _looked(rows: DataFrame, edits: int, keep: list[str], parent: bool = False) -> DataFrame:
+    """A row for each substring of ``line`` to look up: ``keep``, key, d, k, at and size of what it stands for, own.
 
-    A substring stands for segment k of a line shorter by d: its start may be
-    moved by at most k edits before it, and at most edits - k after it.
+    parent: rows come from a larger group (``key``), stand for lines shorter by
+    their d, and are owners only if they were before.
     """
-    parts = edits + 1
-    own, looked = [], []
-    for d in range(edits + 1):
-        for k in range(parts):
-            start, size = _segment(n - d, parts, k)
-            for move in range(-edits, edits + 1):
-                if abs(move) > k or abs(move - d) > edits - k:
-                    continue
-                key = F.xxhash64(n - d, F.lit(k), F.substring(line, start + move, size))
-                if d == 0 and move == 0:
-                    own.append(key)
-                else:
-                    fits = (start + move >= 1) & (start + move + size - 1 <= n)
-                    looked.append(F.when(fits, key))
-    return F.array(*own), F.array(*looked)
+    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(m).alias("move")) for d, k, m in probes(edits)])
+    p = rows.withColumn("n", F.length("line")).withColumn("p", F.explode(table))
+    own = (F.col("p.d") == 0) & (F.col("p.move") == 0)
+    if parent:
+        p, own = p.where(F.col("p.d") == F.col("d")), own & F.col("own")
+    p = p.withColumn("target", F.col("n") - F.col("p.d"))
+    at, size = _segment(F.col("target"), edits + 1, F.col("p.k"))
+    p = p.withColumn("at", (at + F.col("p.move")).cast("int")).withColumn("size", size.cast("int"))
+    p = p.where("target >= 0 and at >= 1 and at + size - 1 <= n")
+    key = _hash(F.col("line"), F.col("target"), F.col("p.k"), F.col("at"), F.col("size"), *([F.col("key")] if parent else []))
+    return p.select(*keep, key.alias("key"), F.col("p.d").alias("d"), "at", "size", own.alias("own"))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool = False) -> DataFrame:
     """(doc, pos, line) of each line that is looked at; short: also shorter ones with a letter or digit."""
     d = docs.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    return d.select("doc", "pos", trimmed(F.col("line")).alias("line")).where((F.length("line") >= least) | (F.lit(short) & F.rlike("line", F.lit(r"[\p{L}\p{N}]"))))
+    d = d.select("doc", "pos", trimmed(F.col("line")).alias("line"))
+    return d.where((F.length("line") >= least) | F.rlike("line", F.lit(r"[\p{L}\p{N}]")) if short else F.length("line") >= least)
+
+
+def _first(occ: DataFrame) -> DataFrame:
+    """Each distinct line: where it stands first, how often, its own segments' keys."""
+    return cut(occ.groupBy(*_ID).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str, least: int, edits: int, short: bool) -> DataFrame:
+    occ = _occurrences(docs, id_col, text_col, least, short)
+    keys = F.when(F.length("line") >= least, F.array(*own_keys(F.col("line"), edits)))
+    return cut(occ.select("doc", "pos", *line_id(F.col("line")), keys.alias("keys")))
+
+
+def _again(occ: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc, again): the lines of each document that repeat an earlier one."""
+    hit = occ.join(measured(cut(first.where("n > 1").select(*_ID, "first"))), _ID).where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
+    return cut(hit.groupBy("doc").agg(F.collect_set("pos").alias("again")))
+
+
+def _distinct_lines(docs: DataFrame, again: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(h1, h2, line) of the lines that don't repeat an earlier one."""
+    d = docs.select(F.col(id_col).alias("doc"), lines_of(F.col(text_col)).alias("lines")).alias("d")
+    d = d.join(measured(again).alias("r"), F.col("d.doc").eqNullSafe(F.col("r.doc")), "left").select("lines", "again")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    d = d.where(F.size("lines") > 0).select("lines", F.explode(F.when(F.col("again").isNull(), every).otherwise(F.array_except(every, F.col("again")))).alias("pos"))
+    d = d.select(trimmed(F.get("lines", "pos")).alias("line")).where(F.length("line") >= least)
+    return d.select(*line_id(F.col("line")), "line")
+
+
+def _meet(own: DataFrame, looked: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a1, a2, b1, b2), rows of ``looked`` whose key has too many owners) by key.
+
+    The index holds the owners of a key that has few of them, else the key once.
+    """
+    large = cut(own.groupBy("key").agg(F.count("*").alias("owners")).where(F.col("owners") > MANY).select("key"))
+    few = own.join(measured(large), "key", "left_anti")
+    index = few.select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2")).unionByName(large.select("key", F.lit(None).cast("long").alias("a1"), F.lit(None).cast("long").alias("a2")))
+    found = looked.join(index.hint("shuffle_hash"), "key").where("a1 is null or a1 <> h1 or a2 <> h2")
+    found = cut(found.select("key", *_ID, "a1", "a2", *more))
+    return found.where("a1 is not null").select("a1", "a2", F.col("h1").alias("b1"), F.col("h2").alias("b2")), found.where("a1 is null").select("key", *_ID, *more)
+
+
+class _Near:
+    """Candidates of a table's lines: ``pairs`` (a1, a2, b1, b2) and tiles of groups that stay large."""
+
+    def __init__(self, docs: DataFrame, first: DataFrame, again: DataFrame, id_col: str, text_col: str, edits: int, least: int):
+        self.first, self.edits = first, edits
+        own = first.where(F.col("keys").isNotNull()).select(*_ID, F.explode("keys").alias("key"))
+        looked = _looked(_distinct_lines(docs, again, id_col, text_col, least), edits, _ID)
+        pairs, large = _meet(own, looked, ["d", "at", "size", "own"])
+        ids = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).union(large.select(*_ID))
+        self.lines = self._fetch(docs, cut(ids.distinct()), id_col, text_col)
+        self.tiles = None
+        if not large.isEmpty():
+            rest = F.concat(F.substring("line", F.lit(1), F.col("at") - 1), F.expr("substring(line, at + size)"))
+            for _ in range(LEVELS):
+                if "line" not in large.columns:
+                    large = large.join(self.lines.select(*_ID, "line"), _ID)
+                rows = cut(_looked(large.select("key", *_ID, "d", "own", rest.alias("line")).withColumn("rest", F.col("line")), edits, [*_ID, "rest"], parent=True))
+                more, large = _meet(rows.where("own").select("key", *_ID), rows.withColumnRenamed("rest", "line"), ["d", "at", "size", "own", "line"])
+                pairs = pairs.union(more)
+                if large.isEmpty():
+                    break
+            else:
+                self.tiles = self._tiles(large.select("key", *_ID, "own").distinct())
+        swap = (F.col("a1") > F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") > F.col("b2")))
+        pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+        self.pairs = cut(pairs.select(pick("a1", "b1", "a1"), pick("a2", "b2", "a2"), pick("b1", "a1", "b1"), pick("b2", "a2", "b2")).distinct())
+
+    def _fetch(self, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(h1, h2, first, c, line) of some lines, read where each stands first."""
+        at = cut(ids.join(self.first, _ID).select(*_ID, "first"))
+        d, need = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).alias("d"), measured(cut(at.select("first.doc").distinct())).alias("r")
+        some = d.join(need, F.col("d.doc").eqNullSafe(F.col("r.doc")), "left_semi").select("doc", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        some = some.select(trimmed(F.col("line")).alias("line")).select(*line_id(F.col("line")), "line")
+        one = some.join(measured(at), _ID).groupBy(*_ID).agg(F.first("first").alias("first"), F.first("line").alias("line"))
+        return cut(one.select(*_ID, "first", letter_counts(F.col("line")).alias("c"), "line"))
+
+    def _tiles(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(owners, lookers) of groups that stay large, with the tiles in which they meet."""
+        rows = cut(rows)
+        sizes = rows.groupBy("key").agg(F.ceil(F.count_if("own") / SIDE).cast("int").alias("m"), F.ceil(F.count("*") / SIDE).cast("int").alias("n"))
+        rows = rows.join(measured(cut(sizes)), "key").join(self.lines, _ID)
+        chunk = lambda parts: F.pmod(F.xxhash64("h1", F.lit(3)), F.col(parts)).cast("int")
+        own = rows.where("own").select("key", chunk("m").alias("i"), F.explode(F.expr("sequence(0, n - 1)")).alias("j"), *_ID, "first", "c", "line")
+        return own, rows.select("key", F.explode(F.expr("sequence(0, m - 1)")).alias("i"), chunk("n").alias("j"), *_ID, "first", "c", "line")
+
+    def _close(self, a: str, b: str) -> Column:
+        near = counts_apart(F.col(f"{a}.c"), F.col(f"{b}.c")) <= 2 * self.edits
+        return near & (edit_distance(F.col(f"{a}.line"), F.col(f"{b}.line"), self.edits) <= self.edits)
+
+    def _verified(self) -> DataFrame:
+        """Pairs within the edits as rows of structs a and b; letter counts are compared before texts are joined."""
+        side = lambda x, cols: self.lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.struct(*cols).alias(x))
+        few = self.pairs.join(side("a", ["c"]), ["a1", "a2"]).join(side("b", ["c"]), ["b1", "b2"])
+        few = cut(few.where(counts_apart(F.col("a.c"), F.col("b.c")) <= 2 * self.edits).select("a1", "a2", "b1", "b2"))
+        cols = [*_ID, "first", "c", "line"]
+        return few.join(side("a", cols), ["a1", "a2"]).join(side("b", cols), ["b1", "b2"]).where(self._close("a", "b")).select("a", "b")
+
+    def links(self) -> DataFrame:
+        """(a, b) as structs (h1, h2, first): all links."""
+        out = self._verified()
+        if self.tiles is not None:
+            a, b = (x.alias(n) for x, n in zip(self.tiles, "ab", strict=True))
+            met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("key", "i", "j")]).where("a.h1 <> b.h1 or a.h2 <> b.h2").where(self._close("a", "b"))
+            side = lambda n: F.struct(*[F.col(f"{n}.{c}").alias(c) for c in (*_ID, "first", "c", "line")]).alias(n)
+            out = out.union(met.select(side("a"), side("b")))
+        return out
+
+    def later(self) -> DataFrame:
+        """(h1, h2) of lines of which a near one stands earlier; a tile stops at the first that it finds for a line."""
+        out = self._verified().select(F.when(F.col("a.first") > F.col("b.first"), F.struct("a.h1", "a.h2")).otherwise(F.struct("b.h1", "b.h2")).alias("x")).select("x.h1", "x.h2")
+        if self.tiles is not None:
+            for x, y in (self.tiles, self.tiles[::-1]):
+                a, b = x.alias("a"), y.alias("b")
+                on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("key", "i", "j")] + [F.col("b.first") < F.col("a.first"), self._close("a", "b")]
+                out = out.union(a.join(b, on, "left_semi").select(*_ID))
+        return cut(out.distinct())
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b): hashes of distinct lines that 1 to ``edits`` edits part, a < b."""
-    occ = _occurrences(docs, id_col, text_col, least)
-    own, looked = segment_keys(F.col("line"), F.col("n"), edits)
-    lines = occ.withColumn("n", F.length("line")).select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("c"), own.alias("own"), looked.alias("looked"))
-    lines = lines.groupBy("id").agg(F.first("c").alias("c"), F.first("own").alias("own"), F.first("looked").alias("looked"))
-    rows = lines.select("id", "c", F.posexplode(F.concat("own", "looked")).alias("at", "key")).where("key is not null")
-    by = Window.partitionBy("key")
-    met = rows.select("key", "id", "c", (F.col("at") <= edits).alias("own"), F.count("*").over(by).alias("n"), F.min("at").over(by).alias("first"))
-    met = cut(met.where((F.col("n") > 1) & (F.col("first") <= edits)).select("key", "id", "c", "own", "n"))
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        found = occ.select(F.xxhash64("line").alias("id"), "line").join(small(ids, 16), "id", "left_semi")
-        return cut(found.groupBy("id").agg(F.first("line").alias("line")))
-
-    def candidates(m: DataFrame, more: Column | None = None) -> DataFrame:
-        a, b = m.where("own").alias("a"), m.alias("b")
-        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (counts_apart(F.col("a.c"), F.col("b.c")) <= 2 * edits)
-        got = a.join(b, on if more is None else on & more)
-        return got.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-
-    pairs = candidates(met.where(F.col("n") <= MANY))
-    large = met.where(F.col("n") > MANY).drop("n").distinct()
-    if not large.isEmpty():
-        lines_of_large = fetch(cut(large.select("id").distinct()))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(1)), "id"))
-        pivots = large.select("key", "id").distinct().withColumn("p", rank).where(F.col("p") <= PIVOTS)
-        pivots = pivots.join(lines_of_large.withColumnRenamed("line", "pivot"), "id").select("key", "p", "pivot")
-        far = large.join(lines_of_large, "id").join(pivots, "key")
-        away = F.levenshtein("line", "pivot", REACH)
-        far = far.select("key", "id", "c", "own", "p", F.when(away < 0, REACH + 1).otherwise(away).alias("d"))
-        far = far.groupBy("key", "id", "c", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]).alias("d"))
-        far = cut(far.select("*", *[F.coalesce(F.get("d", F.lit(k)), F.lit(0)).alias(f"d{k}") for k in range(PIVOTS)]).drop("d"))
-        alike = F.lit(True)
-        for k in range(PIVOTS):
-            alike = alike & (F.abs(F.col(f"a.d{k}") - F.col(f"b.d{k}")) <= edits)
-        pairs = pairs.union(candidates(far, alike))
-    pairs = cut(pairs.distinct())
-    texts = fetch(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    t = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return t.where(F.levenshtein("la", "lb", edits) >= 1).select("a", "b")
+    """(a, b): hashes of distinct lines that 1 to ``edits`` edits part, a < b; one row a link."""
+    occ = _read(docs, id_col, text_col, least, edits, False)
+    first = _first(occ)
+    links = _Near(docs, first, _again(occ, first), id_col, text_col, edits, least).links()
+    return links.select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(doc, exact, near): numbers of the lines that go from each document that loses any."""
-    occ = cut(_occurrences(docs, id_col, text_col, least, short).select("doc", "pos", F.xxhash64("line").alias("id"), F.unhex(F.md5("line")).alias("h")))
-    first = occ.groupBy("id", "h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
-    first = cut(first)
-    links = cut(near_links(docs, id_col, text_col, edits, least))
-    linked = first.select("id", "first")
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    both = both.join(linked, "id").join(linked.select(F.col("id").alias("other"), F.col("first").alias("other_first")), "other")
-    near = both.where("other_first < first").select("id").distinct().withColumn("is_near", F.lit(True))
-    acts = cut(first.join(near, "id", "left").where("n > 1 or is_near").select("h", "first", "is_near"))
-    hit = occ.join(small(acts, 80), "h").where(F.col("is_near") | ~F.struct("doc", "pos").eqNullSafe(F.col("first")))
+    occ = _read(docs, id_col, text_col, least, edits, short)
+    first = _first(occ)
+    near = _Near(docs, first, _again(occ, first), id_col, text_col, edits, least).later().withColumn("is_near", F.lit(True))
+    acts = cut(first.join(measured(near), _ID, "left").where("n > 1 or is_near").select(*_ID, "first", "is_near"))
+    hit = occ.join(measured(acts), _ID).where(F.col("is_near") | ~F.struct("doc", "pos").eqNullSafe(F.col("first")))
     return hit.groupBy("doc").agg(
         F.collect_set(F.when(F.col("is_near").isNull(), F.col("pos"))).alias("exact"),
         F.collect_set(F.when(F.col("is_near"), F.col("pos"))).alias("near"),
@@ -184,14 +337,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     if clash := {"n_lines", "n_exact", "n_near"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
     lost = cut(dropped_lines(docs, id_col, text_col, edits, least, short))
-    d, l = docs.alias("d"), small(lost, 200).alias("l")  # noqa: E741
-    gone = F.concat(F.col("l.exact"), F.col("l.near"))
-    lines = lines_of(F.col(f"d.{text_col}"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    text = F.when(F.col("l.exact").isNull(), F.col(f"d.{text_col}")).otherwise(kept)
-    count = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long")
-    size = F.when(F.col(f"d.{text_col}").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return d.join(l, F.col(f"d.{id_col}").eqNullSafe(F.col("l.doc")), "left").select(
-        *[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns],
-        size.alias("n_lines"), F.greatest(count("l.exact"), F.lit(0)).alias("n_exact"), F.greatest(count("l.near"), F.lit(0)).alias("n_near"),
+    d, l = docs.alias("d"), measured(lost).alias("l")  # noqa: E741
+    whole = F.col(f"d.{text_col}")
+    n = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.concat(F.col("l.exact"), F.col("l.near")))
+    kept = F.array_join(let(lines_of(whole), lambda x: F.transform(stay, lambda i: F.get(x, i))), "\n")
+    count = lambda c: F.greatest(F.coalesce(F.size(F.col(c)), F.lit(0)), F.lit(0)).cast("long")
+    joined = d.join(l, F.col(f"d.{id_col}").eqNullSafe(F.col("l.doc")), "left")
+    return joined.select(
+        *[F.when(F.col("l.exact").isNull(), whole).otherwise(kept).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns],
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), count("l.exact").alias("n_exact"), count("l.near").alias("n_near"),
     )
