@@ -10,8 +10,8 @@ distance on the lines themselves.
 
 A segment that many lines own would give many candidates.  Such a group isn't
 paired: the shared segment is taken out of its lines and what is left of them,
-which must again lie within the threshold, is cut into segments of its own, a
-few times over.  Groups that stay large hold lines that differ little; they are
+which must again lie within the threshold, is cut into segments of its own
+(``LEVELS`` times over).  Groups that stay large hold lines that differ little; they are
 compared in tiles of bounded size that say which lines have a near one before
 them, not which pairs there are.
 
@@ -30,7 +30,7 @@ from trilayer.llm._spark import cut, measured
 #: Edits up to which lines are copies; characters from which a line is looked at.
 EDITS, LEAST = 2, 20
 #: Owners of a segment up to which it gives pairs, how often larger groups are cut again, and lines on a tile's side.
-MANY, LEVELS, SIDE = 64, 3, 1000
+MANY, LEVELS, SIDE = 8, 1, 1000
 _ID = ["h1", "h2"]
 
 
@@ -144,23 +144,37 @@ def own_keys(line: Column, edits: int) -> list[Column]:
     return out
 
 
+def _place(line: Column, p: Column, edits: int) -> tuple[Column, Column, Column, Column]:
+    """(length of the lines meant, segment, start, size) of the substring that probe number p stands for."""
+    d, k, move = (F.get(F.array(*[F.lit(x[c]) for x in probes(edits)]), p) for c in range(3))
+    target = F.length(line) - d
+    at, size = _segment(target, edits + 1, k)
+    return target, k, (at + move).cast("int"), size.cast("int")
+
+
 def _looked(rows: DataFrame, edits: int, keep: list[str], parent: bool = False) -> DataFrame:
-    """A row for each substring of ``line`` to look up: ``keep``, key, d, k, at and size of what it stands for, own.
+    """A row for each substring of ``line`` to look up: ``keep``, key, p (number of the probe), own.
 
-    parent: rows come from a larger group (``key``), stand for lines shorter by
-    their d, and are owners only if they were before.
+    parent: rows come from a larger group (``key``), stand for lines as much
+    shorter as their own probe says, and are owners only if they were before.
     """
-    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(m).alias("move")) for d, k, m in probes(edits)])
-    p = rows.withColumn("n", F.length("line")).withColumn("p", F.explode(table))
-    own = (F.col("p.d") == 0) & (F.col("p.move") == 0)
+    table, own = probes(edits), F.col("q") <= edits
+    numbers = lambda d: F.array(*[F.lit(x) for x, probe in enumerate(table) if d is None or probe[0] == d])
+    mine = numbers(None)
     if parent:
-        p, own = p.where(F.col("p.d") == F.col("d")), own & F.col("own")
-    p = p.withColumn("target", F.col("n") - F.col("p.d"))
-    at, size = _segment(F.col("target"), edits + 1, F.col("p.k"))
-    p = p.withColumn("at", (at + F.col("p.move")).cast("int")).withColumn("size", size.cast("int"))
-    p = p.where("target >= 0 and at >= 1 and at + size - 1 <= n")
-    key = _hash(F.col("line"), F.col("target"), F.col("p.k"), F.col("at"), F.col("size"), *([F.col("key")] if parent else []))
-    return p.select(*keep, key.alias("key"), F.col("p.d").alias("d"), "at", "size", own.alias("own"))
+        mine = F.get(F.array(*[numbers(d) for d in range(edits + 1)]), F.get(F.array(*[F.lit(x[0]) for x in table]), F.col("p")))
+        own = own & F.col("own")
+    out = rows.withColumn("q", F.explode(mine))
+    target, k, at, size = _place(F.col("line"), F.col("q"), edits)
+    out = out.select("*", target.alias("target"), k.alias("k"), at.alias("at"), size.alias("size")).where("target >= 0 and at >= 1 and at + size - 1 <= length(line)")
+    key = _hash(F.col("line"), F.col("target"), F.col("k"), F.col("at"), F.col("size"), *([F.col("key")] if parent else []))
+    return out.select(*keep, key.alias("key"), F.col("q").alias("p"), own.alias("own"))
+
+
+def _rest(line: Column, p: Column, edits: int) -> Column:
+    """A line without the substring that it shares with its group."""
+    _, _, at, size = _place(line, p, edits)
+    return F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + size, F.length(line)))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool = False) -> DataFrame:
@@ -217,17 +231,16 @@ class _Near:
         self.first, self.edits = first, edits
         own = first.where(F.col("keys").isNotNull()).select(*_ID, F.explode("keys").alias("key"))
         looked = _looked(_distinct_lines(docs, again, id_col, text_col, least), edits, _ID)
-        pairs, large = _meet(own, looked, ["d", "at", "size", "own"])
+        pairs, large = _meet(own, looked, ["p", "own"])
         ids = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).union(large.select(*_ID))
         self.lines = self._fetch(docs, cut(ids.distinct()), id_col, text_col)
         self.tiles = None
         if not large.isEmpty():
-            rest = F.concat(F.substring("line", F.lit(1), F.col("at") - 1), F.expr("substring(line, at + size)"))
             for _ in range(LEVELS):
                 if "line" not in large.columns:
                     large = large.join(self.lines.select(*_ID, "line"), _ID)
-                rows = cut(_looked(large.select("key", *_ID, "d", "own", rest.alias("line")).withColumn("rest", F.col("line")), edits, [*_ID, "rest"], parent=True))
-                more, large = _meet(rows.where("own").select("key", *_ID), rows.withColumnRenamed("rest", "line"), ["d", "at", "size", "own", "line"])
+                rows = cut(_looked(large.select("key", *_ID, "p", "own", _rest(F.col("line"), F.col("p"), edits).alias("line")), edits, [*_ID, "line"], parent=True))
+                more, large = _meet(rows.where("own").select("key", *_ID), rows, ["p", "own", "line"])
                 pairs = pairs.union(more)
                 if large.isEmpty():
                     break
