@@ -86,8 +86,12 @@ def test_extraction_restarts_where_it_stopped(spark, tmp_path):
     assert [r.chunk_id for r in failed.collect()] == ["c3"]
     cache = spark.read.parquet(path)
     assert cache.count() == 5 and extraction.missing_chunks(chunks, cache).count() == 1
-    again = extraction.retry_failed(failed, extraction.extract_batch(lambda p: [p], lambda p, e: []))
-    assert not again.first().failed
+    with pytest.raises(extraction.ExtractionError, match="1 of 1 chunks failed twice, c3: model down"):
+        extraction.retry_failed(failed, fn, path)
+    assert spark.read.parquet(path).count() == 5
+    again = extraction.retry_failed(failed, extraction.extract_batch(lambda p: [p], lambda p, e: []), path)
+    assert [r.chunk_id for r in again.collect()] == ["c3"]
+    assert spark.read.parquet(path).count() == 6 and extraction.missing_chunks(chunks, spark.read.parquet(path)).count() == 0
 
 
 def test_safety_valve(spark):
@@ -183,3 +187,50 @@ def test_predictions_are_whole_texts(spark):
     assert {r.prediction for r in p.collect()} == {text}
     assert {r.example_id: round(r.value, 9) for r in evaluation.token_f1(p).collect()} == {4: 1.0, 5: round(20 / 310, 9)}
     assert {r.example_id: (r.hit, r.truncated) for r in evaluation.str_acc(p).collect()} == {4: (True, True), 5: (True, True)}
+
+
+def test_schema_seeds_reach_all_passages_of_an_endpoint(spark):
+    facts = spark.createDataFrame([("f1", "a", "b", "s1", True), ("f2", "a", "c", "s2", True)], "fact_id string, head_key string, tail_key string, schema_id string, active boolean")
+    links = spark.createDataFrame([("f1", "p1"), ("f2", "p2")], "fact_id string, passage_id string")
+    hits = spark.createDataFrame([(1, "s1", 1.0)], "query_id int, id string, score double")
+    got = {r.node_id: r.mass for r in retrieval.schema_seeds(hits, facts, graph.entity_passage_map(facts, links), 0.1, 0.05).collect()}
+    assert abs(got["p1"] - 0.01) < 1e-12 and abs(got["p2"] - 0.005) < 1e-12 and got["s1"] == 0.1
+
+
+def test_final_channel_is_the_first(spark):
+    final = "<|channel|>final<|message|>"
+    want = {
+        f"{final}one<|end|>{final}two": "one", "analysisx assistantfinalfirst assistantfinalsecond": "first assistantfinalsecond", f"{final} kept ": " kept ",
+        "<|channel|>analysis<|message|> thinking <|end|>": "thinking", "<|start|>final words": "words", "analysis of a case": "analysis of a case", "commentaryand more": "commentaryand more", "plain": "plain", "": "",
+    }
+    df = spark.createDataFrame([(x,) for x in want] + [(None,)], "t string")
+    assert {r.t: r.f for r in df.select("t", tx.final_channel(F.col("t")).alias("f")).collect()} == want | {None: None}
+
+
+def test_judge_scores(spark):
+    want = {"SCORE: -3": 3.0, "score=7.25": 7.25, "Score : 42": 10.0, "99 then 4": 4.0, "a5 b6c": None, "10.5 or 10": 10.0, "none": None, "": None}
+    df = spark.createDataFrame([(x,) for x in want], "t string")
+    assert {r.t: r.s for r in df.select("t", tx.parse_score(F.col("t")).alias("s")).collect()} == want
+
+
+def test_search_leaves_unusable_vectors_out(spark):
+    good = [(i, [float(i), 1.0]) for i in range(1, 30)]
+    bad = [(100, None), (101, [0.0, 0.0]), (102, [None, 1.0]), (103, [float("nan"), 1.0]), (104, [1.0]), (105, [])]
+    v = spark.createDataFrame(good + bad, "id long, embedding array<double>")
+    q = v.withColumnRenamed("id", "query_id").where("query_id in (1, 2, 100, 101, 102, 103, 105)")
+    assert {r.query_id for r in vectors.knn(q, v, 3).collect()} == {1, 2}
+    assert all(r.id < 100 for r in vectors.knn(q, v, 40).collect())
+    two = v.where("size(embedding) = 2 or embedding is null")
+    assert {r.query_id for r in vectors.knn_ivf(q.where("query_id <> 105"), two, 3, cells=2, nprobe=2).collect()} == {1, 2}
+
+
+def test_equal_densities_are_spread_like_different_ones(spark):
+    pairs = spark.createDataFrame([("a", "p1"), ("b", "p2")], "entity_id string, passage_id string")
+    got = graph.density(pairs, spark.createDataFrame([("p1",), ("p2",), ("p3",)], "passage_id string")).collect()
+    assert {r.passage_id: round(r.density, 9) for r in got} == {"p1": 0.5, "p2": 0.5, "p3": 0.0}
+
+
+def test_routing_uses_every_rule(spark):
+    rules = spark.createDataFrame([(i, f"x{i}", f"e{i}", "R") for i in range(1500)] + [(2000, "x14.*", "late", "F")], "no int, pattern string, engine string, options string")
+    f = spark.createDataFrame([("/a/b.x1490",), ("/a/b.x14zz",), ("/a/none",), ("/a/c [fast-P].x3",)], "file_path string")
+    assert {r.file_path: (r.engine, r.strategy) for r in files.route_files(f, rules).collect()} == {"/a/b.x1490": ("e1490", "R"), "/a/b.x14zz": ("late", "F"), "/a/none": ("legacy", "F"), "/a/c [fast-P].x3": ("fast", "P")}

@@ -11,9 +11,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """Checkpoint ``df``: it is computed once and its lineage is cut.
 
     The folder is ``spark.checkpoint.dir``; only where the session names none
-    (tests on one machine) is one made.
+    and runs on one machine (tests) is one made.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trilayer-"))
     return df.checkpoint()

@@ -10,9 +10,14 @@ FOLD_FROM = "‐‑‒–—―−‘’‛′`“”‟″  "
 FOLD_TO = "-------'''''\"\"\"\"  "
 # Characters that stand for several.
 FOLD_WIDE = {"…": "...", "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE"}
-# Names of model output channels and their markers.
+# Names of model output channels, their markers, how a reply without markers begins, a marker in general.
 CHANNELS = "analysis|final|commentary"
 FINAL_TAG, FINAL_WORD = "<|channel|>final<|message|>", "assistantfinal"
+WELDED = r"^(analysis|commentary)(?=\S)"
+TAG = r"<\|[^|>]*\|>"
+# A judge's named score and any number in its reply.
+NAMED_SCORE = r"(?i)SCORE\s*[:=]\s*(\d+(?:\.\d+)?)"
+NUMBER = r"(?U)\b(\d+(?:\.\d+)?)\b"
 
 
 def hash_id(content: Column, prefix: str) -> Column:
@@ -84,31 +89,33 @@ def json_object(text: Column) -> Column:
 
 def strip_channels(text: Column) -> Column:
     """Drop ``<|...|>`` tags and the channel names that follow them."""
-    first = F.regexp_replace(text, rf"^({CHANNELS})\b\s*", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(first, rf"<\|[^|>]*\|>({CHANNELS})\b\s*", ""), r"<\|[^|>]*\|>", ""))
+    bare = F.regexp_replace(F.regexp_replace(text, rf"(?U)(^|{TAG})({CHANNELS})\b\s*", ""), TAG, "")
+    return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
 
 
 def final_channel(text: Column) -> Column:
-    """What a reply says in its final channel; a reply without channels stays as it is."""
-    tagged = F.contains(text, F.lit("<|"))
-    plain = F.rlike(text, F.lit(r"^(analysis|commentary)(?=\S)"))
-    after = F.substring_index(text, FINAL_TAG, -1)
+    """What a reply says in its first final channel, blanks included.
+
+    Without markers that is all after the first final word.  A reply that opens
+    a channel but has no final one loses its markers and channel names; one
+    without channels stays as it is.
+    """
+    past = lambda mark: F.substring(text, F.instr(text, mark) + len(mark), F.length(text))
+    welded = F.rlike(text, F.lit(WELDED))
     return (
-        F.when(tagged & F.contains(text, F.lit(FINAL_TAG)), F.trim(F.substring_index(after, "<|", 1)))
-        .when(tagged, strip_channels(text))
-        .when(plain & F.contains(text, F.lit(FINAL_WORD)), F.trim(F.substring_index(text, FINAL_WORD, -1)))
-        .when(plain, strip_channels(text))
+        F.when(F.contains(text, F.lit(FINAL_TAG)), F.substring_index(past(FINAL_TAG), "<|", 1))
+        .when(F.contains(text, F.lit("<|")), strip_channels(text))
+        .when(welded & F.contains(text, F.lit(FINAL_WORD)), past(FINAL_WORD))
+        .when(welded, strip_channels(text))
         .otherwise(text)
     )
 
 
 def parse_score(text: Column) -> Column:
-    """``SCORE: n`` clamped to 0..10, else the first number in that range, else null."""
-    named = F.regexp_extract(text, r"(?i)score\s*[:=]\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.try_cast("double"))
-    inside = F.filter(numbers, lambda x: (x >= 0) & (x <= 10))
-    clamped = F.when(named.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), named)))
-    return F.coalesce(clamped, F.when(F.size(inside) > 0, inside[0]))
+    """``SCORE: n``, 10 at most, else the first number that stands alone and is at most 10, else null."""
+    named = F.regexp_extract(text, NAMED_SCORE, 1).try_cast("double")
+    alone = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), lambda x: x.try_cast("double"))
+    return F.coalesce(F.least(named, F.when(named.isNotNull(), F.lit(10.0))), F.get(F.filter(alone, lambda x: x <= 10), F.lit(0)))
 
 
 def has_citation(text: Column) -> Column:

@@ -65,9 +65,9 @@ def requeue(doc_status: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 
 def process_summary(doc_status: DataFrame) -> DataFrame:
-    """(status, n, ids) of processed and failed documents."""
+    """(status, n, doc_id): processed and failed documents, each with the number of its state."""
     d = doc_status.where(F.col("status").isin("processed", "failed"))
-    return d.groupBy("status").agg(F.count("*").alias("n"))
+    return d.join(F.broadcast(d.groupBy("status").agg(F.count("*").alias("n"))), "status").select("status", "n", "doc_id")  # two rows
 
 
 def search_docs(doc_status: DataFrame, term: str, limit: int = 50) -> DataFrame:

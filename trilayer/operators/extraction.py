@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trilayer.functions.session import materialise
+
 EXTRACTION = "chunk_id string, passage string, entities array<string>, triples array<struct<head:string,relation:string,tail:string>>, failed boolean, error string"
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -56,6 +58,8 @@ def extract(chunks: DataFrame, cache_path: str, fn: BatchFn, buckets: int = 4) -
     """Extract chunks that the cache lacks, one hash bucket after another, each appended before the next.
 
     A restart does only what is missing.  Failures are returned, not cached.
+    Each bucket's replies are checkpointed first, so that no call is made twice
+    when an executor is lost.
     """
     spark = chunks.sparkSession
     failed = None
@@ -66,17 +70,30 @@ def extract(chunks: DataFrame, cache_path: str, fn: BatchFn, buckets: int = 4) -
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        done = run_batches(part, fn, EXTRACTION).persist()
+        done = materialise(run_batches(part, fn, EXTRACTION))
         done.where("not failed").write.mode("append").parquet(cache_path)
         bad = done.where("failed")
         failed = bad if failed is None else failed.unionByName(bad)
     return failed
 
 
-def retry_failed(failed: DataFrame, fn: BatchFn) -> DataFrame:
-    """Second attempt for failed rows; rows that fail again keep their error."""
-    again = failed.select("chunk_id", F.col("passage").alias("content"))
-    return run_batches(again, fn, EXTRACTION)
+class ExtractionError(RuntimeError):
+    """Chunks failed twice; all others are cached."""
+
+
+def retry_failed(failed: DataFrame, fn: BatchFn, cache_path: str) -> DataFrame:
+    """Second attempt for failed rows: recovered ones are appended to the cache and returned.
+
+    Rows that fail again are an error, raised after the others are cached; they
+    stay out of the cache, so the next run tries them once more.
+    """
+    again = materialise(run_batches(failed.select("chunk_id", F.col("passage").alias("content")), fn, EXTRACTION))
+    good = again.where("not failed")
+    good.write.mode("append").parquet(cache_path)
+    bad = again.where("failed").agg(F.count("*").alias("n"), F.min(F.struct("chunk_id", "error")).alias("x")).first()
+    if bad["n"]:
+        raise ExtractionError(f"{bad['n']} of {again.count()} chunks failed twice, {bad['x']['chunk_id']}: {bad['x']['error']}")
+    return good
 
 
 def normalise_entities(raw: Column) -> Column:

@@ -101,7 +101,7 @@ def density(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     x = own.groupBy("passage_id").agg((F.sum(F.log(F.col("n_all") / (1 + F.col("df"))) + 1) / F.log(F.count("*") + F.lit(1.0))).alias("x"))
     x = passages.select("passage_id").join(x, "passage_id", "left").fillna(0.0, ["x"])
     some = F.when(F.col("x") != 0, F.col("x"))
-    stats = x.agg(F.avg(some).alias("mean"), F.count_distinct(some).alias("n"), (F.max(some) - F.min(some)).alias("range"))
+    stats = x.agg(F.avg(some).alias("mean"), F.count(some).alias("n"), (F.max(some) - F.min(some)).alias("range"))
     spread = F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(F.greatest(F.lit(1e-6), F.col("range") / 4))
     z = (F.col("x") - F.coalesce("mean", F.lit(0.0))) / spread
     return x.crossJoin(F.broadcast(stats)).select("passage_id", (1 / (1 + F.exp(-z))).alias("density"))

@@ -39,13 +39,17 @@ def _entity(col: str) -> Column:
     return hash_id(F.col(col), "entity-")
 
 
-def schema_seeds(schema_hits: DataFrame, facts: DataFrame, links: DataFrame, w: float, pw: float) -> DataFrame:
-    """Seeds of linked schemas: the schema, and per linked fact its endpoints and passages."""
+def schema_seeds(schema_hits: DataFrame, facts: DataFrame, pairs: DataFrame, w: float, pw: float) -> DataFrame:
+    """Seeds of linked schemas: the schema and, for each endpoint of its facts, the entity and all of its passages.
+
+    pairs: (entity_id, passage_id).  Endpoints are summed before they meet their passages.
+    """
     s = schema_hits.select("query_id", F.col("id").alias("schema_id"), (F.col("score") * w).alias("m"))
     own = s.select("query_id", F.col("schema_id").alias("node_id"), "m")
-    f = s.join(facts.where("active").select("fact_id", "schema_id", "head_key", "tail_key"), "schema_id")
+    f = s.join(facts.where("active").select("schema_id", "head_key", "tail_key"), "schema_id")
     ends = f.select("query_id", F.explode(F.array(_entity("head_key"), _entity("tail_key"))).alias("node_id"), "m")
-    psg = f.join(links, "fact_id").select("query_id", F.col("passage_id").alias("node_id"), (F.col("m") * pw).alias("m"))
+    ends = ends.groupBy("query_id", "node_id").agg(F.sum("m").alias("m"))
+    psg = ends.join(pairs, F.col("node_id") == F.col("entity_id")).select("query_id", F.col("passage_id").alias("node_id"), (F.col("m") * pw).alias("m"))
     return own.union(ends).union(psg).groupBy("query_id", "node_id").agg(F.sum("m").alias("mass"))
 
 

@@ -25,6 +25,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
+def searchable(vector: Column) -> Column:
+    """Not null, without null or non-finite components, not all zero."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def _top(batches: Iterator[pa.RecordBatch], q: np.ndarray, ids: list, k: int, kinds: pa.DataType) -> Iterator[pa.RecordBatch]:
     """The k best of each batch and question; a last window step merges batches."""
     for b in batches:
@@ -46,7 +52,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
 
     Questions go over all vectors in blocks of bounded size; each task keeps k
     per question, so k rows per question and task are shuffled, not the product.
+    Vectors and questions that are null, zero or hold null or non-finite
+    components have no neighbours and are none; neither are vectors of another
+    dimension than the question's.
     """
+    queries, vectors = (df.where(searchable(F.col("embedding"))) for df in (queries, vectors))
     qid, vid = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     out, block, size = None, [], 0
 
@@ -55,9 +65,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         m, ids = m / np.where(norm > 0, norm, 1), [r["query_id"] for r in rows]
         kind = pa.int64() if qid == "bigint" else pa.int32() if qid == "int" else pa.string()
-        return vectors.select("id", "embedding").mapInArrow(lambda it: _top(it, m, ids, k, kind), f"query_id {qid}, id {vid}, score double")
+        return vectors.where(F.size("embedding") == m.shape[1]).select("id", "embedding").mapInArrow(lambda it: _top(it, m, ids, k, kind), f"query_id {qid}, id {vid}, score double")
 
     for r in queries.select("query_id", "embedding").toLocalIterator():
+        if block and len(r["embedding"]) != len(block[0]["embedding"]):
+            hits, block, size = scan(block), [], 0
+            out = hits if out is None else out.union(hits)
         block.append(r)
         size += 8 * len(r["embedding"])
         if size >= QUERY_BYTES:
@@ -76,8 +89,9 @@ def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 32, npr
     """Approximate search: cells fitted on a bounded sample, every vector indexed, ``nprobe`` cells searched.
 
     Cells are assigned where the vectors lie and joined by number; within a
-    cell the search is exact.
+    cell the search is exact.  Vectors that ``searchable`` refuses are left out.
     """
+    queries, vectors = (df.where(searchable(F.col("embedding"))) for df in (queries, vectors))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -130,11 +130,12 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("chunk_id")
 
 
-@query("x4_retry_failures", "SELECT chunk_id, false AS failed FROM chunks WHERE content LIKE '%LOW'")
+@query("x4_retry_failures", "SELECT chunk_id, CASE WHEN content LIKE '%LOW' THEN 0 ELSE 1 END AS triples FROM chunks")
 def _(t: Tables) -> DataFrame:
-    c = t.chunks.select("chunk_id", "content")
-    first = extraction.run_batches(c, extraction.extract_batch(_entities, _triples), extraction.EXTRACTION).where("failed")
-    return extraction.retry_failed(first, extraction.extract_batch(_entities, lambda p, f: [])).select("chunk_id", "failed")
+    c, path = t.chunks.select("chunk_id", "content"), scratch(t.spark, "cache")
+    failed = extraction.extract(c, path, extraction.extract_batch(_entities, _triples), 2)
+    extraction.retry_failed(failed, extraction.extract_batch(_entities, lambda p, f: []), path)
+    return t.spark.read.parquet(path).select("chunk_id", F.size("triples").cast("long").alias("triples"))
 
 
 @query("f3_verdict_call", "SELECT count(*) AS verdicts, count(*) FILTER (n > 2) AS hard FROM (SELECT count(*) AS n FROM facts GROUP BY head_key, rel_key HAVING count(*) > 1)")

@@ -363,7 +363,7 @@ DENSITY = """
 df AS (SELECT entity_id, count(*) AS df FROM ep GROUP BY entity_id),
 x0 AS (SELECT passage_id, sum(ln((SELECT count(*) FROM passages) / (1.0 + df)) + 1) / ln(count(*) + 1.0) AS x FROM ep JOIN df USING (entity_id) GROUP BY passage_id),
 x1 AS (SELECT passage_id, coalesce(x, 0.0) AS x FROM passages LEFT JOIN x0 USING (passage_id)),
-st AS (SELECT avg(x) AS m, count(DISTINCT x) AS n, max(x) - min(x) AS r FROM x1 WHERE x <> 0),
+st AS (SELECT avg(x) AS m, count(x) AS n, max(x) - min(x) AS r FROM x1 WHERE x <> 0),
 density AS MATERIALIZED (SELECT passage_id, 1 / (1 + exp(-((x - coalesce(m, 0)) / CASE WHEN n <= 1 THEN 1 ELSE greatest(1e-6, r / 4) END))) AS density FROM x1, st)
 """
 
@@ -507,7 +507,7 @@ def _(t: Tables) -> DataFrame:
     return documents.requeue(t.status).select("doc_id", "status", "recovered_from")
 
 
-@query("d7_process_summary", "SELECT status, count(*) AS n FROM status WHERE status IN ('processed', 'failed') GROUP BY status")
+@query("d7_process_summary", "SELECT status, count(*) OVER (PARTITION BY status) AS n, doc_id FROM status WHERE status IN ('processed', 'failed')")
 def _(t: Tables) -> DataFrame:
     return documents.process_summary(t.status)
 

@@ -155,13 +155,15 @@ def _(t: Tables) -> DataFrame:
 h AS (SELECT c_nationkey % 5 AS query_id, schema_id AS id, 0.5::DOUBLE AS score FROM (SELECT DISTINCT c_nationkey FROM customer), schemas WHERE rel_key = 'part of'),
 s AS (SELECT DISTINCT query_id, id, score * 0.1 AS m FROM h),
 f AS (SELECT query_id, m, fact_id, head_key, tail_key FROM s JOIN facts ON schema_id = id),
-u AS (SELECT query_id, id AS node_id, m FROM s UNION ALL SELECT query_id, 'entity-' || md5(unnest([head_key, tail_key])), m FROM f UNION ALL SELECT query_id, passage_id, m * 0.05 FROM f JOIN links USING (fact_id))
+e AS (SELECT query_id, 'entity-' || md5(unnest([head_key, tail_key])) AS node_id, m FROM f),
+u AS (SELECT query_id, id AS node_id, m FROM s UNION ALL SELECT query_id, node_id, m FROM e UNION ALL SELECT query_id, passage_id, m * 0.05 FROM e JOIN ep ON entity_id = node_id)
 SELECT query_id, node_id, round(sum(m), 9) AS mass FROM u GROUP BY 1, 2
 """)
 def _(t: Tables) -> DataFrame:
     q = t.customer.select((F.col("c_nationkey") % 5).alias("query_id")).distinct()
     hits = q.crossJoin(t.mem.schemas.where("rel_key = 'part of'").select(F.col("schema_id").alias("id"))).withColumn("score", F.lit(0.5))
-    return retrieval.schema_seeds(hits, t.mem.facts.withColumn("active", F.lit(True)), t.mem.links, 0.1, 0.05).withColumn("mass", F.round("mass", 9))
+    facts = t.mem.facts.withColumn("active", F.lit(True))
+    return retrieval.schema_seeds(hits, facts, graph.entity_passage_map(facts, t.mem.links), 0.1, 0.05).withColumn("mass", F.round("mass", 9))
 
 
 @query("r5_entity_seeds", HASHED + "SELECT query_id, node_id, round(mass, 9) AS mass FROM es")

@@ -101,15 +101,27 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("t12_final_channel", "SELECT conv_id, turn, trim(text, ' ') AS tagged, trim(text, ' ') AS untagged, text AS plain FROM conversations WHERE NOT contains(text, '<|') AND NOT contains(text, 'assistantfinal') AND NOT regexp_matches(text, '^(analysis|commentary)\\S')")
-def _(t: Tables) -> DataFrame:
-    x = F.col("text")
-    return t.conversations.where(~F.contains(x, F.lit("<|")) & ~F.contains(x, F.lit("assistantfinal")) & ~F.rlike(x, F.lit(r"^(analysis|commentary)\S"))).select(
-        "conv_id", "turn",
-        tx.final_channel(F.concat(F.lit("<|channel|>analysis<|message|>think<|end|><|channel|>final<|message|>"), x, F.lit("<|return|>"))).alias("tagged"),
-        tx.final_channel(F.concat(F.lit("analysisthinking assistantfinal"), x)).alias("untagged"),
-        tx.final_channel(x).alias("plain"),
-    )
+def _final_sql(x: str) -> str:
+    """SQL of what a reply says in its first final channel."""
+    bare = rf"regexp_replace(regexp_replace(regexp_replace({x}, '(^|<\|[^|>]*\|>)(analysis|final|commentary)\b\s*', '', 'g'), '<\|[^|>]*\|>', '', 'g'), '^\s+|\s+$', '', 'g')"
+    return rf"""CASE WHEN contains({x}, '{tx.FINAL_TAG}') THEN string_split(substr({x}, instr({x}, '{tx.FINAL_TAG}') + 27), '<|')[1] WHEN contains({x}, '<|') THEN {bare}
+    WHEN regexp_matches({x}, '^(analysis|commentary)\S') THEN CASE WHEN contains({x}, '{tx.FINAL_WORD}') THEN substr({x}, instr({x}, '{tx.FINAL_WORD}') + 14) ELSE {bare} END ELSE {x} END"""
+
+
+#: Replies around a conversation's text: marked, with two final channels, welded, welded with two final words, without a final channel, plain.
+REPLIES = {
+    "tagged": ("<|channel|>analysis<|message|>think<|end|><|channel|>final<|message|>", "<|return|>"),
+    "twice": ("<|channel|>final<|message|>", "<|end|><|channel|>final<|message|>two"),
+    "welded": ("analysisthinking assistantfinal", ""),
+    "welded_twice": ("commentaryx assistantfinal", " assistantfinal second"),
+    "no_final": ("<|channel|>analysis<|message|>", "<|end|>"),
+    "plain": ("", ""),
+}
+
+
+@query("t12_final_channel", "SELECT conv_id, turn, " + ", ".join(f"{_final_sql(name)} AS {name}" for name in REPLIES) + " FROM (SELECT conv_id, turn, " + ", ".join(f"'{a}' || text || '{b}' AS {name}" for name, (a, b) in REPLIES.items()) + " FROM conversations)")
+def _(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", *[tx.final_channel(F.concat(F.lit(a), F.col("text"), F.lit(b))).alias(name) for name, (a, b) in REPLIES.items()])
 
 
 C1 = """
@@ -289,31 +301,50 @@ def _(t: Tables) -> DataFrame:
     return threads.evict(t.messages, 150, "assistant").select("thread_id", "turn", "cost", "evicted")
 
 
-NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace({0}, '…', '...'), '\\*\\*|__|\\*|_|`+|~~', '', 'g')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+_QUOTED = [x.replace("'", "''") for x in (tx.FOLD_FROM.replace("`", ""), tx.FOLD_TO.replace("\'\'\'\'\'", "\'\'\'\'"))]
+_NOT_WORD = r"[^\p{L}\p{N}\p{M}_]"
+_STEPS = [
+    (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^\s{0,3}(#{1,6}\s+|>\s+|[-*+]\s+|\d+[.)]\s+)", ""), (r"\*\*|__|\*|_|`+|~~", ""), (r"[\[【]\s*\d+(?:\s*,\s*\d+)*\s*[\]】]", " "),
+    (None, None), (r"[!-/:-@\[-`{-~]", " "), (f"({_NOT_WORD})", "\\1\x01"), (rf"(^|\x01)(a|an|the)({_NOT_WORD}|$)", r"\1 \3"), ("\x01", ""),
+    (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "),
+]
+
+
+def norm(text: str) -> str:
+    """SQL of the comparison form of an SQL string; a word's borders are marked, since the dialect can't look around."""
+    out = f"replace(translate(coalesce({text}, ''), '{_QUOTED[0]}', '{_QUOTED[1]}'), '…', '...')"
+    for pattern, by in _STEPS:
+        out = f"lower({out})" if pattern is None else f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"trim({out})"
+
+
 PREDS = f"""
-pred AS (SELECT doc_id AS example_id, regexp_extract_all(text, '\\S+') AS w FROM documents),
-pp AS (SELECT example_id, array_to_string(w[1:40], ' ') AS prediction, array_to_string(w[3:12], ' ') AS g1, array_to_string(w[1:40], ' ') AS g2, example_id % 4 AS m FROM pred),
-nn AS (SELECT example_id, string_split({NORM.format("prediction")}, ' ') AS p, string_split({NORM.format("g1")}, ' ') AS g1, string_split({NORM.format("g2")}, ' ') AS g2, m FROM pp)
+pred AS (SELECT doc_id AS example_id, text, array_to_string(regexp_extract_all(text, '\\S+')[3:12], ' ') AS g1 FROM documents),
+pt AS MATERIALIZED (SELECT example_id, {norm("text")} AS p FROM pred),
+gt AS MATERIALIZED (SELECT example_id, 1 AS no, {norm("g1")} AS g FROM pred UNION ALL SELECT example_id, 2, p FROM pt WHERE example_id % 4 = 0),
+pw AS MATERIALIZED (SELECT example_id, p, CASE WHEN p = '' THEN 0 ELSE len(string_split(p, ' ')) END AS np FROM pt),
+gw AS MATERIALIZED (SELECT example_id, no, g, CASE WHEN g = '' THEN 0 ELSE len(string_split(g, ' ')) END AS ng FROM gt)
+"""
+STR_ACC = PREDS + """,
+sh AS (SELECT example_id, bool_or(ng > 0 AND contains(' ' || array_to_string(string_split(p, ' ')[1:WINDOW], ' ') || ' ', ' ' || g || ' ')) AS hit, min(ng) FILTER (ng > 0) AS least, any_value(np) AS np FROM pw JOIN gw USING (example_id) GROUP BY example_id),
+sa AS (SELECT example_id, hit, hit AND np > 10 * least AS "verbose", np > WINDOW AS truncated FROM sh)
 """
 
 
 def _preds(t: Tables) -> DataFrame:
     w = tx.word_tokens(F.col("text"))
     golds = F.when(F.col("doc_id") % 4 == 0, F.array(F.array_join(F.slice(w, 3, 10), " "), F.col("text"))).otherwise(F.array(F.array_join(F.slice(w, 3, 10), " ")))
-    plain = F.regexp_replace(F.col("text"), r"[À-ɏß]", "x")
-    return t.documents.withColumn("text", plain).select(F.col("doc_id").alias("example_id"), F.col("text").alias("prediction"), golds.alias("gold_answers"))
+    return t.documents.select(F.col("doc_id").alias("example_id"), F.col("text").alias("prediction"), golds.alias("gold_answers"))
 
 
-@query("e1_answer_normalisation", "SELECT doc_id, md5(" + NORM.format("text") + ") AS form FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS text FROM documents) WHERE NOT regexp_matches(text, '(?m)^\\s{0,3}(#{1,6}\\s+|>\\s+|[-*+]\\s+|\\d+[.)]\\s+)')")
+@query("e1_answer_normalisation", f"SELECT doc_id, md5({norm('text')}) AS form FROM documents")
 def _(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7f]", "x").alias("text"))
-    d = d.where(~F.rlike("text", F.lit(r"(?m)^\s{0,3}(#{1,6}\s+|>\s+|[-*+]\s+|\d+[.)]\s+)")))
-    return d.select("doc_id", F.md5(tx.normalise_answer(F.col("text"))).alias("form"))
+    return t.documents.select("doc_id", F.md5(tx.normalise_answer(F.col("text"))).alias("form"))
 
 
-@query("e2_answer_tokens", "SELECT c_custkey, 2 AS n FROM customer")
+@query("e2_answer_tokens", PREDS + "SELECT example_id AS doc_id, CAST(np AS INTEGER) AS n FROM pw")
 def _(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", F.size(tx.tokens(F.concat(F.lit("The **"), F.col("c_name"), F.lit("**!")))).alias("n"))
+    return t.documents.select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n"))
 
 
 @query("e3_document_key", "SELECT c_custkey, 'the ' || lower(replace(c_name, '#', ' ')) AS key FROM customer")
@@ -321,22 +352,27 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", tx.doc_key(F.concat(F.lit("The "), F.col("c_name"), F.lit("."))).alias("key"))
 
 
-@query("e4_exact_match")
+@query("e4_exact_match", PREDS + "SELECT example_id, CAST(bool_or(p = g) AS DOUBLE) AS value FROM pw JOIN gw USING (example_id) GROUP BY example_id")
 def _(t: Tables) -> DataFrame:
     return evaluation.exact_match(_preds(t))
 
 
-@query("e5_token_f1")
+@query("e5_token_f1", PREDS + """,
+pc AS (SELECT example_id, t, count(*) AS a FROM (SELECT example_id, unnest(string_split(p, ' ')) AS t FROM pw WHERE np > 0) GROUP BY 1, 2),
+gc AS (SELECT example_id, no, t, count(*) AS b FROM (SELECT example_id, no, unnest(string_split(g, ' ')) AS t FROM gw WHERE ng > 0) GROUP BY 1, 2, 3),
+same AS (SELECT example_id, no, sum(least(a, b)) AS n FROM pc JOIN gc USING (example_id, t) GROUP BY 1, 2)
+SELECT example_id, round(max(coalesce(2.0 * n / (np + ng), 0)), 9) AS value FROM gw JOIN pw USING (example_id) LEFT JOIN same USING (example_id, no) GROUP BY example_id
+""")
 def _(t: Tables) -> DataFrame:
     return evaluation.token_f1(_preds(t)).select("example_id", F.round("value", 9).alias("value"))
 
 
-@query("e6_str_acc")
+@query("e6_str_acc", STR_ACC.replace("WINDOW", "200") + "SELECT example_id, hit, \"verbose\", truncated FROM sa")
 def _(t: Tables) -> DataFrame:
     return evaluation.str_acc(_preds(t))
 
 
-@query("e7_str_acc_audit")
+@query("e7_str_acc_audit", STR_ACC.replace("WINDOW", "20") + "SELECT avg(CAST(hit AS DOUBLE)) AS str_acc, count(*) FILTER (\"verbose\") / CAST(count(*) FILTER (hit) AS DOUBLE) AS verbose_hit_rate, avg(CAST(truncated AS DOUBLE)) AS truncated_rate FROM sa")
 def _(t: Tables) -> DataFrame:
     return evaluation.str_acc_audit(evaluation.str_acc(_preds(t), 20))
 
@@ -430,16 +466,17 @@ def _(t: Tables) -> DataFrame:
     return evaluation.passage_identity(r).select("doc_id", "title")
 
 
-@query("e19_citation_presence", "SELECT doc_id, doc_id % 2 = 0 AS cites FROM documents WHERE NOT regexp_matches(text, '[\\[【]\\s*\\d+\\s*[\\]】]')")
+@query("e19_citation_presence", r"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 2 = 0 THEN ' [3]' ELSE '' END, '[\[【]\s*\d+\s*[\]】]') AS cites FROM documents")
 def _(t: Tables) -> DataFrame:
-    d = t.documents.where(~tx.has_citation(F.col("text")))
-    return d.select("doc_id", tx.has_citation(F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" [3]"))).otherwise(F.col("text"))).alias("cites"))
+    cited = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" [3]"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", tx.has_citation(cited).alias("cites"))
 
 
-@query("r20_judge_score", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 7.5 WHEN 1 THEN 10.0 WHEN 2 THEN 3.0 ELSE NULL END AS score FROM documents")
+@query("r20_judge_score", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 10.0 WHEN 2 THEN 3.0 WHEN 3 THEN 3.0 WHEN 4 THEN 8.0 ELSE NULL END AS score FROM documents")
 def _(t: Tables) -> DataFrame:
-    m = F.col("doc_id") % 4
-    return t.documents.select("doc_id", tx.parse_score(F.when(m == 0, "SCORE: 7.5 of 10").when(m == 1, "score = 42").when(m == 2, "I give 99 or 3").otherwise("none")).alias("score"))
+    m = F.col("doc_id") % 6
+    reply = F.when(m == 0, "SCORE: 7.5 of 10").when(m == 1, "score = 42").when(m == 2, "I give 99 or 3").when(m == 3, "SCORE: -3").when(m == 4, "a4b5, v2x and 8.0").otherwise("none")
+    return t.documents.select("doc_id", tx.parse_score(reply).alias("score"))
 
 
 @query("b1_nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")

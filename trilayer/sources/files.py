@@ -99,9 +99,9 @@ def route_files(files: DataFrame, rules: DataFrame, default: str = "legacy") ->
     raw = F.regexp_extract(basename(F.col("file_path")), r"\[([A-Za-z]+)(?:-([A-Za-z]*))?\]", 1)
     opts = F.regexp_extract(basename(F.col("file_path")), r"\[([A-Za-z]+)(?:-([A-Za-z]*))?\]", 2)
     f = files.withColumn("_suffix", F.regexp_extract(name, r"\.([^.\[\]]*)$", 1)).withColumn("_e", F.lower(raw)).withColumn("_o", opts)
-    r = F.broadcast(rules.limit(1000))  # a rule table is a handful of rows
-    hit = f.join(r, F.rlike(F.col("_suffix"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))), "left")
-    best = hit.groupBy("file_path", "_e", "_o").agg(F.min_by(F.struct("engine", "options"), "no").alias("rule"))
+    # each distinct suffix meets the rules once, whatever the number of files
+    met = f.select("_suffix").distinct().join(rules, F.rlike(F.col("_suffix"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
+    best = f.join(met.groupBy("_suffix").agg(F.min_by(F.struct("engine", "options"), "no").alias("rule")), "_suffix", "left")
     options = F.coalesce(F.nullif("_o", F.lit("")), F.col("rule.options"), F.lit(""))
     letter = F.regexp_extract(options, f"([{STRATEGIES}])", 1)
     return best.select("file_path", F.coalesce(F.nullif("_e", F.lit("")), F.col("rule.engine"), F.lit(default)).alias("engine"), F.when(letter == "", F.lit("F")).otherwise(letter).alias("strategy"))
