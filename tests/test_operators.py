@@ -234,3 +234,40 @@ def test_routing_uses_every_rule(spark):
     rules = spark.createDataFrame([(i, f"x{i}", f"e{i}", "R") for i in range(1500)] + [(2000, "x14.*", "late", "F")], "no int, pattern string, engine string, options string")
     f = spark.createDataFrame([("/a/b.x1490",), ("/a/b.x14zz",), ("/a/none",), ("/a/c [fast-P].x3",)], "file_path string")
     assert {r.file_path: (r.engine, r.strategy) for r in files.route_files(f, rules).collect()} == {"/a/b.x1490": ("e1490", "R"), "/a/b.x14zz": ("late", "F"), "/a/none": ("legacy", "F"), "/a/c [fast-P].x3": ("fast", "P")}
+
+
+def test_pagerank_equals_the_dense_iteration(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, edges = 30, set()
+    while len(edges) < 60:
+        a, b = sorted(rng.integers(0, n - 3, 2).tolist())  # the last three nodes have no edge
+        if a != b:
+            edges.add((a, b))
+    edges |= {(0, b) for b in range(1, n - 3)}
+    e = [(f"n{a}", f"n{b}", float(rng.random() + 0.1)) for a, b in sorted(edges)]
+    asked = {q: {int(i): float(rng.random()) for i in rng.integers(0, n, 4)} for q in range(21)}
+    seeds = spark.createDataFrame([(q, f"n{i}", m) for q, x in asked.items() for i, m in x.items()], "query_id int, node_id string, mass double")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)], "node_id string")
+    reset = retrieval.reset_vector(seeds, nodes, seeds.select("query_id").distinct())
+    w = np.zeros((n, n))
+    for a, b, x in e:
+        w[int(a[1:]), int(b[1:])] = w[int(b[1:]), int(a[1:])] = x
+    loose = w.sum(axis=1) == 0
+    p = w / np.where(loose, 1, w.sum(axis=1))[:, None]
+    want = {}
+    for q, x in asked.items():
+        r = np.zeros(n)
+        for i, m in x.items():
+            r[i] = m
+        r /= r.sum()
+        v = r
+        for _ in range(20):
+            v = 0.5 * r + 0.5 * (p.T @ v + v[loose].sum() * r)
+        want |= {(q, f"n{i}"): m for i, m in enumerate(v) if m > 0}
+    adj = retrieval.adjacency(spark.createDataFrame(e, "src string, dst string, weight double"))
+    for hub in (100_000, 5):
+        monkeypatch.setattr(retrieval, "HUB", hub)
+        got = {(r.query_id, r.node_id): r.mass for r in retrieval.ppr(reset, adj).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)

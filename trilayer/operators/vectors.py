@@ -31,20 +31,26 @@ def searchable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def usable(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rows) of the vectors of ``dim`` components that ``searchable`` accepts."""
+    at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == dim and None not in v], np.int64)
+    rows = np.array([vectors[i] for i in at], np.float64).reshape(len(at), dim)
+    ok = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+    return at[ok], rows[ok]
+
+
 def _top(batches: Iterator[pa.RecordBatch], q: np.ndarray, ids: list, k: int, kinds: pa.DataType) -> Iterator[pa.RecordBatch]:
     """The k best of each batch and question; a last window step merges batches."""
     for b in batches:
-        rows = np.array(b.column("embedding").to_pylist(), np.float64) if b.num_rows else np.zeros((0, q.shape[1]))
-        if not len(rows):
+        at, rows = usable(b.column("embedding").to_pylist(), q.shape[1])
+        if not len(at):
             continue
-        norm = np.linalg.norm(rows, axis=1)
-        score = (q @ (rows / np.where(norm > 0, norm, 1)[:, None]).T).round(12)
-        score[:, norm == 0] = -2
+        score = (q @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T).round(12)
         n = min(k, score.shape[1])
         # keep ties of the k-th score, the window step breaks them by id
         kth = np.partition(score, -n, axis=1)[:, -n]
-        qi, vi = np.nonzero((score >= kth[:, None]) & (score > -2))
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], kinds), b.column("id").take(pa.array(vi)), pa.array(score[qi, vi])], names=["query_id", "id", "score"])
+        qi, vi = np.nonzero(score >= kth[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], kinds), b.column("id").take(pa.array(at[vi])), pa.array(score[qi, vi])], names=["query_id", "id", "score"])
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
@@ -56,7 +62,6 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
     components have no neighbours and are none; neither are vectors of another
     dimension than the question's.
     """
-    queries, vectors = (df.where(searchable(F.col("embedding"))) for df in (queries, vectors))
     qid, vid = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     out, block, size = None, [], 0
 
@@ -65,9 +70,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         m, ids = m / np.where(norm > 0, norm, 1), [r["query_id"] for r in rows]
         kind = pa.int64() if qid == "bigint" else pa.int32() if qid == "int" else pa.string()
-        return vectors.where(F.size("embedding") == m.shape[1]).select("id", "embedding").mapInArrow(lambda it: _top(it, m, ids, k, kind), f"query_id {qid}, id {vid}, score double")
+        return vectors.select("id", "embedding").mapInArrow(lambda it: _top(it, m, ids, k, kind), f"query_id {qid}, id {vid}, score double")
 
     for r in queries.select("query_id", "embedding").toLocalIterator():
+        if r["embedding"] is None or not len(usable([r["embedding"]], len(r["embedding"]))[0]):
+            continue
         if block and len(r["embedding"]) != len(block[0]["embedding"]):
             hits, block, size = scan(block), [], 0
             out = hits if out is None else out.union(hits)

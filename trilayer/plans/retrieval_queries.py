@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trilayer.functions.session import materialise
 from trilayer.operators import graph, incremental, retrieval, vectors
+from trilayer.plans.memory_queries import DENSITY
 from trilayer.plans.registry import Tables, query
 
 KNN = """
@@ -87,20 +88,31 @@ fhits AS MATERIALIZED (SELECT query_id, fact_id, score, CAST(rank AS INTEGER) AS
 kept AS MATERIALIZED (SELECT * FROM fhits WHERE score >= 0.6),
 es AS (SELECT query_id, 'entity-' || md5(e) AS node_id, avg(score) AS mass FROM kept JOIN ents USING (fact_id) GROUP BY 1, 2),
 ps AS (SELECT query_id, passage_id AS node_id, sum(mass * 0.05) AS mass FROM es JOIN ep ON entity_id = node_id GROUP BY 1, 2),
-seeds AS (SELECT * FROM es UNION ALL SELECT * FROM ps),
+sw AS (SELECT schema_id, ('0x' || md5(w)[1:2])::INTEGER % 64 AS b, count(*) AS n FROM (SELECT schema_id, unnest(regexp_extract_all(lower(head_type || chr(9) || relation || chr(9) || tail_type), '[a-z0-9]+')) AS w FROM schemas) GROUP BY 1, 2),
+sn AS (SELECT schema_id, sqrt(sum(n * n)) AS m FROM sw GROUP BY schema_id),
+shits AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, schema_id) AS rank FROM (SELECT query_id, schema_id, round(sum(qw.n * sw.n) / any_value(qn.m * sn.m), 12) AS score FROM qw JOIN sw USING (b) JOIN sn USING (schema_id) JOIN qn USING (query_id) GROUP BY query_id, schema_id)) WHERE rank <= 5),
+send AS (SELECT query_id, 'entity-' || md5(e) AS node_id, sum(score * 0.1) AS m FROM shits JOIN (SELECT schema_id, unnest([head_key, tail_key]) AS e FROM facts) USING (schema_id) GROUP BY 1, 2),
+ss AS (SELECT query_id, schema_id AS node_id, score * 0.1 AS mass FROM shits UNION ALL SELECT query_id, node_id, m FROM send UNION ALL SELECT query_id, passage_id, sum(m * 0.05) FROM send JOIN ep ON entity_id = node_id GROUP BY 1, 2),
+pw AS (SELECT passage_id, ('0x' || md5(w)[1:2])::INTEGER % 64 AS b, count(*) AS n FROM (SELECT passage_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS w FROM passages) GROUP BY 1, 2),
+pn AS (SELECT passage_id, sqrt(sum(n * n)) AS m FROM pw GROUP BY passage_id),
+pscore AS (SELECT query_id, passage_id, round(sum(qw.n * pw.n) / any_value(qn.m * pn.m), 12) AS score FROM qw JOIN pw USING (b) JOIN pn USING (passage_id) JOIN qn USING (query_id) GROUP BY query_id, passage_id),
+phits AS MATERIALIZED (SELECT query_id, passage_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM pscore) WHERE rank <= 10),
+""" + DENSITY.strip() + """,
+ds AS (SELECT query_id, passage_id AS node_id, score * 0.05 * density AS mass FROM phits JOIN density USING (passage_id)),
+seeds AS (SELECT * FROM es UNION ALL SELECT * FROM ps UNION ALL SELECT * FROM ss UNION ALL SELECT * FROM ds),
 reset AS MATERIALIZED (SELECT query_id, node_id, mass / sum(mass) OVER (PARTITION BY query_id) AS mass FROM (SELECT query_id, node_id, sum(mass) AS mass FROM seeds WHERE node_id IN (SELECT node_id FROM nodes) GROUP BY 1, 2)),
 sym AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst),
 adj AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, sum(weight) AS w FROM sym GROUP BY src, dst))
 """
-STEPS = 8
+STEPS = 20
 
 
 def _ppr_sql() -> str:
-    steps = ["x0 AS MATERIALIZED (SELECT * FROM reset)"]
+    steps = ["y0 AS MATERIALIZED (SELECT * FROM reset)"]
     for k in range(STEPS):
         steps.append(
-            f"x{k + 1} AS MATERIALIZED (SELECT query_id, node_id, sum(mass) AS mass FROM (SELECT query_id, dst AS node_id, mass * p * 0.5 AS mass FROM x{k} JOIN adj ON src = node_id "
-            f"UNION ALL SELECT r.query_id, r.node_id, r.mass * (0.5 + 0.5 * coalesce(d, 0)) FROM reset r LEFT JOIN (SELECT query_id, sum(mass) AS d FROM x{k} WHERE node_id NOT IN (SELECT src FROM adj) GROUP BY query_id) l USING (query_id)) GROUP BY query_id, node_id)"
+            f"y{k + 1} AS MATERIALIZED (SELECT query_id, node_id, sum(mass) AS mass FROM (SELECT query_id, dst AS node_id, mass * p * 0.5 AS mass FROM y{k} JOIN adj ON src = node_id "
+            f"UNION ALL SELECT r.query_id, r.node_id, r.mass * (0.5 + 0.5 * coalesce(d, 0)) FROM reset r LEFT JOIN (SELECT query_id, sum(mass) AS d FROM y{k} WHERE node_id NOT IN (SELECT src FROM adj) GROUP BY query_id) l USING (query_id)) GROUP BY query_id, node_id)"
         )
     return HASHED + ", " + ",\n".join(steps)
 
@@ -111,14 +123,35 @@ def _hits(t: Tables) -> DataFrame:
     return t.__dict__["hits"]
 
 
+def _pairs(t: Tables) -> DataFrame:
+    if "pairs" not in t.__dict__:
+        t.__dict__["pairs"] = materialise(graph.entity_passage_map(t.mem.facts, t.mem.links))
+    return t.__dict__["pairs"]
+
+
 def _seeds(t: Tables) -> tuple[DataFrame, DataFrame]:
-    e = retrieval.entity_seeds(retrieval.threshold(_hits(t), 0.6), t.mem.facts)
-    return e, retrieval.spread_to_passages(e, graph.entity_passage_map(t.mem.facts, t.mem.links), 0.05)
+    e = materialise(retrieval.entity_seeds(retrieval.threshold(_hits(t), 0.6), t.mem.facts))
+    return e, retrieval.spread_to_passages(e, _pairs(t), 0.05)
+
+
+def _schema_hits(t: Tables) -> DataFrame:
+    text = t.mem.schemas.select("schema_id", F.concat_ws("\t", "head_type", "relation", "tail_type").alias("text"))
+    return vectors.knn(_regions(t), vectors.hash_embed(text, "schema_id", "text"), retrieval.PARAMS["schema_top_k"])
+
+
+def _passage_seeds(t: Tables) -> DataFrame:
+    v = vectors.hash_embed(t.mem.passages, "passage_id", "content")
+    hits = materialise(vectors.knn(_regions(t), v, 10))
+    return retrieval.passage_seeds(hits, graph.density(_pairs(t), t.mem.passages), 0.05)
 
 
 def _reset(t: Tables) -> DataFrame:
+    """Seeds of all four kinds: entities of linked facts, their passages, linked schemas, dense passages."""
     e, p = _seeds(t)
-    return materialise(retrieval.reset_vector(e.union(p), t.nodes, t.region.select(F.col("r_regionkey").alias("query_id"))))
+    facts = t.mem.facts.withColumn("active", F.lit(True))
+    s = retrieval.schema_seeds(materialise(_schema_hits(t)), facts, _pairs(t), 0.1, 0.05)
+    seeds = materialise(e.union(p).union(s).union(_passage_seeds(t)))
+    return materialise(retrieval.reset_vector(seeds, t.nodes, t.region.select(F.col("r_regionkey").alias("query_id"))))
 
 
 def _scores(t: Tables) -> DataFrame:
@@ -176,11 +209,9 @@ def _(t: Tables) -> DataFrame:
     return _seeds(t)[1].withColumn("mass", F.round("mass", 9))
 
 
-@query("r7_dense_passage_seeds")
+@query("r7_dense_passage_seeds", HASHED + "SELECT query_id, node_id, round(mass, 9) AS mass FROM ds")
 def _(t: Tables) -> DataFrame:
-    v = vectors.hash_embed(t.mem.passages, "passage_id", "content")
-    d = graph.density(graph.entity_passage_map(t.mem.facts, t.mem.links), t.mem.passages)
-    return retrieval.passage_seeds(vectors.knn(_regions(t), v, 10), d, 0.05)
+    return _passage_seeds(t).withColumn("mass", F.round("mass", 9))
 
 
 @query("r8_reset_vector", HASHED + "SELECT query_id, node_id, round(mass, 9) AS mass FROM reset")
@@ -188,24 +219,24 @@ def _(t: Tables) -> DataFrame:
     return _reset(t).withColumn("mass", F.round("mass", 9))
 
 
-@query("r9_personalized_pagerank", _ppr_sql() + f"SELECT query_id, node_id, round(mass, 8) AS mass FROM x{STEPS} WHERE node_id IN (SELECT passage_id FROM passages) AND mass >= 1e-6")
+@query("r9_personalized_pagerank", _ppr_sql() + f"SELECT query_id, node_id, round(mass, 8) AS mass FROM y{STEPS} WHERE node_id IN (SELECT passage_id FROM passages)")
 def _(t: Tables) -> DataFrame:
     s = _scores(t).join(t.mem.passages.select(F.col("passage_id").alias("node_id")), "node_id", "left_semi")
-    return s.where("mass >= 1e-6").select("query_id", "node_id", F.round("mass", 8).alias("mass"))
+    return s.select("query_id", "node_id", F.round("mass", 8).alias("mass"))
 
 
-@query("r10_passage_ranking", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM x{STEPS} JOIN passages ON passage_id = node_id) SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id FROM rp WHERE rank <= 10")
+@query("r10_passage_ranking", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM y{STEPS} JOIN passages ON passage_id = node_id) SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id FROM rp WHERE rank <= 10")
 def _(t: Tables) -> DataFrame:
     return retrieval.rank_passages(_scores(t), t.mem.passages).select("query_id", "rank", "passage_id")
 
 
-@query("r11_dense_retrieval")
+@query("r11_dense_retrieval", HASHED + "SELECT query_id, rank, passage_id FROM phits")
 def _(t: Tables) -> DataFrame:
     v = vectors.hash_embed(t.mem.passages, "passage_id", "content")
     return retrieval.dense(_regions(t), v, t.mem.passages).select("query_id", "rank", "passage_id")
 
 
-@query("r12_fallback_routing", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM x{STEPS} JOIN passages ON passage_id = node_id) SELECT query_id, passage_id, CASE WHEN query_id < 3 THEN 'ppr' ELSE 'naive' END AS path FROM rp WHERE rank <= 10")
+@query("r12_fallback_routing", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM y{STEPS} JOIN passages ON passage_id = node_id) SELECT query_id, passage_id, CASE WHEN query_id < 3 THEN 'ppr' ELSE 'naive' END AS path FROM rp WHERE rank <= 10")
 def _(t: Tables) -> DataFrame:
     r = retrieval.rank_passages(_scores(t), t.mem.passages)
     q = t.region.select(F.col("r_regionkey").alias("query_id"))
