@@ -17,12 +17,14 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only when the session names none (tests on one machine) is one made.
+    Only where the session names none and runs on one machine (tests) is one made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="trilayer-"))
         return context.getCheckpointDir()
     return path

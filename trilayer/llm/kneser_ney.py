@@ -227,12 +227,14 @@ def _finish_words(table: pa.Table, folder: str) -> pa.Table:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
-    if not n1:
-        return 0.0, 0.0, 0.0
-    y = n1 / (n1 + 2 * n2)
-    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y)
-    return tuple(min(max(x, 0.0), float(k)) for k, x in enumerate(d, 1))
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more.
+
+    Where the counts give none (no item seen once, or a value not above zero),
+    half the count is taken off, so that something is left for what is unseen.
+    """
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y) if n1 else (0.0, 0.0, 0.0)
+    return tuple(min(x, float(k)) if x > 0 else k / 2 for k, x in enumerate(d, 1))
 
 
 def held_out(id_: Column) -> Column:
