@@ -15,16 +15,24 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), END]
 
 
+def trigrams(text):
+    t = tokens(text)
+    return list(zip([BEGIN, BEGIN, *t[:-2]] if len(t) > 1 else [BEGIN], [BEGIN, *t[:-1]], t, strict=True))
+
+
 def model(texts):
-    """(probability(before, token), add-0.1 probability(token), counts) of an interpolated modified Kneser-Ney bigram model."""
-    words, pairs = Counter(), Counter()
+    """(probability(second before, before, token), add-0.1 probability(token), counts) of an interpolated modified Kneser-Ney trigram model."""
+    words, triples = Counter(), Counter()
     for text in texts:
-        t = tokens(text)
-        words.update(t)
-        pairs.update(zip([BEGIN, *t[:-1]], t, strict=True))
-    before, after = Counter(w for _, w in pairs), defaultdict(list)
-    for (u, _), n in pairs.items():
-        after[u].append(n)
+        words.update(tokens(text))
+        triples.update(trigrams(text))
+    pairs = Counter((v, w) for _, v, w in triples)
+    before = Counter(w for _, w in pairs)
+    after2, after1 = defaultdict(list), defaultdict(list)
+    for (u, v, _), n in triples.items():
+        after2[u, v].append(n)
+    for (v, _), n in pairs.items():
+        after1[v].append(n)
 
     def discounts(counts):
         n = [sum(c == k for c in counts) for k in range(5)]
@@ -34,14 +42,16 @@ def model(texts):
         d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2] if n[2] else 2 * y, 3 - 4 * y * n[4] / n[3] if n[3] else 3 * y]
         return [0] + [min(x, k) if x > 0 else k / 2 for k, x in enumerate(d) if k]
 
-    d2, d1 = discounts(pairs.values()), discounts(before.values())
+    d3, d2, d1 = discounts(triples.values()), discounts(pairs.values()), discounts(before.values())
     cut = lambda n, d: n - d[min(n, 3)] if n else 0
     share = sum(d1[min(n, 3)] for n in before.values()) / (len(words) + 1)
 
-    def probability(u, w):
+    def blend(n, seen, d, low):
+        return (cut(n, d) + sum(d[min(x, 3)] for x in seen) * low) / sum(seen) if seen else low
+
+    def probability(u, v, w):
         low = (cut(before[w], d1) + share) / len(pairs)
-        seen = after.get(u)
-        return (cut(pairs[u, w], d2) + sum(d2[min(n, 3)] for n in seen) * low) / sum(seen) if seen else low
+        return blend(triples[u, v, w], after2.get((u, v)), d3, blend(pairs[v, w], after1.get(v), d2, low))
 
     total = sum(words.values())
     return probability, lambda w: (words[w] + 0.1) / (total + 0.1 * (len(words) + 1)), words
@@ -58,8 +68,8 @@ def test_scores_equal_plain_counts(spark):
     for r in kneser_ney.score(spark.createDataFrame([(x,) for x in probe], "text string"), m).collect():
         t = tokens(r.text)
         assert (r.n_tokens, r.n_known) == (len(t), sum(w in words for w in t))
-        assert math.isclose(r.lm_score, sum(math.log10(probability(u, w)) for u, w in zip([BEGIN, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        assert math.isclose(r.lm_score, sum(math.log10(probability(*x)) for x in trigrams(r.text)), rel_tol=1e-9)
         assert math.isclose(r.base_score, sum(math.log10(base(w)) for w in t), rel_tol=1e-9)
-    for u in [BEGIN, *words, "unseen"]:
-        if u is not END:
-            assert math.isclose(sum(probability(u, w) for w in words) + probability(u, "unseen"), 1, rel_tol=1e-9)
+    some = [BEGIN, *list(words)[:9], "unseen"]
+    for u, v in [(u, v) for u in some for v in some if u is not END and v is not END]:
+        assert math.isclose(sum(probability(u, v, w) for w in words) + probability(u, v, "unseen"), 1, rel_tol=1e-9)

@@ -1,22 +1,30 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""LM scoring with an interpolated modified Kneser-Ney trigram model.
 
-Counting is two grouped jobs.  Words first: tasks count the words of a few
+Counting is three grouped jobs.  Words first: tasks count the words of a few
 million tokens at a time and send each shard (a range of word hashes) its sorted
-part; shards add up.  Then word pairs, sharded by their first word, with the few
-hundred most frequent first words spread over several shards by their second.
-Pair shards also give, by word, how many words precede it and how its own
-followers are spread, which a last grouped job adds to the word shards.
-
-Shards are stored in the shared folder as sorted hash arrays.  Workers map them
-into memory and look up the sorted distinct keys of a piece of text at a time.
-The files stay in that folder, since the scores are computed lazily.
+part; shards add up.  A word's id is its place in its shard.  Then trigrams as
+ids, sharded by their middle word, so that a shard holds all that surrounds a
+word: how often each trigram is seen, how many words precede each pair, how the
+followers of each pair are spread.  Middle words with more than a shard's share
+of all tokens are spread over shards by their last word; what their shards know
+of a pair as a context is added up in the last job.  That job also gives each
+word how many words precede it and how its own followers are spread.
+
+Shards are stored in the shared folder, one file each, as sorted hash arrays:
+the leading bits of a key choose a cell of about 16 keys, the next 32 are
+stored.  So a key that isn't there is taken for another one in about 4 of 10^9
+look-ups, at every size.  Pairs that occur once as a context aren't stored as
+such: a pair that some word precedes, and that has no entry, has one follower,
+seen once.  Workers map the files into memory.  The files stay in that folder,
+since the scores are computed lazily.
 """
 
 from __future__ import annotations
 
-import contextlib
+import json
 import math
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,17 +37,19 @@ from pyspark.sql import types as T
 from trilayer.llm._spark import cut, mounted_dir
 from trilayer.llm._text import SPACED, mix64, pieces, word_hashes, words
 
-#: Tokens counted in one go by a task, tokens that one shard should hold, bytes of text looked up in one go.
-FLUSH, SHARD_TOKENS, LOOK_BYTES = 4_000_000, 3_000_000, 6 << 20
-#: First words with more than one in so many of all tokens are spread over shards.
-HOT = 2048
+#: Tokens counted or looked up in one go by a task (three ids of them fit in 63 bits), tokens that one shard should hold.
+FLUSH, SHARD_TOKENS = 2_000_000, 1_500_000
+#: Shard files that a worker keeps mapped.
+OPEN = 4096
 # Reserved hashes: the end of a text and what precedes its first word.
 END, BEGIN = np.uint64(0xE0D0_0000_0000_0001), np.uint64(0xB000_0000_0000_0001)
-_SHORT = np.uint64(16)  # pairs hold the upper 48 bits of a word's hash
+# Ids: words that training doesn't hold, what precedes a text, the first word.
+NONE, START, FIRST = 0, 1, 2
+_PER_CELL = 16
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token with an end after each text, hash before it, token offsets)."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each token with an end after each text, hash before it, hash before that, token offsets)."""
     low, s, e, wf = words(data, off, SPACED)
     n = len(off) - 1
     seq = np.full(len(s) + n, END, np.uint64)
@@ -49,54 +59,171 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     before = np.empty_like(seq)
     before[1:] = seq[:-1]
     before[first[:-1]] = BEGIN
-    return seq, before, first
+    second = np.empty_like(seq)
+    second[1:] = before[:-1]
+    second[first[:-1]] = BEGIN
+    return seq, before, second, first
 
 
-def shard_of(short: np.ndarray, shards: int) -> np.ndarray:
-    """Range of 48-bit hashes that a word belongs to."""
-    return ((short >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Range of hashes that a key belongs to."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def starts(*x: np.ndarray) -> np.ndarray:
+    """Places where sorted rows change."""
+    new = np.zeros(len(x[0]), bool)
+    new[:1] = True
+    for c in x:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def lengths(at: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(at, n))
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and their counts."""
     x = np.sort(x)
-    if not len(x):
-        return x, np.zeros(0, np.int64)
-    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    return x[at], np.diff(np.concatenate((at, [len(x)])))
+    at = starts(x)
+    return x[at], lengths(at, len(x))
+
 
+def sorted_by(*x: np.ndarray) -> np.ndarray:
+    """Order of rows by the first column, then the next ones."""
+    sizes = [int(c.max()) + 1 if len(c) else 1 for c in x]
+    if math.prod(sizes) >= 1 << 63:
+        return np.lexsort(x[::-1])
+    key = np.zeros(len(x[0]), np.int64)
+    for c, n in zip(x, sizes, strict=True):
+        key = key * n + c
+    return np.argsort(key)
 
-def _texts(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and the tokens before them, at most about ``flush`` at a time."""
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tokens with the two before each, at most ``FLUSH`` at a time."""
     held, size = [], 0
+
+    def flush() -> Iterator[tuple[np.ndarray, ...]]:
+        all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
+        for i in range(0, len(all_[0]), FLUSH):
+            yield tuple(x[i : i + FLUSH] for x in all_)
+
     for batch in batches:
         for _, _, data, off in pieces(batch.column(0)):
-            seq, before, _ = tokens(data, off)
-            held.append((seq, before))
-            size += len(seq)
-            if size >= flush:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            part = tokens(data, off)[:3]
+            if held and size + len(part[0]) > FLUSH:
+                yield from flush()
                 held, size = [], 0
+            held.append(part)
+            size += len(part[0])
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield from flush()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for seq, _ in _texts(batches, FLUSH):
+    for seq, _, _ in _texts(batches):
         w, n = distinct(seq)
-        edge = np.searchsorted(shard_of(w >> _SHORT, shards), np.arange(shards + 1))
+        edge = np.searchsorted(shard_of(w, shards), np.arange(shards + 1))
         some = np.flatnonzero(np.diff(edge))
         cut_ = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary())  # noqa: E731, B023
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), cut_(w), cut_(n.astype(np.uint32))], names=["shard", "w", "n"])
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Written aside and renamed, so that a task that runs twice does no harm."""
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of several arrays, written aside and renamed, so that a task that runs twice does no harm."""
     os.makedirs(folder, exist_ok=True)
-    aside = f"{folder}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
+    aside, at, head = f"{folder}/.{name}-{os.getpid()}-{os.urandom(4).hex()}", 0, {}
+    for k, x in arrays.items():
+        head[k] = (x.dtype.str, x.shape, at)
+        at += -(-x.nbytes // 8) * 8
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
     with open(aside, "wb") as f:
-        np.save(f, array)
-    os.replace(aside, f"{folder}/{name}.npy")
+        f.write(np.uint64(len(text)).tobytes() + text)
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 8))
+    os.replace(aside, f"{folder}/{name}")
+
+
+class Tables:
+    """The stored shards of one model, mapped into memory when asked for; the ones not used for longest are closed."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, OrderedDict()
+
+    def get(self, name: str) -> dict[str, np.ndarray]:
+        """Arrays of a file, none if there is no such file (a shard without words)."""
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        path, out = f"{self.folder}/{name}", {}
+        if os.path.exists(path):
+            data = np.memmap(path, np.uint8, "r")
+            base = 8 + int(data[:8].view(np.uint64)[0])
+            for k, (kind, shape, at) in json.loads(bytes(data[8:base])).items():
+                out[k] = np.frombuffer(data, np.dtype(kind), math.prod(shape), base + at).reshape(shape)
+        self.open[name] = out
+        if len(self.open) > OPEN:
+            self.open.popitem(last=False)
+        return out
+
+
+@lru_cache(maxsize=2)
+def _tables(folder: str) -> Tables:
+    return Tables(folder)
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """In the narrowest type that holds the values."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def hash_array(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hash array of distinct keys and their values (rows of several columns are stored once each)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    bits = max(1, (len(keys) // _PER_CELL).bit_length())
+    cell = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    out = {f"{name}_cell": cell.astype(np.uint32), f"{name}_key": (keys >> np.uint64(32 - bits)).astype(np.uint32)}
+    if values.ndim == 1:
+        return out | {f"{name}_val": _least(values[order])}
+    # narrow rows are told apart by a packed key, wide ones are all kept
+    narrow = (values < 1 << 15).all(axis=1)
+    packed = np.where(narrow, values @ (1 << 15 * np.arange(4)), (1 << 61) + np.arange(len(values)))
+    _, some, code = np.unique(packed, return_index=True, return_inverse=True)
+    return out | {f"{name}_val": _least(code[order]), f"{name}_row": values[some]}
+
+
+def find(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, found) of keys in a stored hash array."""
+    if f"{name}_cell" not in arrays or not len(arrays[f"{name}_key"]):
+        return np.zeros((len(keys), 4) if name == "context" else len(keys), np.int64), np.zeros(len(keys), bool)
+    cell, stored, value = arrays[f"{name}_cell"], arrays[f"{name}_key"], arrays[f"{name}_val"]
+    bits = (len(cell) - 1).bit_length() - 1
+    own = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    low, high = cell[own].astype(np.int64), cell[own + 1].astype(np.int64)
+    end, short = high, (keys >> np.uint64(32 - bits)).astype(np.uint32)
+    for _ in range(int((high - low).max()).bit_length()):
+        mid = (low + high) >> 1
+        less = stored[np.minimum(mid, len(stored) - 1)] < short
+        less &= low < high
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    at = np.minimum(low, len(stored) - 1)
+    ok = (low < end) & (stored[at] == short)
+    got = value[at].astype(np.int64)
+    if f"{name}_row" in arrays:
+        got = arrays[f"{name}_row"][got]
+        return np.where(ok[:, None], got, 0), ok
+    return np.where(ok, got, 0), ok
+
+
+def key_of(*ids: np.ndarray) -> np.ndarray:
+    out = np.full(len(ids[0]), len(ids), np.uint64)
+    for x in ids:
+        out = mix64(out + x.astype(np.uint64) + np.uint64(0x51ED270B))
+    return out
 
 
 def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
@@ -104,125 +231,192 @@ def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
 
 
 def _add_words(table: pa.Table, folder: str) -> pa.Table:
-    """One shard's words and counts go to files; its totals and most frequent words come back."""
+    """One shard's words and counts go to a file; its totals come back."""
     shard = table.column("shard")[0].as_py()
     w, n = _joined(table.column("w"), np.uint64), _joined(table.column("n"), np.uint32).astype(np.int64)
-    order = np.argsort(w, kind="stable")
-    w, n = w[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-    w, n = w[at], np.add.reduceat(n, at)
-    _save(folder, f"w{shard}", w)
-    _save(folder, f"c{shard}", n)
-    top = np.argsort(n)[::-1][:HOT]
-    top = top[n[top] >= max(1, int(n.sum()) // HOT)]  # a word above the limit overall is above it here
-    return pa.table({"w": pa.array([None, *w[top].view(np.int64).tolist()], pa.int64()), "n": pa.array([int(n.sum()), *n[top].tolist()], pa.int64()), "types": pa.array([len(w)] + [0] * len(top), pa.int64())})
-
-
-def _spread(h1: np.ndarray, h2: np.ndarray, shards: int, hot: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Shard of each pair: by its first word, and for hot ones also by the second."""
-    out = shard_of(h1, shards)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, h1), len(hot) - 1)
-        is_hot = hot[at] == h1
-        out[is_hot] = (out[is_hot] + (mix64(h2[is_hot]) % width[at[is_hot]].astype(np.uint64)).astype(np.int64)) % shards
+    order = np.argsort(w)
+    at = starts(w[order])
+    w, n = w[order][at], np.add.reduceat(n[order], at)
+    _save(folder, f"words{shard}", {"w": w, "c": n})
+    return pa.table({"n": pa.array([int(n.sum())]), "types": pa.array([len(w)])})
+
+
+def word_ids(w: np.ndarray, m: dict, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, training counts) of sorted distinct word hashes; the start counts once a text."""
+    ids, c = np.full(len(w), NONE, np.int64), np.zeros(len(w), np.int64)
+    edge = np.searchsorted(shard_of(w, m["shards"]), np.arange(m["shards"] + 1))
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        stored = t.get(f"words{k}")
+        if stored:
+            s = slice(edge[k], edge[k + 1])
+            at = np.minimum(np.searchsorted(stored["w"], w[s]), len(stored["w"]) - 1)
+            ok = stored["w"][at] == w[s]
+            ids[s] = np.where(ok, FIRST + k * m["cap"] + at, NONE)
+            c[s] = np.where(ok, stored["c"][at], 0)
+    start = w == BEGIN
+    ids[start], c[start] = START, m["docs"]
+    return ids, c
+
+
+def widths(c: np.ndarray, m: dict) -> np.ndarray:
+    """Shards over which the trigrams around a word are spread: one for each shard's share of tokens."""
+    return np.minimum(m["shards"], c * m["shards"] // max(1, m["tokens"]) + 1)
+
+
+def placed(v: np.ndarray, w: np.ndarray, width: np.ndarray, m: dict) -> np.ndarray:
+    """Shard of trigrams: by their middle word, and for frequent ones also by the last."""
+    home = np.maximum(v - FIRST, 0) // m["cap"]
+    return (home + (mix64(w.astype(np.uint64)) % width.astype(np.uint64)).astype(np.int64)) % m["shards"]
+
+
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _numbers(x: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
+    return out.view("<i8").ravel()
+
+
+def _few(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as bytes, and those that don't fit."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes(), x[x >= 255].astype(np.uint32).tobytes()
+
+
+def _all(few: bytes, many: bytes) -> np.ndarray:
+    out = np.frombuffer(few, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(many, np.uint32)
     return out
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray, width: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for seq, before in _texts(batches, FLUSH):
-        v = distinct(np.append(seq, BEGIN) >> _SHORT)[0]
-        pair, n = distinct(np.searchsorted(v, before >> _SHORT) * len(v) + np.searchsorted(v, seq >> _SHORT))
-        h1, h2 = v[pair // len(v)], v[pair % len(v)]
-        shard = _spread(h1, h2, shards, hot, width)
-        order = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")
-        shard, h1, h2, n = shard[order], h1[order], h2[order], n[order]
-        edge = np.searchsorted(shard, np.arange(shards + 1))
+_SENT = ["v", "v_run", "w", "w_run", "w_more", "u", "n", "n_more"]
+
+
+def _count_trigrams(batches: Iterator[pa.RecordBatch], m: dict) -> Iterator[pa.RecordBatch]:
+    """A row for each shard: middle words, the last words after each, the first words before each such pair."""
+    t = _tables(m["folder"])
+    for seq, before, second in _texts(batches):
+        h = distinct(np.concatenate((seq, before[:1], second[:2], [BEGIN])))[0]
+        ids, c = word_ids(h, m, t)
+        width, size = widths(c, m), len(h)
+        v, w, u = (np.searchsorted(h, x) for x in (before, seq, second))
+        del seq, before, second
+        key, n = distinct((v * size + w) * size + u)
+        pair, u = np.divmod(key, size)
+        v, w = np.divmod(pair, size)
+        del key, pair
+        shard = placed(ids[v], ids[w], width[v], m)
+        order = np.argsort(shard, kind="stable")
+        shard, v, w, u, n = (x[order] for x in (shard, v, w, u, n))
+        edge = np.searchsorted(shard, np.arange(m["shards"] + 1))
         rows = []
         for k in np.flatnonzero(np.diff(edge)).tolist():
-            a, b = edge[k], edge[k + 1]
-            start = np.flatnonzero(np.concatenate(([True], h1[a + 1 : b] != h1[a : b - 1])))
-            run = np.diff(np.concatenate((start, [b - a]))).astype(np.uint32)
-            six = np.ascontiguousarray(h2[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-            few, many = np.minimum(n[a:b], 255).astype(np.uint8), n[a:b][n[a:b] >= 255].astype(np.uint32)
-            rows.append((k, h1[a:b][start].tobytes(), run.tobytes(), six.tobytes(), few.tobytes(), many.tobytes()))
-        names = ["shard", "h1", "run", "h2", "few", "many"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+            s = slice(edge[k], edge[k + 1])
+            ends = edge[k + 1] - edge[k]
+            at = starts(v[s], w[s])
+            head = starts(v[s][at])
+            rows.append((k, _bytes(ids[v[s][at][head]], m["bytes"]), lengths(head, len(at)).astype(np.uint32).tobytes(), _bytes(ids[w[s][at]], m["bytes"]), *_few(lengths(at, ends)), _bytes(ids[u[s]], m["bytes"]), *_few(n[s])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["shard", *_SENT])
 
 
-def pair_key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    return mix64(mix64(h1 + np.uint64(0x51ED270B)) + h2)
+def _classes(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each run of counts: how many are one, two, more; and their sum."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (n == 1, n == 2, n > 2, n)], axis=1) if len(at) else np.zeros((0, 4), np.int64)
 
 
-def _add_pairs(table: pa.Table, folder: str, shards: int) -> pa.Table:
-    """One shard's pairs go to files; what word shards need of them comes back, by word shard.
+def _seen(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
-    kind 0: words before each word; kind 1: followers of each word seen once,
-    twice, more often; kind 2: pairs seen one to four times.
-    """
+
+#: What trigram shards give: words before a word, followers of a word, numbers of all, followers of a pair.
+_BEFORE, _FOLLOW, _SPREAD, _CONTEXT = range(4)
+
+
+def _add_trigrams(table: pa.Table, m: dict) -> pa.Table:
+    """One shard's trigrams go to a file; what words and spread pairs need of them comes back, by shard."""
     shard = table.column("shard")[0].as_py()
-    h1, h2, n = [], [], []
-    for row in table.select(["h1", "run", "h2", "few", "many"]).to_pylist():
-        h1.append(np.repeat(np.frombuffer(row["h1"], np.uint64), np.frombuffer(row["run"], np.uint32)))
-        eight = np.zeros((len(row["h2"]) // 6, 8), np.uint8)
-        eight[:, :6] = np.frombuffer(row["h2"], np.uint8).reshape(-1, 6)
-        h2.append(eight.view(np.uint64).ravel())
-        few = np.frombuffer(row["few"], np.uint8).astype(np.int64)
-        few[few == 255] = np.frombuffer(row["many"], np.uint32)
-        n.append(few)
-    h1, h2, n = np.concatenate(h1), np.concatenate(h2), np.concatenate(n)
-    key = pair_key(h1, h2)
-    order = np.argsort(key)
-    key = key[order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    n = np.add.reduceat(n[order], at)
-    h1, h2 = h1[order[at]], h2[order[at]]
-    _save(folder, f"k{shard}", key[at])
-    _save(folder, f"n{shard}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32) if n.max() > 0xFFFF else n.astype(np.uint16))
-    rows = [(0, 2, b"", np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.uint32).tobytes())]
-    w, before = distinct(h2)
-    v = distinct(h1)[0]
-    place = np.searchsorted(v, h1)
-    follow = np.stack([np.bincount(place[n == 1], minlength=len(v)), np.bincount(place[n == 2], minlength=len(v)), np.bincount(place[n > 2], minlength=len(v))], axis=1)
-    for kind, keys, values in ((0, w, before[:, None]), (1, v, follow)):
-        edge = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            s = slice(edge[k], edge[k + 1])
-            rows.append((k, kind, keys[s].tobytes(), np.ascontiguousarray(values[s]).astype(np.uint32).tobytes()))
+    parts = []
+    for row in table.select(_SENT).to_pylist():
+        w_run, u = _all(row["w_run"], row["w_more"]), _numbers(row["u"], m["bytes"])
+        v = np.repeat(_numbers(row["v"], m["bytes"]), np.frombuffer(row["v_run"], np.uint32))
+        parts.append((np.repeat(v, w_run), np.repeat(_numbers(row["w"], m["bytes"]), w_run), u, _all(row["n"], row["n_more"])))
+    v, w, u, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    # small numbers for the ids of this shard keep sort keys short
+    names = [distinct(x)[0] for x in (v, w, u)]
+    v, w, u = (np.searchsorted(a, x) for a, x in zip(names, (v, w, u), strict=True))
+    order = sorted_by(v, w, u)
+    v, w, u, n = v[order], w[order], u[order], n[order]
+    at = starts(v, w, u)
+    v, w, u, n = v[at], w[at], u[at], np.add.reduceat(n, at)
+    arrays = hash_array("trigram", key_of(names[2][u], names[0][v], names[1][w]), n)
+    order = sorted_by(v, u)
+    at = starts(v[order], u[order])
+    context, first, mid = _classes(n[order], at), names[2][u[order[at]]], names[0][v[order[at]]]
+    spread = _seen(n)
+    at = starts(v, w)
+    before = lengths(at, len(v))
+    v, w = v[at], w[at]
+    arrays |= hash_array("pair", key_of(names[0][v], names[1][w]), before)
+    # pairs whose middle word is spread are known only in part here
+    wide = np.isin(mid, names[0][_width_of(names[0], m) > 1])
+    keep = ~wide & (context[:, 3] > 1)
+    arrays |= hash_array("context", key_of(first[keep], mid[keep]), context[keep])
+    _save(m["folder"], f"trigrams{shard}", arrays)
+    rows = [(0, _SPREAD, b"", np.array([*spread, *_seen(before)], np.int64).tobytes())]
+    at = starts(v)
+    last, times = distinct(w)
+    for kind, keys, values in ((_BEFORE, names[1][last], times[:, None]), (_FOLLOW, names[0][v[at]], _classes(before, at))):
+        rows += _dealt(kind, keys, values, np.maximum(keys - FIRST, 0) // m["cap"], m["shards"])
+    if wide.any():
+        keys = key_of(first[wide], mid[wide])
+        rows += _dealt(_CONTEXT, keys, context[wide], shard_of(keys, m["shards"]), m["shards"])
     cols = list(zip(*rows, strict=True))
     return pa.table({"shard": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int32()), "keys": pa.array(cols[2], pa.binary()), "vals": pa.array(cols[3], pa.binary())})
 
 
-def _finish_words(table: pa.Table, folder: str) -> pa.Table:
-    """Add to one word shard the words before each word and the spread of its followers."""
+def _width_of(ids: np.ndarray, m: dict) -> np.ndarray:
+    """Over how many shards each word is spread, by its stored count."""
+    t, c = _tables(m["folder"]), np.full(len(ids), m["docs"], np.int64)
+    place = np.maximum(ids - FIRST, 0)
+    for k in np.unique(place // m["cap"]).tolist():
+        own = (place // m["cap"] == k) & (ids >= FIRST)
+        if own.any():
+            c[own] = t.get(f"words{k}")["c"][place[own] % m["cap"]]
+    return widths(c, m)
+
+
+def _dealt(kind: int, keys: np.ndarray, values: np.ndarray, shard: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
+    order = np.argsort(shard, kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(shards + 1))
+    part = lambda x, k: np.ascontiguousarray(x[order[edge[k] : edge[k + 1]]])
+    return [(k, kind, part(keys, k).astype("<u8").tobytes(), part(values, k).astype(np.int64 if kind == _FOLLOW else np.uint32).tobytes()) for k in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def _finish(table: pa.Table, m: dict) -> pa.Table:
+    """To one shard's words: the words before each and the spread of its followers; and its spread pairs."""
     shard, kinds = table.column("shard")[0].as_py(), table.column("kind").to_numpy()
     part = lambda kind, col, dtype: _joined(table.filter(pa.array(kinds == kind)).column(col), dtype)
-    path = f"{folder}/w{shard}.npy"
-    w = np.load(path) >> _SHORT if os.path.exists(path) else np.zeros(0, np.uint64)
-    before, follow = np.zeros(len(w), np.int64), np.zeros((len(w), 3), np.int64)
-    begin = np.zeros(3, np.int64)
-    for kind, width in ((0, 1), (1, 3)):
-        keys, vals = part(kind, "keys", np.uint64), part(kind, "vals", np.uint32).reshape(-1, width).astype(np.int64)
-        if kind == 1:
-            begin = vals[keys == BEGIN >> _SHORT].sum(axis=0)
-        if not len(w):
-            continue
-        at = np.minimum(np.searchsorted(w, keys), len(w) - 1)
-        ok = w[at] == keys
-        for c in range(width):
-            got = np.bincount(at[ok], weights=vals[ok, c], minlength=len(w)).astype(np.int64)
-            if kind == 0:
-                before = got
-            else:
-                follow[:, c] = got
-    if len(w):
-        # words whose upper bits agree share one entry
-        same = np.searchsorted(w, w)
-        before, follow = before[same], follow[same]
-    _save(folder, f"b{shard}", before.astype(np.uint32))
-    _save(folder, f"f{shard}", follow.astype(np.uint32))
-    spread = part(2, "vals", np.uint32).reshape(-1, 4).astype(np.int64).sum(axis=0)
-    cont = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum()), int(before.sum())]
-    row = [*spread.tolist(), *cont, *begin.tolist()]
+    stored = Tables(m["folder"]).get(f"words{shard}")
+    size = len(stored["w"]) if stored else 0
+    before, follow, begin = np.zeros(size, np.int64), np.zeros((size, 4), np.int64), np.zeros(4, np.int64)
+    ids, vals = part(_BEFORE, "keys", np.int64), part(_BEFORE, "vals", np.uint32)
+    np.add.at(before, (ids - FIRST) % m["cap"], vals.astype(np.int64))
+    ids, vals = part(_FOLLOW, "keys", np.int64), part(_FOLLOW, "vals", np.int64).reshape(-1, 4)
+    begin += vals[ids == START].sum(axis=0)
+    np.add.at(follow, (ids[ids >= FIRST] - FIRST) % m["cap"], vals[ids >= FIRST])
+    arrays = {"before": before, "follow": follow}
+    keys, vals = part(_CONTEXT, "keys", np.uint64), part(_CONTEXT, "vals", np.uint32).reshape(-1, 4).astype(np.int64)
+    if len(keys):
+        order = np.argsort(keys)
+        at = starts(keys[order])
+        vals = np.add.reduceat(vals[order], at, axis=0)
+        several = vals[:, 3] > 1
+        arrays |= hash_array("context", keys[order][at][several], vals[several])
+    _save(m["folder"], f"more{shard}", arrays)
+    spread = part(_SPREAD, "vals", np.int64).reshape(-1, 8).sum(axis=0)
+    row = [*spread.tolist(), *_seen(before), int((before > 2).sum()), int(before.sum()), *begin.tolist()]
     return pa.table({f"x{k}": pa.array([int(x)]) for k, x in enumerate(row)})
 
 
@@ -253,77 +447,16 @@ def count(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TOK
     bounds = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, math.ceil((bounds[1] / 6 + bounds[0]) / shard_tokens))
     counted = texts.mapInArrow(lambda it: _count_words(it, shards), "shard long, w binary, n binary")
-    tops = cut(counted.groupBy("shard").applyInArrow(lambda t: _add_words(t, folder), "w long, n long, types long"))
-    total = tops.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    n_docs = bounds[0]
-    top = tops.where(F.col("w").isNotNull() & (F.col("n") > total[0] / HOT)).collect()  # at most HOT rows
-    frequent = {int(np.array([r["w"]], np.int64).view(np.uint64)[0] >> _SHORT): r["n"] for r in top} | ({int(BEGIN >> _SHORT): n_docs} if n_docs > total[0] / HOT else {})
-    hot = np.array(sorted(frequent), np.uint64)
-    width = np.array([min(shards, max(1, math.ceil(4 * shards * frequent[int(h)] / max(1, total[0])))) for h in hot], np.int64)
-    paired = texts.mapInArrow(lambda it: _count_pairs(it, shards, hot, width), "shard long, h1 binary, run binary, h2 binary, few binary, many binary")
-    given = paired.groupBy("shard").applyInArrow(lambda t: _add_pairs(t, folder, shards), "shard long, kind int, keys binary, vals binary")
-    names = [f"x{k}" for k in range(13)]
-    done = cut(given.groupBy("shard").applyInArrow(lambda t: _finish_words(t, folder), ", ".join(f"{n} long" for n in names)))
+    sizes = cut(counted.groupBy("shard").applyInArrow(lambda t: _add_words(t, folder), "n long, types long"))
+    total, types, cap = (int(x or 0) for x in sizes.agg(F.sum("n"), F.sum("types"), F.max("types")).first())
+    m = {"folder": folder, "shards": shards, "cap": max(1, cap), "tokens": total, "types": types, "docs": bounds[0]}
+    m["bytes"] = ((FIRST + shards * m["cap"]).bit_length() + 7) // 8
+    sent = texts.mapInArrow(lambda it: _count_trigrams(it, m), "shard long, " + ", ".join(f"{c} binary" for c in _SENT))
+    given = sent.groupBy("shard").applyInArrow(lambda t: _add_trigrams(t, m), "shard long, kind int, keys binary, vals binary")
+    names = [f"x{k}" for k in range(18)]
+    done = cut(given.groupBy("shard").applyInArrow(lambda t: _finish(t, m), ", ".join(f"{n} long" for n in names)))
     x = [int(v or 0) for v in done.agg(*[F.sum(n) for n in names]).first()]
-    return {"folder": folder, "shards": shards, "hot": hot, "width": width, "tokens": int(total[0]), "types": int(total[1]), "docs": n_docs, "pairs": discounts(*x[:4]), "words": discounts(*x[4:8]), "word_spread": (x[4], x[5], x[8]), "word_pairs": x[9], "begin": x[10:13]}
-
-
-class Tables:
-    """The stored arrays of one model, mapped into memory when first asked for."""
-
-    def __init__(self, folder: str):
-        self.folder, self.open = folder, {}
-
-    def get(self, kind: str, shard: int) -> np.ndarray | None:
-        name = f"{kind}{shard}"
-        if name not in self.open:
-            self.open[name] = None
-            with contextlib.suppress(FileNotFoundError):  # a shard without words or pairs
-                self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
-        return self.open[name]
-
-
-@lru_cache(maxsize=2)
-def _tables(folder: str) -> Tables:
-    return Tables(folder)
-
-
-def _find(table: np.ndarray | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if table is None or not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-def _look_words(w: np.ndarray, m: dict, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count, words before, spread of followers) of sorted distinct words."""
-    c, before, follow = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), np.zeros((len(w), 3), np.int64)
-    edge = np.searchsorted(shard_of(w >> _SHORT, m["shards"]), np.arange(m["shards"] + 1))
-    for k in np.flatnonzero(np.diff(edge)).tolist():
-        s = slice(edge[k], edge[k + 1])
-        at, ok = _find(t.get("w", k), w[s])
-        if ok.any():
-            for out, kind in ((c, "c"), (before, "b"), (follow, "f")):
-                part = out[s]
-                part[ok] = t.get(kind, k)[at[ok]]
-    return c, before, follow
-
-
-def _look_pairs(h1: np.ndarray, h2: np.ndarray, m: dict, t: Tables) -> np.ndarray:
-    key, shard = pair_key(h1, h2), _spread(h1, h2, m["shards"], m["hot"], m["width"])
-    order = np.argsort(key)
-    order = order[np.argsort(shard[order].astype(np.uint16) if m["shards"] < 65536 else shard[order], kind="stable")]
-    key, edge = key[order], np.searchsorted(shard[order], np.arange(m["shards"] + 1))
-    n = np.zeros(len(key), np.int64)
-    for k in np.flatnonzero(np.diff(edge)).tolist():
-        s = slice(edge[k], edge[k + 1])
-        at, ok = _find(t.get("k", k), key[s])
-        if ok.any():
-            part = n[s]
-            part[ok] = t.get("n", k)[at[ok]]
-    out = np.empty_like(n)
-    out[order] = n
-    return out
+    return m | {"trigrams": discounts(*x[:4]), "pairs": discounts(*x[4:8]), "words": discounts(*x[8:12]), "word_spread": (x[8], x[9], x[12]), "word_pairs": x[13], "begin": x[14:18]}
 
 
 def _less(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -331,29 +464,70 @@ def _less(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0)
 
 
-def log_probabilities(seq: np.ndarray, before: np.ndarray, m: dict, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability, training count) of each token."""
-    w = distinct(np.append(seq, BEGIN))[0]
-    c, prior, follow = _look_words(w, m, t)
-    own = np.searchsorted(w, seq)
-    b = int(np.searchsorted(w, BEGIN))
-    context = c.copy()
-    context[b], follow[b] = m["docs"], m["begin"]
+def _blend(n: np.ndarray, spread: np.ndarray, d: tuple[float, float, float], low: np.ndarray) -> np.ndarray:
+    """Discounted share of a count in its context, plus what the discounts leave for the lower order."""
+    p = (_less(n, d) + (spread[:, :3] @ np.array(d)) * low) / np.maximum(spread[:, 3], 1)
+    return np.where(spread[:, 3] > 0, p, low)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        yield k, order[edge[k] : edge[k + 1]]
+
+
+def log_probabilities(seq: np.ndarray, before: np.ndarray, second: np.ndarray, m: dict, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability, training count) of each of at most ``FLUSH`` tokens."""
+    h = distinct(np.concatenate((seq, before[:1], second[:2], [BEGIN])))[0]
+    ids, c = word_ids(h, m, t)
+    width, size, known = widths(c, m), len(h), ids != NONE
+    prior, follow = np.zeros(size, np.int64), np.zeros((size, 4), np.int64)
+    for k, own in _by_shard(np.maximum(ids - FIRST, 0) // m["cap"], m["shards"]):
+        more = t.get(f"more{k}")
+        own = own[ids[own] >= FIRST]
+        if len(own):
+            prior[own], follow[own] = more["before"][(ids[own] - FIRST) % m["cap"]], more["follow"][(ids[own] - FIRST) % m["cap"]]
+    follow[ids == START] = m["begin"]
     share = sum(x * y for x, y in zip(m["words"], m["word_spread"], strict=True))
-    total = m["word_pairs"]
-    low = (_less(prior, m["words"]) + share / (m["types"] + 1)) / total if total else np.full(len(w), 1 / (m["types"] + 1))
-    pair = np.searchsorted(w, before) * len(w) + own
-    order = np.argsort(pair)
-    sorted_ = pair[order]
-    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
-    one, two = sorted_[new] // len(w), sorted_[new] % len(w)
-    n = _look_pairs(w[one] >> _SHORT, w[two] >> _SHORT, m, t)
-    seen = context[one]
-    p = (_less(n, m["pairs"]) + (follow[one] @ np.array(m["pairs"])) * low[two]) / np.maximum(seen, 1)
-    p = np.where(seen > 0, p, low[two])
-    out = np.empty(len(seq))
-    out[order] = np.log10(p)[np.cumsum(new) - 1]
-    return out, c[own]
+    low = (_less(prior, m["words"]) + share / (m["types"] + 1)) / m["word_pairs"] if m["word_pairs"] else np.full(size, 1 / (m["types"] + 1))
+
+    # distinct pairs; the two words before a token are the pair of the token before it, but for the first of a text or piece
+    w, v, u = (np.searchsorted(h, x) for x in (seq, before, second))
+    n, edge = len(seq), np.flatnonzero((before == BEGIN) | (np.arange(len(seq)) == 0))
+    code = np.concatenate((v * size + w, u[edge] * size + v[edge]))
+    order = np.argsort(code)
+    at = starts(code[order])
+    place = np.empty(len(code), np.int64)
+    place[order] = np.repeat(np.arange(len(at)), lengths(at, len(code)))
+    one, two = np.divmod(code[order[at]], size)
+    own, above = place[:n], np.concatenate(([0], place[: n - 1]))
+    above[edge] = place[n:]
+
+    real = np.flatnonzero(known[one] & known[two])
+    key = key_of(ids[one[real]], ids[two[real]])
+    times, context, met = np.zeros(len(one), np.int64), np.zeros((len(one), 4), np.int64), np.zeros(len(one), bool)
+    for k, s in _by_shard(placed(ids[one[real]], ids[two[real]], width[one[real]], m), m["shards"]):
+        times[real[s]], met[real[s]] = find(t.get(f"trigrams{k}"), "pair", key[s])
+    start, end = ids[one] == START, h[two] == END
+    met |= start & (ids[two] == START) & (m["docs"] > 0)
+    context[met & ~end] = (1, 0, 0, 1)
+    narrow = width[two[real]] == 1
+    for name, some, shard in (("trigrams", narrow, np.maximum(ids[two[real]] - FIRST, 0) // m["cap"]), ("more", ~narrow, shard_of(key, m["shards"]))):
+        some = np.flatnonzero(some & met[real])
+        for k, s in _by_shard(shard[some], m["shards"]):
+            s = some[s]
+            got, ok = find(t.get(f"{name}{k}"), "context", key[s])
+            context[real[s[ok]]] = got[ok]
+    middle = _blend(times, follow[one], m["pairs"], low[two])
+
+    # a trigram can be known only if both of its pairs are
+    tried = np.flatnonzero((times[own] > 0) & met[above])
+    iu, iv, iw = ids[u[tried]], ids[v[tried]], ids[w[tried]]
+    key, found = key_of(iu, iv, iw), np.zeros(n, np.int64)
+    for k, s in _by_shard(placed(iv, iw, width[v[tried]], m), m["shards"]):
+        found[tried[s]] = find(t.get(f"trigrams{k}"), "trigram", key[s])[0]
+    return np.log10(_blend(found, context[above], m["trigrams"], middle[own])), c[w]
 
 
 _ADDED = [("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("lm_score", "double")]
@@ -365,9 +539,10 @@ def _score(batches: Iterator[pa.RecordBatch], text: str, m: dict) -> Iterator[pa
     for batch in batches:
         n = batch.num_rows
         size, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for i, j, data, off in pieces(batch.column(text), LOOK_BYTES):
-            seq, before, first = tokens(data, off)
-            log, c = log_probabilities(seq, before, m, t)
+        for i, j, data, off in pieces(batch.column(text)):
+            *three, first = tokens(data, off)
+            parts = [log_probabilities(*[x[a : a + FLUSH] for x in three], m, t) for a in range(0, len(three[0]), FLUSH)]
+            log, c = (np.concatenate(x) for x in zip(*parts, strict=True))
             size[i:j] = np.diff(first)
             known[i:j] = np.add.reduceat((c > 0).astype(np.int64), first[:-1])
             base[i:j] = np.add.reduceat(np.log10(c + 0.1) - scale, first[:-1])
@@ -382,7 +557,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     base_score that of add-0.1 unigrams, n_known the tokens that training holds.
 
     Null text: empty, one end token.  Repeated rows score alike; null ids
-    don't matter.  Very long texts are looked up in one piece of their own.  A
+    don't matter.  Very long texts are looked up a few million tokens at a time.  A
     model counted over an empty table gives every token the same probability.
     Empty table: no rows.  All columns pass through; the added names must not
     be taken.
