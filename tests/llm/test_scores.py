@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from trilayer.llm import kneser_ney
 
 END, BEGIN = object(), object()
@@ -73,3 +75,14 @@ def test_scores_equal_plain_counts(spark):
     some = [BEGIN, *list(words)[:9], "unseen"]
     for u, v in [(u, v) for u in some for v in some if u is not END and v is not END]:
         assert math.isclose(sum(probability(u, v, w) for w in words) + probability(u, v, "unseen"), 1, rel_tol=1e-9)
+
+
+def test_hash_arrays_keep_every_value():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    one, four = rng.choice([1, 2, 254, 255, 256, 70_000, 1 << 40], len(keys)), rng.choice([0, 1, 2, 40_000], (len(keys), 4))
+    stored = kneser_ney.hash_array("pair", keys, one) | kneser_ney.hash_array("context", keys, four)
+    for name, want in (("pair", one), ("context", four)):
+        got, found = kneser_ney.find(stored, name, keys)
+        assert found.all() and (got == want).all()
+        assert not kneser_ney.find(stored, name, keys ^ np.uint64(1 << 45))[1].any()

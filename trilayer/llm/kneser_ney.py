@@ -11,8 +11,8 @@ of a pair as a context is added up in the last job.  That job also gives each
 word how many words precede it and how its own followers are spread.
 
 Shards are stored in the shared folder, one file each, as sorted hash arrays:
-the leading bits of a key choose a cell of about 16 keys, the next 32 are
-stored.  So a key that isn't there is taken for another one in about 4 of 10^9
+the leading bits of a key choose a cell of 16 to 32 keys, the next 32 are
+stored.  So a key that isn't there is taken for another one in up to 8 of 10^9
 look-ups, at every size.  Pairs that occur once as a context aren't stored as
 such: a pair that some word precedes, and that has no entry, has one follower,
 seen once.  Workers map the files into memory.  The files stay in that folder,
@@ -45,7 +45,7 @@ OPEN = 4096
 END, BEGIN = np.uint64(0xE0D0_0000_0000_0001), np.uint64(0xB000_0000_0000_0001)
 # Ids: words that training doesn't hold, what precedes a text, the first word.
 NONE, START, FIRST = 0, 1, 2
-_PER_CELL = 16
+_PER_CELL = 32
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,9 +122,24 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield from flush()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted words of a task and their counts, in parts of about ``FLUSH`` distinct words at most."""
+    w, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for seq, _, _ in _texts(batches):
-        w, n = distinct(seq)
+        more = distinct(seq)
+        both = np.concatenate((w, more[0]))
+        order = np.argsort(both)
+        at = starts(both[order])
+        w, n = both[order][at], np.add.reduceat(np.concatenate((n, more[1]))[order], at)
+        if len(w) >= FLUSH // 2:
+            yield w, n
+            w, n = w[:0], n[:0]
+    if len(w):
+        yield w, n
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for w, n in _word_counts(batches):
         edge = np.searchsorted(shard_of(w, shards), np.arange(shards + 1))
         some = np.flatnonzero(np.diff(edge))
         cut_ = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary())  # noqa: E731, B023
@@ -181,14 +196,19 @@ def _least(x: np.ndarray) -> np.ndarray:
 
 
 def hash_array(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted hash array of distinct keys and their values (rows of several columns are stored once each)."""
+    """Sorted hash array of distinct keys and their values.
+
+    Values are bytes, larger ones are kept aside; rows of several columns are stored once each.
+    """
     order = np.argsort(keys)
     keys = keys[order]
     bits = max(1, (len(keys) // _PER_CELL).bit_length())
     cell = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     out = {f"{name}_cell": cell.astype(np.uint32), f"{name}_key": (keys >> np.uint64(32 - bits)).astype(np.uint32)}
     if values.ndim == 1:
-        return out | {f"{name}_val": _least(values[order])}
+        values = values[order]
+        large = np.flatnonzero(values >= 255)
+        return out | {f"{name}_val": np.minimum(values, 255).astype(np.uint8), f"{name}_at": large.astype(np.uint32), f"{name}_large": values[large]}
     # narrow rows are told apart by a packed key, wide ones are all kept
     narrow = (values < 1 << 15).all(axis=1)
     packed = np.where(narrow, values @ (1 << 15 * np.arange(4)), (1 << 61) + np.arange(len(values)))
@@ -216,6 +236,9 @@ def find(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> tuple[np
     if f"{name}_row" in arrays:
         got = arrays[f"{name}_row"][got]
         return np.where(ok[:, None], got, 0), ok
+    large = np.flatnonzero(got == 255)
+    if len(large):
+        got[large] = arrays[f"{name}_large"][np.searchsorted(arrays[f"{name}_at"], at[large])]
     return np.where(ok, got, 0), ok
 
 
@@ -331,6 +354,7 @@ def _seen(n: np.ndarray) -> list[int]:
 
 #: What trigram shards give: words before a word, followers of a word, numbers of all, followers of a pair.
 _BEFORE, _FOLLOW, _SPREAD, _CONTEXT = range(4)
+_NOT_A_WORD = 0xFFFFFFFF
 
 
 def _add_trigrams(table: pa.Table, m: dict) -> pa.Table:
@@ -368,7 +392,8 @@ def _add_trigrams(table: pa.Table, m: dict) -> pa.Table:
     at = starts(v)
     last, times = distinct(w)
     for kind, keys, values in ((_BEFORE, names[1][last], times[:, None]), (_FOLLOW, names[0][v[at]], _classes(before, at))):
-        rows += _dealt(kind, keys, values, np.maximum(keys - FIRST, 0) // m["cap"], m["shards"])
+        home, place = np.divmod(np.maximum(keys - FIRST, 0), m["cap"])
+        rows += _dealt(kind, np.where(keys == START, _NOT_A_WORD, place).astype(np.uint32), values, home, m["shards"])
     if wide.any():
         keys = key_of(first[wide], mid[wide])
         rows += _dealt(_CONTEXT, keys, context[wide], shard_of(keys, m["shards"]), m["shards"])
@@ -391,7 +416,7 @@ def _dealt(kind: int, keys: np.ndarray, values: np.ndarray, shard: np.ndarray, s
     order = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
     part = lambda x, k: np.ascontiguousarray(x[order[edge[k] : edge[k + 1]]])
-    return [(k, kind, part(keys, k).astype("<u8").tobytes(), part(values, k).astype(np.int64 if kind == _FOLLOW else np.uint32).tobytes()) for k in np.flatnonzero(np.diff(edge)).tolist()]
+    return [(k, kind, part(keys, k).tobytes(), part(values, k).astype(np.uint32).tobytes()) for k in np.flatnonzero(np.diff(edge)).tolist()]
 
 
 def _finish(table: pa.Table, m: dict) -> pa.Table:
@@ -401,11 +426,12 @@ def _finish(table: pa.Table, m: dict) -> pa.Table:
     stored = Tables(m["folder"]).get(f"words{shard}")
     size = len(stored["w"]) if stored else 0
     before, follow, begin = np.zeros(size, np.int64), np.zeros((size, 4), np.int64), np.zeros(4, np.int64)
-    ids, vals = part(_BEFORE, "keys", np.int64), part(_BEFORE, "vals", np.uint32)
-    np.add.at(before, (ids - FIRST) % m["cap"], vals.astype(np.int64))
-    ids, vals = part(_FOLLOW, "keys", np.int64), part(_FOLLOW, "vals", np.int64).reshape(-1, 4)
-    begin += vals[ids == START].sum(axis=0)
-    np.add.at(follow, (ids[ids >= FIRST] - FIRST) % m["cap"], vals[ids >= FIRST])
+    place, vals = part(_BEFORE, "keys", np.uint32), part(_BEFORE, "vals", np.uint32)
+    np.add.at(before, place, vals.astype(np.int64))
+    place, vals = part(_FOLLOW, "keys", np.uint32), part(_FOLLOW, "vals", np.uint32).reshape(-1, 4).astype(np.int64)
+    word = place != _NOT_A_WORD
+    begin += vals[~word].sum(axis=0)
+    np.add.at(follow, place[word], vals[word])
     arrays = {"before": before, "follow": follow}
     keys, vals = part(_CONTEXT, "keys", np.uint64), part(_CONTEXT, "vals", np.uint32).reshape(-1, 4).astype(np.int64)
     if len(keys):
