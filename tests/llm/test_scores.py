@@ -1,4 +1,4 @@
-"""The language model's probabilities against a plain count, and that they sum to one."""
+"""The language model's probabilities against a plain count, and that they sum to one; each pair of vectors counts in one block."""
 
 import math
 import random
@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from trilayer.llm import kneser_ney
+from trilayer.llm import embedding_join, kneser_ney
 
 END, BEGIN = object(), object()
 
@@ -86,3 +86,18 @@ def test_hash_arrays_keep_every_value():
         got, found = kneser_ney.find(stored, name, keys)
         assert found.all() and (got == want).all()
         assert not kneser_ney.find(stored, name, keys ^ np.uint64(1 << 45))[1].any()
+
+
+def test_a_pair_at_the_edge_of_a_block_counts_once():
+    dim, blocks, threshold = 64, 4, 0.93
+    share = (2 - 2 * threshold) / blocks
+    for excess in (-1.5, -0.5, 0.5, 1.5, 2.5):
+        apart = np.full(blocks, 0.03)
+        apart[0] = share + excess * embedding_join._SLACK
+        x = np.zeros((2, dim))
+        for (lo, _), d in zip(embedding_join.block_edges(dim, blocks), apart, strict=True):
+            x[:, lo] = np.sqrt(d) / 2 * np.array([1, -1])
+            x[:, lo + 1] = np.sqrt((1 - apart.sum() / 4) / blocks)
+        raw, zero = x @ embedding_join.rotation(dim).T, np.zeros(2, np.int64)
+        got = [embedding_join._tile(np.arange(2), zero + 1, zero, zero, raw, b, (0, 0), threshold, blocks)[2] for b in range(blocks)]
+        assert sum(int(n.sum()) for n in got) == 2

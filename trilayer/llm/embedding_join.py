@@ -79,12 +79,12 @@ def _tile(rid: np.ndarray, copies: np.ndarray, side: np.ndarray, chunk: np.ndarr
             ok = (raw[p] * raw[q]).sum(axis=1) / (norm[p] * norm[q]) >= threshold
             ok &= rid[p] != rid[q]
             p, q = p[ok], q[ok]
-            for e0, e1 in edges[:block]:  # met in an earlier block
+            for e, (e0, e1) in enumerate(edges[: block + 1]):  # counts in the first block whose budget it keeps
                 away = np.zeros(len(p))
                 for c in range(e0, e1):
                     away += (x[p, c] - x[q, c]) ** 2
-                later = away > budget * (e1 - e0) / dim + _SLACK
-                p, q = p[later], q[later]
+                ok = (away <= budget * (e1 - e0) / dim + _SLACK) == (e == block)
+                p, q = p[ok], q[ok]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
             p_all.append(p)
