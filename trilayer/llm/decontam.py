@@ -1,35 +1,43 @@
 """Benchmark decontamination with an FM-index per shard of documents.
 
-A shard is a run of whole documents of bounded size inside a task.  Its words
-become symbols of the benchmark's alphabet (all other words are one separator,
-which no phrase holds), runs of symbols shorter than the shortest phrase can
-hold no phrase and are left out, and the rest is indexed: suffix order by
-prefix doubling, Burrows-Wheeler transform in a wavelet matrix with block
-ranks, every eighth suffix position kept.  All phrases are searched backward at
-once, their rows located by walking to a kept position, and the word spans
-merged per document.  No shuffle is needed: documents stay in their rows.
-
-The benchmark is read in blocks of bounded text, one pass over the documents
-for each block; nothing of unbounded size is broadcast.
+A shard is a run of words of bounded size inside a task: whole documents, or a
+part of a very long one that overlaps the next by what a phrase needs.  All of
+its words are indexed, once: each distinct word is a symbol, suffixes are
+ordered by prefix doubling over the groups that are not yet told apart, the
+Burrows-Wheeler transform is a wavelet matrix with block ranks, and every
+eighth suffix position is kept.  All blocks of phrases are searched backward in
+the same index, their rows located by walking to a kept position, and the word
+spans merged per document.  The documents are read in one pass, whatever the
+benchmark's size, and stay in their rows: no shuffle.
+
+A benchmark whose measured size fits one block travels to the tasks; a larger
+one is cut into blocks of bounded text by Spark, each a file in the shared
+folder that a task opens when it searches it.
 """
 
 from __future__ import annotations
 
+import os
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trilayer.llm._spark import cut
+from trilayer.llm._spark import cut, mounted_dir
 from trilayer.llm._text import pieces, spans_of, text_word_hashes, word_hashes, words
 
 WINDOW = 13
-#: Characters of benchmark text per pass.
+#: Bytes of benchmark text in one block of phrases.
 BLOCK_CHARS = 2_000_000
+#: Words in one index.
+SHARD_WORDS = 1 << 20
 _RATE = 8
 
 
@@ -83,20 +91,22 @@ class FMIndex:
         n = len(seq)
         sep = seq == 0
         rank = np.where(sep, np.cumsum(sep) - 1, seq + int(sep.sum()))
-        order, h = np.argsort(rank, kind="stable"), 1
-        while n > 1:
-            after = np.full(n, -1, np.int64)
-            after[:-h] = rank[h:]
-            key = (rank << 32) | (after + 1)
-            order = np.argsort(key)
-            key = key[order]
-            new = np.zeros(n, np.int64)
-            new[1:] = np.cumsum(key[1:] != key[:-1])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            h *= 2
-            if new[-1] == n - 1 or h >= n:
+        order = np.argsort(rank)
+        rows, key, rank, h = np.arange(n), rank[order], np.empty(n, np.int64), 1
+        suffix = order
+        while True:
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            rank[suffix] = np.maximum.accumulate(np.where(new, rows, 0))  # first row of the group
+            rows = rows[~(new & np.concatenate((new[1:], [True])))]
+            if not len(rows):
                 break
+            suffix = order[rows]
+            after = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
+            key = (rank[suffix] << 32) | after
+            by = np.argsort(key)
+            suffix, key = suffix[by], key[by]
+            order[rows] = suffix
+            h *= 2
         self.n = n
         bwt = seq[order - 1]
         self.wavelet = WaveletMatrix(bwt, max(1, int(sigma).bit_length()))
@@ -143,17 +153,17 @@ class Phrases:
         known: dict[bytes, int] = {}
         owners: list[set[int]] = []
         grams: list[np.ndarray] = []
-        items = sorted({"null" if i is None else str(i) for i, _ in rows})
+        items = sorted({i for i, _ in rows})
         number = {x: k for k, x in enumerate(items)}
         for item, text in rows:
-            h = text_word_hashes(text or "")
+            h = text_word_hashes(text)
             for k in range(max(1, len(h) - size + 1) if len(h) else 0):
                 g = h[k : k + size]
                 w = known.setdefault(g.tobytes(), len(grams))
                 if w == len(grams):
                     grams.append(g)
                     owners.append(set())
-                owners[w].add(number["null" if item is None else str(item)])
+                owners[w].add(number[item])
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         alphabet = np.sort(every)
         alphabet = alphabet[np.concatenate(([True], alphabet[1:] != alphabet[:-1]))] if len(alphabet) else alphabet
@@ -164,121 +174,131 @@ class Phrases:
         return cls(alphabet, np.searchsorted(alphabet, every) + 1, start(length), length, start(count), count, flat, items)
 
 
-def find(h: np.ndarray, row_first: np.ndarray, ph: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of all phrases in a shard's words: (first word, phrase)."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(ph.length) or not len(h):
-        return none
-    place = np.minimum(np.searchsorted(ph.alphabet, h), len(ph.alphabet) - 1)
-    symbol = np.where(ph.alphabet[place] == h, place + 1, 0)
-    # maximal runs of known words inside a document
-    known = symbol != 0
-    begins = known.copy()
-    begins[1:] &= ~known[:-1]
-    border = row_first[row_first < len(h)]
-    begins[border] |= known[border]
-    first = np.flatnonzero(begins)
-    last = known.copy()
-    last[:-1] &= ~known[1:] | begins[1:]
-    size = np.flatnonzero(last) + 1 - first
-    long = size >= ph.length.min()
-    first, size = first[long], size[long]
-    if not len(first):
-        return none
-    # separator, run, separator, run, ..., separator
-    at = spans_of(first, size)
-    seq = np.zeros(len(at) + len(first) + 1, np.int64)
-    origin = np.full(len(seq), -1, np.int64)
-    to = np.arange(len(at)) + np.repeat(np.arange(1, len(first) + 1), size)
-    seq[to], origin[to] = symbol[at], at
-    index = FMIndex(seq, len(ph.alphabet))
-    live = np.arange(len(ph.length))
-    lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(seq), np.int64)
-    found = []
-    for step in range(int(ph.length.max())):
-        c = ph.symbols[ph.first[live] + ph.length[live] - 1 - step]
-        lo, hi = index.search(lo, hi, c)
-        some = lo < hi
-        live, lo, hi = live[some], lo[some], hi[some]
-        whole = ph.length[live] == step + 1
-        if whole.any():
-            found.append((live[whole], lo[whole], hi[whole]))
-            live, lo, hi = live[~whole], lo[~whole], hi[~whole]
-        if not len(live):
-            break
-    if not found:
-        return none
-    p, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-    return origin[index.locate(spans_of(lo, hi - lo))], np.repeat(p, hi - lo)
+class Shard:
+    """Index of the words of consecutive documents; row_first: where documents start."""
+
+    def __init__(self, h: np.ndarray, row_first: np.ndarray):
+        self.alphabet, symbol = np.unique(h, return_inverse=True)
+        begins = np.zeros(len(h), np.int64)
+        begins[row_first] = 1
+        begins[0] = 1
+        # separator, document, separator, document, ..., separator
+        to = np.arange(len(h)) + np.cumsum(begins)
+        seq = np.zeros(len(h) + int(begins.sum()) + 1, np.int64)
+        self.origin = np.full(len(seq), -1, np.int64)
+        seq[to], self.origin[to] = symbol + 1, np.arange(len(h))
+        self.index = FMIndex(seq, len(self.alphabet))
+
+    def find(self, ph: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of all phrases: (first word, phrase)."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(ph.length):
+            return none
+        place = np.minimum(np.searchsorted(self.alphabet, ph.alphabet), len(self.alphabet) - 1)
+        symbols = np.where(self.alphabet[place] == ph.alphabet, place + 1, 0)[ph.symbols - 1]
+        live = np.flatnonzero(np.minimum.reduceat(symbols, ph.first))
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.index.n, np.int64)
+        found, step = [], 0
+        while len(live):
+            lo, hi = self.index.search(lo, hi, symbols[ph.first[live] + ph.length[live] - 1 - step])
+            step += 1
+            some = lo < hi
+            live, lo, hi = live[some], lo[some], hi[some]
+            whole = ph.length[live] == step
+            if whole.any():
+                found.append((live[whole], lo[whole], hi[whole]))
+                live, lo, hi = live[~whole], lo[~whole], hi[~whole]
+        if not found:
+            return none
+        p, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        return self.origin[self.index.locate(spans_of(lo, hi - lo))], np.repeat(p, hi - lo)
 
 
 _ADDED = [("n_words", "bigint"), ("spans", "array<struct<first:bigint,end:bigint>>"), ("items", "array<string>")]
 _SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
 
 
-def _shard(col: pa.Array, ph: Phrases) -> Iterator[tuple]:
-    """For each piece of a text column: words of each row, spans (row, first, end) and items (row, item)."""
-    for i, j, data, off in pieces(col):
+def _load(block: Phrases | str) -> Phrases:
+    if isinstance(block, Phrases):
+        return block
+    with open(block, "rb") as f:
+        return pickle.load(f)
+
+
+def _runs(on: np.ndarray, wf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of marked words inside a row: (row, first, end), words counted from the row's start."""
+    begin, border = on.copy(), wf[:-1][wf[:-1] < len(on)]
+    begin[1:] &= ~on[:-1]
+    begin[border] |= on[border]
+    close = on.copy()
+    close[:-1] &= ~on[1:] | begin[1:]
+    a, b = np.flatnonzero(begin), np.flatnonzero(close) + 1
+    row = np.searchsorted(wf, a, side="right") - 1
+    return row, a - wf[row], b - wf[row]
+
+
+def _shards(col: pa.Array, blocks: list[Phrases | str], size: int, shard_words: int) -> Iterator[tuple]:
+    """For each piece of a text column: first row, words of each row, spans (row, first, end) and items (row, item)."""
+    for i, _, data, off in pieces(col):
         low, s, e, wf = words(data, off)
         h = word_hashes(low, s, e)
-        start, phrase = find(h, wf[:-1], ph)
-        edge = np.zeros(len(h) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + ph.length[phrase], -1)
-        hit = np.cumsum(edge)[:-1] > 0
-        row = np.searchsorted(wf, start, side="right") - 1
-        n = ph.owner_count[phrase]
-        pair = np.sort((np.repeat(row, n) << 32) | ph.owners[spans_of(ph.owner_first[phrase], n)])
-        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
-        begin = hit.copy()
-        begin[1:] &= ~hit[:-1]
-        border = wf[:-1][wf[:-1] < len(h)]
-        begin[border] |= hit[border]
-        close = hit.copy()
-        close[:-1] &= ~hit[1:] | begin[1:]
-        a, b = np.flatnonzero(begin), np.flatnonzero(close) + 1
-        span_row = np.searchsorted(wf, a, side="right") - 1
-        yield i, np.diff(wf), span_row, a - wf[span_row], b - wf[span_row], pair >> 32, pair & 0xFFFFFFFF
-
-
-def _scan(batches: Iterator[pa.RecordBatch], ph: Phrases, text: str, names: list[str], more: bool) -> Iterator[pa.RecordBatch]:
+        edge, items = np.zeros(len(h) + 1, np.int64), set()
+        for a in range(0, len(h), shard_words):
+            b = min(len(h), a + shard_words + size - 1)  # a phrase that starts here ends here
+            shard = Shard(h[a:b], np.unique(wf[np.searchsorted(wf, a) : np.searchsorted(wf, b)]) - a)
+            for block in blocks:
+                ph = _load(block)
+                start, phrase = shard.find(ph)
+                start = start + a
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + ph.length[phrase], -1)
+                n = ph.owner_count[phrase]
+                pair = np.unique((np.repeat(np.searchsorted(wf, start, side="right") - 1, n) << 32) | ph.owners[spans_of(ph.owner_first[phrase], n)])
+                items.update((x >> 32, ph.items[x & 0xFFFFFFFF]) for x in pair.tolist())
+        yield i, np.diff(wf), *_runs(np.cumsum(edge)[:-1] > 0, wf), sorted(items)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], blocks: list[Phrases | str], text: str, names: list[str], size: int, shard_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         n_words, spans, items = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
-        for i, count, srow, a, b, irow, item in _shard(batch.column(text), ph):
+        for i, count, row, a, b, found in _shards(batch.column(text), blocks, size, shard_words):
             n_words[i : i + len(count)] = count
-            for r, x, y in zip((srow + i).tolist(), a.tolist(), b.tolist(), strict=True):
-                spans[r].append((x, y))
-            for r, x in zip((irow + i).tolist(), item.tolist(), strict=True):
-                items[r].append(ph.items[x])
-        if more:  # join what earlier blocks have found
-            for r, (old, ids) in enumerate(zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist(), strict=True)):
-                if old:
-                    merged: list[tuple[int, int]] = []
-                    for x, y in sorted([(o["first"], o["end"]) for o in old] + spans[r]):
-                        if merged and x <= merged[-1][1]:
-                            merged[-1] = (merged[-1][0], max(y, merged[-1][1]))
-                        else:
-                            merged.append((x, y))
-                    spans[r] = merged
-                items[r] = sorted({*ids, *items[r]})
-            batch = batch.drop_columns(names)
-        fields = [pa.array(n_words), pa.array([[{"first": x, "end": y} for x, y in s] for s in spans], pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
+            for r, x, y in zip((row + i).tolist(), a.tolist(), b.tolist(), strict=True):
+                spans[r].append({"first": x, "end": y})
+            for r, x in found:
+                items[i + r].append(x)
+        fields = [pa.array(n_words), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays([*batch.columns, *fields], names=[*batch.schema.names, *names])
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, chars: int) -> Iterator[list[tuple]]:
-    rows, size = [], 0
-    for r in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= chars:
-            yield rows
-            rows, size = [], 0
-    yield rows
+def phrase_blocks(benchmark: DataFrame, item: str, text: str, window: int, chars: int) -> list[Phrases | str]:
+    """Windows of the benchmark in blocks of about ``chars`` bytes of text.
 
-
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, names: tuple[str, str, str] = ("n_words", "spans", "items"), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    One block comes as it is, for its size is measured; of several, the paths of
+    their files.  An item is never cut, so one longer than a block is a block.
+    """
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = cut(rows.distinct())
+    total = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    if total <= chars:
+        return [Phrases.of([tuple(r) for r in rows.collect()], window)]
+    folder, n = mounted_dir(rows.sparkSession, "phrases"), -(-total // chars)
+
+    def save(group: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{group['block'].iloc[0]}"
+        aside = f"{path}-{uuid.uuid4().hex}"
+        with open(aside, "wb") as f:
+            pickle.dump(Phrases.of(list(zip(group["item"], group["text"], strict=True)), window), f, protocol=5)
+        os.replace(aside, path)  # a repeated task leaves the same file
+        return pd.DataFrame({"path": [path]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return sorted(r["path"] for r in dealt.groupBy("block").applyInPandas(save, "path string").collect())
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, names: tuple[str, str, str] = ("n_words", "spans", "items"), block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with the word spans that any benchmark window covers.
 
     Adds n_words (long), spans (merged, in words from 0, end exclusive) and
@@ -290,20 +310,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     Null or wordless text: no words, no spans.  Null or wordless item: no
     window.  Null item_id: the item is called ``null``.  Repeated items count
     once by id.  Repeated rows and null ids of ``docs``: each row has its own
-    result.  Very long texts are shards of their own.  Empty tables: nothing
+    result.  Very long texts are cut into overlapping shards.  Empty tables: nothing
     is marked.  All other columns of ``docs`` pass through.
     """
     names_ = list(names)
     if clash := set(names_) & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
     schema = T.StructType(docs.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, (_, t) in zip(names_, _ADDED, strict=True)])
-    out = docs
-    for k, rows in enumerate(_blocks(benchmark, item_col, item_text_col, block_chars)):
-        ph = Phrases.of(rows, window)
-        if k:
-            out = cut(out)
-        out = out.mapInArrow(lambda it, ph=ph, more=bool(k): _scan(it, ph, text_col, names_, more), schema)
-    return out
+    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_chars)
+    return docs.mapInArrow(lambda it: _scan(it, blocks, text_col, names_, window, shard_words), schema)
 
 
 def hit_words(spans: str = "spans") -> Column:
