@@ -297,3 +297,49 @@ def test_line_dedup_of_short_lines(spark, none):
     got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(df, short=True).collect()}
     want = {i: (f"own {i}\n", 1, 0) for i in range(1, 30)} | {0: (f"own 0\n\n{footer}\n\nOK\n--\n--", 1, 0), 30: ("Terms | Home | Hell", 0, 0), 31: (None, 0, 0)}
     assert got == want
+
+
+def test_decontamination_equals_plain_search_over_all_cuts(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c", "dé", "e", "f,"]) for _ in range(n))
+    items = [(f"i{k}", text(rng.choice([0, 2, 5, 13, 14, 30]))) for k in range(12)] + [("i3", "a a a"), (None, "b c dé b c"), ("i99", None)]
+    rows = [(i, text(rng.choice([0, 1, 3, 40, 400]))) for i in range(30)] + [(30, f"{items[-3][1]} {text(900)}"), (31, None), (None, items[-2][1])]
+    words = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").lower())
+    windows = {}
+    for item, s in items:
+        w = words(s)
+        for k in range(max(1, len(w) - 4) if w else 0):
+            windows.setdefault(tuple(w[k : k + 5]), set()).add(str(item) if item is not None else "null")
+    want = []
+    for i, s in rows:
+        w, hit, found = words(s), set(), set()
+        for g, owners in windows.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    found |= owners
+        want.append((str(i), len(w), sorted(hit), sorted(found)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    for chars, shard in ((decontam.BLOCK_CHARS, decontam.SHARD_WORDS), (60, 7), (1, 50)):
+        got = decontam.mark(d, b, window=5, block_chars=chars, shard_words=shard).collect()
+        assert sorted((str(r.doc_id), r.n_words, [x for s in r.spans for x in range(s.first, s.end)], list(r.items)) for r in got) == sorted(want)
+
+
+def test_license_matches_equal_plain_containment(spark):
+    import random
+    import re
+
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(60)]
+    templates = [(f"t{k}", " ".join(rng.sample(vocabulary, rng.randint(1, 12)))) for k in range(200)] + [("none", "--")]
+    lines = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 25))) for _ in range(300)] + [t for _, t in templates[:20]]
+    words = lambda s: set(re.findall(r"[a-z0-9]+", s))
+    got = license_join.scan(spark.createDataFrame(enumerate(lines), "doc_id long, text string"), templates=templates).collect()
+    for r in got:
+        sets = [(label, words(t)) for label, t in templates if words(t)]
+        want = sorted((label, len(s & words(r.text)) / len(s)) for label, s in sets if len(s & words(r.text)) >= 0.8 * len(s) - 1e-9)
+        assert sorted((m.label, m.containment) for m in r.matches) == want

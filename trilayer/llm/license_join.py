@@ -8,6 +8,8 @@ one global order, rarest first, by the number of blocks of the whole corpus that
 hold them.  A block qualifies only if it holds a token of the template's prefix
 (prefix filter), is long enough (length filter) and has enough tokens left from
 its first shared token on (positional filter); the rest is verified exactly.
+Templates are found from their prefixes' tokens by an inverted index, so a block
+meets only those it shares a rare token with, however many there are.
 Both passes stream over whole texts; only the templates, a table whose size is
 checked, and one count per template token travel to the tasks.
 """
@@ -59,15 +61,42 @@ class Templates:
         self.vocabulary = np.array(every, np.uint64)
         self.labels = [label for label, s in sets if s]
         self.sets = [np.searchsorted(self.vocabulary, np.array(s, np.uint64)) for _, s in sets if s]
-        self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.need = np.array([math.ceil(threshold * n - 1e-9) for n in self.size.tolist()], np.int64)
         self.sequences = [(label, np.searchsorted(self.vocabulary, p)) for label, p in self.phrases]
-        self.rank = np.arange(len(every))
+        self._index(np.arange(len(every)))
+
+    def _index(self, rank: np.ndarray) -> None:
+        """Inverted index of the prefixes (size - need + 1 rarest tokens), and all members by template and token."""
+        self.rank = rank
+        entries = [(t, int(x), p) for t, s in enumerate(self.sets) for p, x in enumerate(s[np.argsort(rank[s])].tolist())]
+        every = np.array(entries, np.int64).reshape(-1, 3)
+        keys = every[:, 0] * len(rank) + every[:, 1]
+        by = np.argsort(keys)
+        self.member, self.place = keys[by], every[by, 2]
+        prefix = every[every[:, 2] <= (self.size - self.need)[every[:, 0]]]
+        prefix = prefix[np.argsort(prefix[:, 1], kind="stable")]
+        self.template_of, self.place_of = prefix[:, 0], prefix[:, 2]
+        self.count_of = np.bincount(prefix[:, 1], minlength=len(rank))
+        self.first_of = np.cumsum(self.count_of) - self.count_of
+
+    def places(self, template: np.ndarray | int, token: np.ndarray) -> np.ndarray:
+        """Place of each token in the order of its template; -1 if it isn't there."""
+        key = template * len(self.rank) + token
+        at = np.minimum(np.searchsorted(self.member, key), len(self.member) - 1)
+        return np.where(self.member[at] == key, self.place[at], -1)
+
+    def postings(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into token, posting) of all prefixes that hold a token."""
+        n = self.count_of[token]
+        return np.repeat(np.arange(len(token)), n), spans_of(self.first_of[token], n)
 
     def order(self, blocks: dict[int, int]) -> Templates:
         """Take the global order from the number of blocks that hold each token."""
         by = sorted(range(len(self.vocabulary)), key=lambda t: (blocks.get(t, 0), int(self.vocabulary[t])))
-        self.rank = np.empty(len(by), np.int64)
-        self.rank[by] = np.arange(len(by))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self._index(rank)
         return self
 
 
@@ -101,24 +130,23 @@ def _count(batches: Iterator[pa.RecordBatch], tp: Templates) -> Iterator[pa.Reco
 
 def _match(block: np.ndarray, token: np.ndarray, words_in: np.ndarray, tp: Templates) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(template, blocks, shared tokens) that meet the threshold; pairs are sorted by (block, rank)."""
-    if not len(block):
+    at, posting = tp.postings(token)
+    if not len(at):
         return
-    end = np.searchsorted(block, block, side="right")
-    left = end - np.arange(len(block))  # known tokens of the block from this one on
-    for t, members in enumerate(tp.sets):
-        place = np.full(len(tp.vocabulary), -1, np.int64)
-        place[members[np.argsort(tp.rank[members])]] = np.arange(len(members))
-        p, need = place[token], tp.need[t]
-        hit = np.flatnonzero((p >= 0) & (p <= len(members) - need))  # the prefix has size - need + 1 tokens
-        hit = hit[np.concatenate(([True], block[hit][1:] != block[hit][:-1]))] if len(hit) else hit
-        ok = (words_in[block[hit]] >= need) & (np.minimum(len(members) - p[hit], left[hit]) >= need)
-        candidates = block[hit[ok]]
-        if not len(candidates):
-            continue
-        lo, hi = np.searchsorted(block, candidates), np.searchsorted(block, candidates, side="right")
-        owner = np.repeat(np.arange(len(candidates)), hi - lo)
-        shared = np.bincount(owner[p[spans_of(lo, hi - lo)] >= 0], minlength=len(candidates))
-        yield t, candidates[shared >= need], shared[shared >= need]
+    t, p = tp.template_of[posting], tp.place_of[posting]
+    _, first = np.unique(block[at] * len(tp.sets) + t, return_index=True)  # the first shared token of block and template
+    at, t, p = at[first], t[first], p[first]
+    left = np.searchsorted(block, block[at], side="right") - at  # known tokens of the block from this one on
+    ok = (words_in[block[at]] >= tp.need[t]) & (np.minimum(tp.size[t] - p, left) >= tp.need[t])
+    candidates, t = block[at[ok]], t[ok]
+    lo, hi = np.searchsorted(block, candidates), np.searchsorted(block, candidates, side="right")
+    owner = np.repeat(np.arange(len(candidates)), hi - lo)
+    member = tp.places(t[owner], token[spans_of(lo, hi - lo)]) >= 0
+    shared = np.bincount(owner[member], minlength=len(candidates))
+    ok = shared >= tp.need[t]
+    for k in np.unique(t[ok]).tolist():
+        mine = ok & (t == k)
+        yield k, candidates[mine], shared[mine]
 
 
 def _windows(ids: np.ndarray, wf: np.ndarray, block: np.ndarray, lines: dict[int, tuple[np.ndarray, np.ndarray]], tp: Templates) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,10 +157,9 @@ def _windows(ids: np.ndarray, wf: np.ndarray, block: np.ndarray, lines: dict[int
     """
     known = np.flatnonzero(ids >= 0)
     token = ids[known]
-    for t, members in enumerate(tp.sets):
-        place = np.full(len(tp.vocabulary), -1, np.int64)
-        place[members[np.argsort(tp.rank[members])]] = np.arange(len(members))
-        p, need = place[token], tp.need[t]
+    for t in np.unique(tp.template_of[tp.postings(np.unique(token))[1]]).tolist():
+        members, need = tp.sets[t], int(tp.need[t])
+        p = tp.places(t, token)
         at, p = known[p >= 0], p[p >= 0]
         if not len(at):
             continue
