@@ -205,7 +205,7 @@ def test_pii(spark, docs, none):
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(9, text)], "doc_id long, text string"))
     rows = pii_crf.find(df).collect()
     found = [(s.kind, text[s.first : s.end], s.base) for s in next(r for r in rows if r.doc_id == 9).pii]
-    assert found == [("email", "a.b@c.org", True), ("phone", "(555) 123-4567", False), ("phone", "+1 (555) 123-4567", True), ("card", "4111 1111 1111 1111", True), ("card", "4111.1111.1111.1111", False), ("ip", "10.0.0.3", True)] or found[:4] == [("email", "a.b@c.org", True), ("phone", "(555) 123-4567", False), ("phone", "+1 (555) 123-4567", True), ("card", "4111 1111 1111 1111", True)]
+    assert found == [("email", "a.b@c.org", True), ("phone", "(555) 123-4567", False), ("phone", "+1 (555) 123-4567", True), ("card", "4111 1111 1111 1111", True), ("card", "4111.1111.1111.1111", False), ("ip", "10.0.0.3", True)]
     assert all(not r.pii for r in rows if r.doc_id != 9)
     assert pii_crf.find(none).count() == 0
 
@@ -343,3 +343,52 @@ def test_license_matches_equal_plain_containment(spark):
         sets = [(label, words(t)) for label, t in templates if words(t)]
         want = sorted((label, len(s & words(r.text)) / len(s)) for label, s in sets if len(s & words(r.text)) >= 0.8 * len(s) - 1e-9)
         assert sorted((m.label, m.containment) for m in r.matches) == want
+
+
+def test_field_decodes_and_weighs_as_all_labellings_do():
+    import itertools
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(2), pii_crf._N
+    trans = rng.normal(size=(n + 1, n)) + np.concatenate([pii_crf._forbidden(), [[-1e4 if x[0] == "I" else 0.0 for x in pii_crf._LABELS]]])
+    for length in (1, 2, 3, 4):
+        em = 2 * rng.normal(size=(length, n))
+        every = list(itertools.product(range(n), repeat=length))
+        score = np.array([trans[n, y[0]] + sum(em[k, y[k]] for k in range(length)) + sum(trans[y[k - 1], y[k]] for k in range(1, length)) for y in every])
+        padded = np.concatenate([em, np.zeros((2, n))])
+        assert tuple(pii_crf.viterbi(np.stack([padded, padded]), np.array([length, length]), trans)[1][:length]) == every[int(score.argmax())]
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        spans = [(begin, a, b) for begin in (1, 5) for a in range(length) for b in range(a + 1, length + 1)]
+        for (begin, a, b), got in zip(spans, pii_crf.span_probabilities(em, trans, spans), strict=True):
+            want = sum(w for y, w in zip(every, p, strict=True) if y[a] == begin and all(x == begin + 1 for x in y[a + 1 : b]) and (b == length or y[b] != begin + 1))
+            assert abs(want - got) < 1e-9
+
+
+def test_field_on_planted_spans_and_in_long_lines():
+    import random
+
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + c for c in "0123456789" if pii_crf.luhn(d + c))
+
+    w, trans = pii_crf.train()
+    words = "the office of river stones has many old maps and they said so again before winter".split()
+    planted, hit, false = 0, 0, 0
+    for k in range(400):
+        before, after = (" ".join(rng.choices(words, k=rng.randint(2, 8))) for _ in range(2))
+        c = card()
+        secret = [f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", ".".join(c[i : i + 4] for i in range(0, 16, 4)), None][k % 4]
+        other = rng.choice([f"in {rng.randint(1900, 2030)}", f"at {rng.randint(1, 12)}:{digits(2)}", f"for {digits(2)}.{digits(2)}", f"version {digits(1)}.{digits(1)}.{digits(1)}"])
+        line = f"{before} {secret or other} {after}"
+        got = pii_crf.field_spans([(0, 0, line)], w, trans)
+        right = sum(line[a:b] == secret for _, a, _, b in got)
+        planted, hit, false = planted + (secret is not None), hit + right, false + len(got) - right
+    print(f"planted {planted}, found {hit}, others {false}")
+    assert hit >= 0.9 * planted and false <= 0.02 * planted
+    line = " ".join(["plain words"] * 1500 + ["call (555) 123-4567 now"] + ["more words"] * 1070 + ["or 555-010-2231 then"] + ["end"] * 3000)
+    assert [line[a:b] for _, a, _, b in sorted(pii_crf.field_spans([(0, 0, line)], w, trans))] == ["(555) 123-4567", "555-010-2231"]

@@ -5,7 +5,12 @@ by their word shapes (begin/inside of each kind, or outside), is trained from
 the small labelled table below by gradient ascent on the conditional likelihood,
 and is decoded by Viterbi over padded numpy batches of lines.  It finds forms
 that the patterns miss, such as phone numbers without a plus sign or dotted
-card numbers; its spans never replace a base span.
+card numbers; its spans never replace a base span.  A decoded span counts if the
+field gives it a probability of at least ``LEAST``, and if it can be what its kind
+means: octets up to 255, digits of a telephone number, the check digit of a card.
+
+Lines of more than ``PART`` tokens are decoded in overlapping parts, so memory
+doesn't grow with a line.
 
 Every kind holds a digit or an ``@``, so lines without either are outside
 throughout and aren't decoded.  Documents keep their rows: no shuffle.
@@ -14,8 +19,10 @@ throughout and aren't decoded.  Documents keep their rows: no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +32,10 @@ from pyspark.sql import types as T
 from trilayer.llm._text import pieces
 
 KINDS = ("email", "ip", "card", "phone")
+#: Probability that a span of the field needs.
+LEAST = 0.5
+#: Tokens of a line that are decoded together, tokens around them, and tokens of one batch of lines.
+PART, OVERLAP, BATCH = 2048, 64, 50_000
 
 # The labelled table.  [kind:...] marks a span.
 LABELLED = """
@@ -273,54 +284,98 @@ def viterbi(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.n
     return labels
 
 
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def span_probabilities(emission: np.ndarray, trans: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Probability that each (begin label, first, end) is a whole span of one line's labelling."""
+    n, inner = len(emission), trans[:_N]
+    alpha, beta = np.empty((n, _N)), np.zeros((n, _N))
+    alpha[0] = emission[0] + trans[_N]
+    for k in range(1, n):
+        alpha[k] = emission[k] + _lse(alpha[k - 1][:, None] + inner, 0)
+    for k in range(n - 2, -1, -1):
+        beta[k] = _lse(inner + (emission[k + 1] + beta[k + 1])[None], 1)
+    z, out = _lse(alpha[-1], 0), np.empty(len(spans))
+    for i, (begin, a, b) in enumerate(spans):
+        inside, score = begin + 1, alpha[a, begin]
+        for k in range(a + 1, b):
+            score += inner[begin if k == a + 1 else inside, inside] + emission[k, inside]
+        if b < n:  # what follows doesn't go on with the span
+            after = inner[begin if b == a + 1 else inside] + emission[b] + beta[b]
+            after[inside] = -1e30
+            score += _lse(after, 0)
+        out[i] = np.exp(min(0.0, score - z))
+    return out
+
+
 _STRIP = "\"'<>[]{},;:!?."
 _CHECKS = (
     lambda s: (m := next(emails(s), None)) is not None and m == (0, len(s)),
     lambda s: re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", s) is not None and is_ip(s),
     is_card,
-    lambda s: is_phone(s) and sum(c.isalpha() for c in s) == 0 and not re.fullmatch(r"[0-9]+", s),
+    is_phone,
 )
 
 
-def field_spans(lines: list[tuple[int, int, str]], weights: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(owner, start, kind, end) that the field finds in lines (owner, offset, text).
-
-    A decoded span is kept only if it passes its kind's own check.
-    """
-    found = []
-    rows = []
+def _parts(lines: list[tuple[int, int, str]]) -> Iterator[tuple]:
+    """(owner, offset, line, tokens, first, end): spans that begin at tokens first..end-1 are this part's."""
     for owner, offset, line in lines:
-        tokens = list(_TOKEN.finditer(line))
-        if tokens:
-            rows.append((owner, offset, line, tokens))
+        tokens, first = [], 0
+        for m in _TOKEN.finditer(line):
+            tokens.append((m.start(), m.end()))
+            if len(tokens) == PART + 2 * OVERLAP:
+                yield owner, offset, line, tokens, first, PART + OVERLAP
+                tokens, first = tokens[PART:], OVERLAP
+        if len(tokens) > first:
+            yield owner, offset, line, tokens, first, len(tokens)
+
+
+def _decode(rows: list[tuple], weights: np.ndarray, trans: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     rows.sort(key=lambda r: len(r[3]))
     k = 0
     while k < len(rows):
-        longest, j = len(rows[k][3]), k
-        while j < len(rows) and (j + 1 - k) * max(longest, len(rows[j][3])) <= 200_000 and len(rows[j][3]) <= 2 * longest + 8:
+        shortest, j = len(rows[k][3]), k + 1
+        while j < len(rows) and len(rows[j][3]) <= 2 * shortest + 8:
             j += 1
-        part = rows[k : max(j, k + 1)]
+        part, k = rows[k:j], j
         length = np.array([len(r[3]) for r in part])
         emission = np.zeros((len(part), int(length.max()), _N))
-        for i, r in enumerate(part):
-            emission[i, : length[i]] = weights[np.array(features([t.group() for t in r[3]]))].sum(axis=1)
+        for i, (_, _, line, tokens, _, _) in enumerate(part):
+            emission[i, : length[i]] = weights[np.array(features([line[x:y] for x, y in tokens]))].sum(axis=1)
         for i, labels in enumerate(viterbi(emission, length, trans)):
-            owner, offset, line, tokens = part[i]
-            n = length[i]
-            at = np.flatnonzero(labels[:n])
-            for a in at[labels[at] % 2 == 1].tolist():
-                kind, b = (int(labels[a]) - 1) // 2, a + 1
+            owner, offset, line, tokens, first, end = part[i]
+            n, spans = int(length[i]), []
+            at = np.flatnonzero(labels[first:end] % 2) + first  # begins have odd numbers
+            for a in at.tolist():
+                b = a + 1
                 while b < n and labels[b] == labels[a] + 1:
                     b += 1
-                x, y = tokens[a].start(), tokens[b - 1].end()
+                x, y = tokens[a][0], tokens[b - 1][1]
                 while x < y and line[x] in _STRIP:
                     x += 1
                 while x < y and line[y - 1] in _STRIP:
                     y -= 1
+                kind = (int(labels[a]) - 1) // 2
                 if x < y and _CHECKS[kind](line[x:y]):
-                    found.append((owner, offset + x, kind, offset + y))
-        k += len(part)
-    return found
+                    spans.append((int(labels[a]), a, b, x, kind, y))
+            if spans:
+                sure = span_probabilities(emission[i, :n], trans, [r[:3] for r in spans]) >= LEAST
+                yield from ((owner, offset + x, kind, offset + y) for (*_, x, kind, y), ok in zip(spans, sure.tolist(), strict=True) if ok)
+
+
+def field_spans(lines: list[tuple[int, int, str]], weights: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(owner, start, kind, end) that the field finds in lines (owner, offset, text)."""
+    found, rows, size = [], [], 0
+    for row in _parts(lines):
+        rows.append(row)
+        size += len(row[3])
+        if size >= BATCH:
+            found += _decode(rows, weights, trans)
+            rows, size = [], 0
+    return found + list(_decode(rows, weights, trans))
 
 
 _MARKS = np.zeros(256, bool)
@@ -341,10 +396,8 @@ def _find(batches: Iterator[pa.RecordBatch], text: str, weights: np.ndarray, tra
                     if re.search("[0-9@]", line):
                         lines.append((r, at, line))
                     at += len(line) + 1
-                extra = []
-                for _, a, kind, b in field_spans(lines, weights, trans):
-                    if all(b <= x or y <= a for x, _, y in base):
-                        extra.append((a, kind, b))
+                starts, reach = [x for x, _, _ in base], [0, *accumulate((y for _, _, y in base), max)]
+                extra = [(a, kind, b) for _, a, kind, b in field_spans(lines, weights, trans) if reach[bisect_left(starts, b)] <= a]
                 rows = sorted([(*x, True) for x in base] + [(*x, False) for x in extra])
                 spans[i + r] = [{"kind": KINDS[k], "first": a, "end": b, "base": own} for a, k, b, own in rows]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(_SPAN))], names=[*batch.schema.names, name])

@@ -71,7 +71,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("pii", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii_crf.KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii_crf.KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
