@@ -392,3 +392,41 @@ def test_field_on_planted_spans_and_in_long_lines():
     assert hit >= 0.9 * planted and false <= 0.02 * planted
     line = " ".join(["plain words"] * 1500 + ["call (555) 123-4567 now"] + ["more words"] * 1070 + ["or 555-010-2231 then"] + ["end"] * 3000)
     assert [line[a:b] for _, a, _, b in sorted(pii_crf.field_spans([(0, 0, line)], w, trans))] == ["(555) 123-4567", "555-010-2231"]
+
+
+def test_quality_features_equal_plain_ones():
+    """Grams of characters of one word, and the scores of many rows, against one row at a time in plain Python."""
+    import random
+    import re
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = ["", " ", "a", "é b", "añb  çdé\tfgh", "日本語の 文", "\U0001f600x \U0001f600\U0001f601yz"] + ["".join(rng.choice("abcé日 \n\t") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    data = [np.frombuffer(x.encode(), np.uint8) for x in texts]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in data])))
+    table = np.random.default_rng(1).normal(size=quality.TABLE)
+    got = quality.logits(np.concatenate(data), off, table)
+    names = {}
+    for x, d, z in zip(texts, data, got, strict=True):
+        f, v = quality._bag(d)
+        assert abs(float(v @ table[f]) - z) < 1e-9
+        plain = re.sub(r"[\x09-\x0D]", " ", x)
+        want = [plain[i : i + n] for n in (3, 4) for i in range(len(plain) - n + 1) if " " not in plain[i + 1 : i + n - 1]]
+        grams = [(n, i, b) for n, (at, bucket, _) in zip((3, 4), quality._grams(d, np.array([0, len(d)])), strict=False) for i, b in zip(at.tolist(), bucket.tolist(), strict=True)]
+        assert [plain[i : i + n] for n, i, _ in grams] == want
+        for n, i, b in grams:
+            assert names.setdefault(plain[i : i + n], b) == b
+
+
+def test_quality_fit_separates_labels_by_a_telling_word():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    bags = [(np.sort(rng.choice(quality.TABLE, 30, replace=False)), rng.random(30) / 30) for _ in range(80)]
+    labels = np.array([k % 2 for k in range(80)])
+    for k in range(80):  # a word that tells the label
+        bags[k] = np.append(bags[k][0], 7 + labels[k]), np.append(bags[k][1], 0.3)
+    table, bias = quality.fit(bags, labels)
+    z = np.array([float(v @ table[f]) + bias for f, v in bags])
+    assert ((z > 0) == (labels == 1)).all() and np.mean(np.log1p(np.exp(-np.where(labels == 1, z, -z)))) < 0.3

@@ -1,8 +1,9 @@
 """Quality classifier over supervised subword embeddings.
 
-Words and byte n-grams of a text are hashed to learned vectors and averaged (a
-word equal to the one before also counts as a repeat); a softmax over the
-average gives the class.  The vectors are trained by stochastic gradient
+Words and character n-grams of a text are hashed to learned vectors and averaged
+(a word equal to the one before also counts as a repeat); a softmax over the
+average gives the class.  An n-gram lies in one word and may take in the
+separator on either side of it.  The vectors are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows, inside one task.  The
 softmax is linear in the average, so scoring needs one number per bucket: the
 fitted table is half a megabyte whatever the corpus, and every text is scored
@@ -31,15 +32,39 @@ _CASED = np.arange(256, dtype=np.uint8)
 _CASED[[0x20, *range(0x09, 0x0E)]] = 0
 
 
-def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, bucket at each byte) for byte n-grams of three and four."""
+def _chars(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each character, offsets in characters); separators are 0x20, stray bytes join the character before."""
     x = data.astype(np.uint32)
-    shift = np.uint32(32 - BITS)
-    if len(x) >= 3:
-        g = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))
-        yield 3, (g * np.uint32(2654435761)) >> shift
-        if len(x) >= 4:
-            yield 4, ((g[:-1] | (x[3:] << np.uint32(24))) * np.uint32(2246822519)) >> shift
+    if len(data) and data.max() >= 0x80:
+        inner = np.append(data & 0xC0 == 0x80, np.zeros(3, bool))
+        wide, at = np.append(x, np.zeros(3, np.uint32)), np.flatnonzero(~inner[:-3])
+        x, more = x[at], np.ones(len(at), bool)
+        for k in (1, 2, 3):
+            more = more & inner[at + k]
+            x = np.where(more, (x << np.uint32(8)) | wide[at + k], x)
+        off = np.searchsorted(at, off)
+    x[(x >= 9) & (x <= 13)] = 32
+    return x, off
+
+
+def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places where an n-gram starts, their buckets, first place of each row and the total) for three and four characters."""
+    x, off = _chars(data, off)
+    shift, prime = np.uint32(32 - BITS), np.uint32(16777619)
+    letter = x != 32
+    g, inside = x, np.ones(len(x), bool)
+    for n in (2, 3, 4):
+        if len(x) < n:
+            return
+        g = g[:-1] * prime + x[n - 1 :]
+        inside = inside[:-1] & letter[n - 2 : -1] if n > 2 else inside[:-1]
+        if n > 2:
+            whole = inside.copy()
+            for k in range(1, n):  # not across rows
+                border = off[1:-1] - k
+                whole[border[(border >= 0) & (border < len(whole))]] = False
+            at = np.flatnonzero(whole)
+            yield at, (g[at] * np.uint32(2654435761)) >> shift, np.searchsorted(at, off)
 
 
 def _sums(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -69,10 +94,9 @@ def logits(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
     n_words = np.diff(wf)
     word = _sums(table[_WORD:_CHAR][bucket] + same * float(table[_REPEAT]), wf[:-1], wf[1:])
     char, n_char = np.zeros(len(off) - 1), np.zeros(len(off) - 1, np.int64)
-    for n, b in _grams(data):
-        end = np.maximum(off[1:] - n + 1, off[:-1])
-        char += _sums(table[_CHAR:_REPEAT][b], off[:-1], end)
-        n_char += end - off[:-1]
+    for _, b, first in _grams(data, off):
+        char += _sums(table[_CHAR:_REPEAT][b], first[:-1], first[1:])
+        n_char += np.diff(first)
     return 0.5 * word / np.maximum(n_words, 1) + 0.5 * char / np.maximum(n_char, 1)
 
 
@@ -82,10 +106,10 @@ def _bag(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bucket, same, wf = _word_buckets(data, off)
     count = np.bincount(bucket, minlength=_CHAR).astype(float)
     count = np.concatenate([count, np.zeros(_CHAR), [float(same.sum())]]) * (0.5 / max(len(bucket), 1))
-    grams = [b for _, b in _grams(data)]
+    grams = [b for _, b, _ in _grams(data, off)]
     total = sum(len(b) for b in grams)
     for b in grams:
-        count[_CHAR:_REPEAT] += np.bincount(b, minlength=_CHAR) * (0.5 / total)
+        count[_CHAR:_REPEAT] += np.bincount(b, minlength=_CHAR) * (0.5 / max(total, 1))
     f = np.flatnonzero(count)
     return f, count[f]
 
