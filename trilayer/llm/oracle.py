@@ -139,5 +139,14 @@ FROM w LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)
 """ % ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
 
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+g AS (
+  SELECT doc_id, t, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER best AS place
+  FROM d WINDOW best AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op4_embedding_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10}
+    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op4_embedding_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10, "op11_exact_dedup": OP11}
