@@ -148,5 +148,25 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM benchmark),
+it AS (SELECT DISTINCT q, item_id, unnest(t) AS t FROM i),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(t) * n_docs) // total) AS m FROM d, s WHERE len(t) > 0),
+x AS (SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM it JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q, item_id, doc_id, r),
+p AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM p WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op4_embedding_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10, "op11_exact_dedup": OP11}
+    return {"op1_ngram_jaccard_join": OP1, "op3_source_mixing": OP3, "op4_embedding_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op8_chat_formatting": OP8, "op10_license_scan": OP10, "op11_exact_dedup": OP11, "op12_lexical_search": OP12}
