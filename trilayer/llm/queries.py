@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilayer.llm import ball_tree, conversations, decontam, embedding_join, exact_dedup, kneser_ney, license_join, line_dedup, mixing, ngram_join, pii_crf, quality
+from trilayer.llm import ball_tree, conversations, decontam, embedding_join, exact_dedup, kneser_ney, license_join, line_dedup, mixing, ngram_join, pii_crf, quality, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,5 +99,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return white.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_source_mixing, op4_embedding_near_dedup, op5_line_dedup, op6_benchmark_decontamination, op7_quality_classifier, op8_chat_formatting, op9_pii, op10_license_scan, op11_exact_dedup, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_source_mixing, op4_embedding_near_dedup, op5_line_dedup, op6_benchmark_decontamination, op7_quality_classifier, op8_chat_formatting, op9_pii, op10_license_scan, op11_exact_dedup, op12_lexical_search, op13_embedding_whitening)}
