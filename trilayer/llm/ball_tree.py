@@ -130,20 +130,27 @@ class Tree:
         self._balls()
 
     def _halves(self, rows: np.ndarray, first: np.ndarray, count: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Order of ``rows`` along the line between two that lie far apart."""
+        """Order of ``rows`` along the line in which they spread most (two power steps from a line between far rows)."""
         n = count[rows]
         at, border = spans_of(first[rows], n), np.cumsum(n) - n
-        t, v, point = terms[at], values[at].astype(np.float64), self._point
+        t, v, line = terms[at], values[at].astype(np.float64), self._point
 
         def far(i: int) -> np.ndarray:
             own = slice(border[i], border[i] + n[i])
-            point[t[own]] = v[own]
-            product = np.add.reduceat(v * point[t], border)
-            point[t[own]] = 0
+            line[t[own]] = v[own]
+            product = np.add.reduceat(v * line[t], border)
+            line[t[own]] = 0
             return self._square[rows] - 2 * product + self._square[rows[i]]
 
         a = far(int(far(0).argmax()))
-        return np.argsort(a - far(int(a.argmax())), kind="stable")
+        along = far(int(a.argmax())) - a
+        for _ in range(2):
+            along = along - along.mean()
+            along /= np.abs(along).max() or 1.0
+            np.add.at(line, t, v * np.repeat(along, n))
+            along = np.add.reduceat(v * line[t], border)
+            line[t] = 0
+        return np.argsort(along, kind="stable")
 
     def _balls(self) -> None:
         """Centres and radii from the leaves up, kept by term; ``self.radius`` is the ball's."""
