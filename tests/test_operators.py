@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trilayer.functions import canonical as canon
 from trilayer.functions import text as tx
-from trilayer.operators import chunking, conflicts, documents, evaluation, extraction, graph, memory, ontology, retrieval, vectors
+from trilayer.operators import chunking, conflicts, documents, evaluation, extraction, graph, memory, ontology, pagerank, retrieval, vectors
 from trilayer.sources import files
 
 
@@ -39,7 +39,7 @@ def test_pagerank_prefers_the_seeded_side_and_keeps_mass(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c1",), ("c2",), ("alone",)], "node_id string")
     q = spark.createDataFrame([(1,), (2,)], "query_id int")
     reset = retrieval.reset_vector(spark.createDataFrame([(1, "a", 2.0), (1, "zzz", 1.0)], "query_id int, node_id string, mass double"), nodes, q)
-    s = retrieval.ppr(reset, retrieval.adjacency(e), steps=20)
+    s = retrieval.ppr(reset, e, bound=1e-11)
     one = {r.node_id: r.mass for r in s.where("query_id = 1").collect()}
     assert one["c1"] > one["c2"] and abs(sum(one.values()) - 1) < 1e-9
     two = {r.node_id: r.mass for r in s.where("query_id = 2").collect()}
@@ -254,6 +254,11 @@ def test_pagerank_equals_the_dense_iteration(spark, monkeypatch):
     w = np.zeros((n, n))
     for a, b, x in e:
         w[int(a[1:]), int(b[1:])] = w[int(b[1:]), int(a[1:])] = x
+    for a, b, x in e[:9]:  # parallel edges, one of them named the other way round
+        w[int(a[1:]), int(b[1:])] += x / 2
+        w[int(b[1:]), int(a[1:])] += x / 2
+    w[4, 4] = 0.7
+    e.append(("n4", "n4", 0.7))
     loose = w.sum(axis=1) == 0
     p = w / np.where(loose, 1, w.sum(axis=1))[:, None]
     want = {}
@@ -263,11 +268,14 @@ def test_pagerank_equals_the_dense_iteration(spark, monkeypatch):
             r[i] = m
         r /= r.sum()
         v = r
-        for _ in range(20):
+        for _ in range(60):
             v = 0.5 * r + 0.5 * (p.T @ v + v[loose].sum() * r)
         want |= {(q, f"n{i}"): m for i, m in enumerate(v) if m > 0}
-    adj = retrieval.adjacency(spark.createDataFrame(e, "src string, dst string, weight double"))
-    for hub in (100_000, 5):
-        monkeypatch.setattr(retrieval, "HUB", hub)
-        got = {(r.query_id, r.node_id): r.mass for r in retrieval.ppr(reset, adj).collect()}
-        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    df = spark.createDataFrame(e + [(b, a, x / 2) for a, b, x in e[:9]] + [("n1", "n2", 0.0)], "src string, dst string, weight double")
+    monkeypatch.setattr(pagerank, "QUESTIONS", 16)
+    for hub, bound in ((100_000, 1e-6), (5, 1e-13), (5, 1e-3)):
+        got = {(r.query_id, r.node_id): r.mass for r in pagerank.push(reset, pagerank.block_graph(df, block_edges=20, hub=hub), bound=bound).collect()}
+        off = {q: sum(abs(got.get((q, f"n{i}"), 0) - want.get((q, f"n{i}"), 0)) for i in range(n)) for q in asked}
+        assert max(off.values()) <= max(bound, 1e-12), (hub, bound, off)
+        if bound < 1e-12:
+            assert set(got) == set(want)

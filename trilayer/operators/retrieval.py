@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilayer.functions.session import materialise
 from trilayer.functions.text import basename, defang, hash_id
+from trilayer.operators.pagerank import block_graph, push
 from trilayer.operators.vectors import knn
 
 # Defaults of the retrieval parameters.
@@ -81,92 +81,13 @@ def reset_vector(seeds: DataFrame, nodes: DataFrame, queries: DataFrame) -> Data
     return some.union(every)
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, dst, p): symmetrised edges, parallel ones summed, weights divided by the node's sum."""
-    e = edges.select("src", "dst", "weight")
-    back = e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    s = e.union(back).groupBy("src", "dst").agg(F.sum("weight").alias("w")).where("w > 0")
-    return s.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("p"))
+def ppr(reset: DataFrame, edges: DataFrame, damping: float = 0.5, bound: float = 1e-6) -> DataFrame:
+    """Personalised PageRank of all questions: (query_id, node_id, mass), within ``bound`` a question.
 
-
-#: Questions whose masses stand side by side in one row, steps between checkpoints, edges of a node from which they are split.
-BLOCK, EVERY, HUB = 16, 5, 100_000
-
-
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Distinct rows with a number of their own, materialised once so that it stays."""
-    return materialise(materialise(df.distinct()).withColumn(name, F.monotonically_increasing_id()))
-
-
-def _split_hubs(adj: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges (src, part, dst, p) with those of hubs dealt over several parts, and (src, parts) of hubs."""
-    hubs = materialise(adj.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("src", F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
-    if hubs.isEmpty():
-        return adj.withColumn("part", F.lit(0)), None
-    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
-    return adj.join(hubs, "src", "left").select("src", "dst", "p", part.alias("part")), hubs
-
-
-def ppr(reset: DataFrame, adj: DataFrame, damping: float = 0.5, steps: int = 20) -> DataFrame:
-    """Personalised PageRank of all questions: (query_id, node_id, mass) of nodes with mass.
-
-    x = (1 - d) r + d (P'x + lone r), from x = r, a fixed number of steps (error
-    at most 2 d^steps).  ``adj`` has with each edge its reverse, as ``adjacency``
-    gives it, so nodes without edges gain nothing from others and their mass
-    ``lone`` follows from the reset alone.
-
-    Nodes are numbered once.  A row holds the masses of ``BLOCK`` questions at a
-    node, so that a step is one join of a row a node with the edges, which stay
-    partitioned by source, and one sum combined before the shuffle.  A hub's
-    edges are dealt over several parts.  Every few steps are checkpointed.
+    ``edges`` (src, dst, weight) have no direction.  To ask more than once, keep
+    the ``block_graph`` and ``push`` to it.
     """
-    spark = reset.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = materialise(reset.where("mass > 0").select("query_id", "node_id", "mass"))
-    nodes = _numbered(adj.select(F.col("src").alias("node_id")).union(r.select("node_id")), "nid")
-    asked = _numbered(r.select("query_id"), "number")
-    asked = asked.select("query_id", F.floor(F.col("number") / BLOCK).alias("block"), (F.col("number") % BLOCK).cast("int").alias("slot"))
-    slots = min(BLOCK, max(1, asked.count()))
-
-    number = lambda col, name: nodes.select(F.col("node_id").alias(col), F.col("nid").alias(name))
-    edges = adj.join(number("src", "s"), "src").join(number("dst", "t"), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"), "p")
-    edges, hubs = _split_hubs(materialise(edges))
-    edges = materialise(edges.repartition(width, "src", "part").sortWithinPartitions("src", "part"))
-
-    linked = adj.select(F.col("src").alias("node_id")).distinct()
-    lone = materialise(r.join(linked, "node_id", "left_anti").groupBy("query_id").agg(F.sum("mass").alias("lone")))
-    steady = lone.isEmpty()  # then every step puts back the same
-    long_ = r.join(asked, "query_id").join(lone, "query_id", "left").join(nodes, "node_id")
-    wide = lambda value, k: F.sum(F.when(F.col("slot") == k, value)).alias
-    sums = [wide(F.col("mass"), k)(f"x{k}") for k in range(slots)] + [F.max(F.when(F.col("slot") == k, F.col("lone"))).alias(f"l{k}") for k in range(slots)]
-    cols = [f"x{k}" for k in range(slots)]
-    start = materialise(long_.groupBy("block", "nid").agg(*sums).fillna(0.0))
-
-    def given(t: int) -> DataFrame:
-        """What step t puts back: the reset times (1 - d) + d lone_t, where lone_(t+1) = lone ((1 - d) + d lone_t)."""
-        if steady:
-            return start.select("block", "nid", *[(F.col(c) * (1 - damping)).alias(c) for c in cols])
-        out = []
-        for k in range(slots):
-            lone_, a = F.col(f"l{k}"), F.col(f"l{k}") * damping
-            left = lone_ * (1 - damping) * (1 - F.pow(a, F.lit(t))) / (1 - a) + F.pow(a, F.lit(t)) * lone_
-            out.append((F.col(f"x{k}") * ((1 - damping) + damping * left)).alias(f"x{k}"))
-        return start.select("block", "nid", *out)
-
-    x = start.select("block", "nid", *cols)
-    for t in range(steps):
-        at = x.withColumn("part", F.lit(0))
-        if hubs is not None:
-            parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-            at = x.join(hubs.withColumnRenamed("src", "nid"), "nid", "left").select("block", "nid", *cols, F.explode(parts).alias("part"))
-        moved = at.join(edges, (F.col("nid") == F.col("src")) & (at["part"] == edges["part"]))
-        moved = moved.select("block", F.col("dst").alias("nid"), *[(F.col(c) * F.col("p") * damping).alias(c) for c in cols])
-        x = moved.union(given(t)).groupBy("block", "nid").agg(*[F.sum(c).alias(c) for c in cols])
-        if (t + 1) % EVERY == 0 or t + 1 == steps:
-            x = materialise(x)
-    one = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.col(c).alias("mass")) for k, c in enumerate(cols)])).alias("m")
-    out = x.select("block", "nid", one).select("block", "nid", "m.slot", "m.mass").where("mass > 0")
-    return out.join(asked, ["block", "slot"]).join(nodes, "nid").select("query_id", "node_id", "mass")
+    return push(reset, block_graph(edges), damping, bound)
 
 
 def rank_passages(scores: DataFrame, passages: DataFrame, k: int = 10, fallback: DataFrame | None = None) -> DataFrame:
