@@ -9,7 +9,7 @@ that is below the bound asked for.  Each change also carries a share of the one
 before (second-order Richardson): on a symmetrised graph the residual then falls
 by about .27 a round for d = .5, where plain pushing halves it.
 
-Nodes are dealt to blocks of some hundred thousand edges.  A block's edges are
+Nodes are dealt to blocks of about a million edges.  A block's edges are
 packed once and stay where they are; between rounds only blocks of x, r and sums
 combined by receiver move.  A hub's edges are dealt to replicas in several
 blocks; what is sent to the hub goes to each of them, and as they add it up in
@@ -24,13 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trilayer.functions.session import materialise
 
 #: Edges of a block, edges of a node from which it is a hub, questions pushed at once, rounds between looks at the residual.
-BLOCK_EDGES, HUB, QUESTIONS, ROUNDS = 1 << 18, 1 << 18, 32, 3
+BLOCK_EDGES, HUB, QUESTIONS, ROUNDS = 1 << 20, 1 << 19, 32, 3
+#: Blocks up to which each hash partition is given as many; more of them fall evenly enough.
+EVEN_BLOCKS = 1024
 #: Rounds after which a residual that hasn't fallen below the bound is an error.
 MOST_ROUNDS = 300
 
@@ -61,6 +63,26 @@ def _pack(group: pa.Table) -> pa.Table:
     return pa.table([[group.column("block")[0].as_py()], *[[a.tobytes()] for a in arrays]], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
+def _even_names(spark: SparkSession, width: int, each: int) -> Column:
+    """Names of ``each`` times ``width`` blocks of which each of ``width`` hash partitions holds as many."""
+    held: dict[int, list[int]] = {k: [] for k in range(width)}
+    for a in range(0, 1 << 40, 8 * each * width):
+        for r in spark.range(a, a + 8 * each * width).select("id", F.pmod(F.hash("id"), F.lit(width)).alias("k")).collect():  # a few times the blocks
+            if len(held[r["k"]]) < each:
+                held[r["k"]].append(r["id"])
+        if all(len(x) == each for x in held.values()):
+            break
+    return F.array(*[F.lit(x).cast("long") for x in sorted(sum(held.values(), []))])
+
+
+def _placed(e: DataFrame, places: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
+    """``e`` with ``cols`` of the hub's replicas where its end is a hub, else as they are."""
+    found = places.select(*on, F.struct(*cols).alias("_new"))
+    found = F.broadcast(found) if places.count() <= 100_000 else found
+    e = e.join(found, on, "left")
+    return e.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in cols else c for c in e.columns if c != "_new"])
+
+
 def block_graph(edges: DataFrame, block_edges: int | None = None, hub: int | None = None) -> BlockGraph:
     """Number the nodes of (src, dst, weight) by block and pack the edges, once for any number of questions.
 
@@ -73,24 +95,38 @@ def block_graph(edges: DataFrame, block_edges: int | None = None, hub: int | Non
     ends = F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))
     nodes = materialise(e.select(F.explode(ends).alias("node_id"), "weight").groupBy("node_id").agg(F.sum("weight").alias("strength"), F.count("*").alias("degree")))
     total = nodes.agg(F.sum("degree")).first()[0] or 0
-    blocks = max(width, -(-total // block_edges))
+    each = max(1, -(-total // (block_edges * width)))
+    place = F.xxhash64("node_id", "part")
+    if each * width <= EVEN_BLOCKS:
+        names = _even_names(edges.sparkSession, width, each)
+        place = F.get(names, F.pmod(place, F.size(names)).cast("int"))
+    else:
+        place = F.pmod(place, F.lit(each * width))
     parts = F.greatest(F.lit(1), F.ceil(F.col("degree") / hub)).cast("int")
     nodes = nodes.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node_id", "part"), F.lit(blocks)))
+    nodes = nodes.withColumn("block", place)
     local = F.row_number().over(Window.partitionBy("block").orderBy("node_id", "part")) - 1
     nodes = materialise(nodes.withColumn("local", local))
+    whole = nodes.where("part = 0")
 
-    # each end with all of its replicas, few of which have more than one
-    place = F.collect_list(F.struct("part", "block", "local"))
-    at = nodes.groupBy("node_id").agg(F.first("strength").alias("strength"), F.first("degree").alias("degree"), F.first("parts").alias("parts"), place.alias("at"))
-    end = lambda c: at.select(F.col("node_id").alias(c), F.struct("strength", "degree", "parts", "at").alias(f"{c}_end"))
+    end = lambda c: whole.select(F.col("node_id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("block", "local", "parts", "strength", "degree")])
     e = e.join(end("src"), "src").join(end("dst"), "dst")
-    way = lambda a, b: F.struct(F.col(f"{a}_end").alias("s"), F.col(f"{b}_end.at").alias("to"), F.col(b).alias("name"))
+    way = lambda a, b: F.struct(
+        F.col(f"{a}_block").alias("block"), F.col(f"{a}_local").alias("slocal"), F.lit(0).alias("spart"), F.col(f"{b}_block").alias("dblock"), F.col(f"{b}_local").alias("dlocal"), F.lit(0).alias("dpart"),
+        "weight", F.col(f"{a}_strength").alias("strength"), F.col(f"{a}_degree").alias("degree"), F.when((F.col(f"{a}_parts") > 1) | (F.col(f"{b}_parts") > 1), F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(f"{a}_parts").alias("parts"))).alias("ends"),
+    )
     both = F.when(F.col("src") == F.col("dst"), F.array(way("src", "dst"))).otherwise(F.array(way("src", "dst"), way("dst", "src")))
-    e = e.select("weight", F.explode(both).alias("w"))
-    own = F.filter("w.s.at", lambda x: x["part"] == F.pmod(F.xxhash64("w.name"), F.col("w.s.parts")))[0]  # which replica has this edge
-    e = e.select("weight", "w.s.strength", "w.s.degree", own.alias("own"), F.explode("w.to").alias("to"))
-    e = e.select(F.col("own.block").alias("block"), F.col("own.local").alias("slocal"), F.col("own.part").alias("spart"), F.col("to.block").alias("dblock"), F.col("to.local").alias("dlocal"), F.col("to.part").alias("dpart"), "weight", "strength", "degree")
+    e = e.select(F.explode(both).alias("w")).select("w.*")
+    copies = nodes.where("parts > 1")
+    if not copies.isEmpty():
+        # edges of hubs: one replica has each that leads away, all have those that lead to them
+        e, plain = materialise(e.where("ends is not null")), e.where("ends is null")
+        source = copies.select(F.col("node_id").alias("src"), F.col("part").alias("spart"), "block", F.col("local").alias("slocal"))
+        target = copies.select(F.col("node_id").alias("dst"), F.col("part").alias("dpart"), F.col("block").alias("dblock"), F.col("local").alias("dlocal"))
+        e = e.withColumn("src", F.col("ends.src")).withColumn("dst", F.col("ends.dst")).withColumn("spart", F.pmod(F.xxhash64("dst"), F.col("ends.parts")).cast("int"))
+        e = _placed(_placed(e, source, ["src", "spart"], ["block", "slocal"]), target, ["dst"], ["dpart", "dblock", "dlocal"])
+        e = plain.unionByName(e.select(plain.columns))
+    e = e.drop("ends")
     packed = materialise(e.repartition(width, "block").groupBy("block").applyInArrow(_pack, _PACKED).repartition(width, "block"))
     return BlockGraph(nodes.select("node_id", "block", "local", "part"), packed, total, width)
 

@@ -102,20 +102,22 @@ ds AS (SELECT query_id, passage_id AS node_id, score * 0.05 * density AS mass FR
 seeds AS (SELECT * FROM es UNION ALL SELECT * FROM ps UNION ALL SELECT * FROM ss UNION ALL SELECT * FROM ds),
 reset AS MATERIALIZED (SELECT query_id, node_id, mass / sum(mass) OVER (PARTITION BY query_id) AS mass FROM (SELECT query_id, node_id, sum(mass) AS mass FROM seeds WHERE node_id IN (SELECT node_id FROM nodes) GROUP BY 1, 2)),
 sym AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst),
-adj AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, sum(weight) AS w FROM sym GROUP BY src, dst))
+named AS MATERIALIZED (SELECT node_id AS name, CAST(row_number() OVER () AS INTEGER) AS i FROM (SELECT src AS node_id FROM sym UNION SELECT node_id FROM reset)),
+adj AS MATERIALIZED (SELECT a.i AS src, b.i AS dst, w / sum(w) OVER (PARTITION BY sym.src) AS p FROM (SELECT src, dst, sum(weight) AS w FROM sym GROUP BY src, dst) sym JOIN named a ON a.name = sym.src JOIN named b ON b.name = sym.dst),
+start AS MATERIALIZED (SELECT query_id, i AS node_id, mass FROM reset JOIN named ON name = reset.node_id)
 """
 #: Steps of the SQL, after which less than 2^-33 of a question's mass is missing.
 STEPS = 34
 
 
 def _ppr_sql() -> str:
-    steps = ["y0 AS MATERIALIZED (SELECT * FROM reset)"]
+    steps = ["y0 AS MATERIALIZED (SELECT * FROM start)"]
     for k in range(STEPS):
         steps.append(
             f"y{k + 1} AS MATERIALIZED (SELECT query_id, node_id, sum(mass) AS mass FROM (SELECT query_id, dst AS node_id, mass * p * 0.5 AS mass FROM y{k} JOIN adj ON src = node_id "
-            f"UNION ALL SELECT r.query_id, r.node_id, r.mass * (0.5 + 0.5 * coalesce(d, 0)) FROM reset r LEFT JOIN (SELECT query_id, sum(mass) AS d FROM y{k} WHERE node_id NOT IN (SELECT src FROM adj) GROUP BY query_id) l USING (query_id)) GROUP BY query_id, node_id)"
+            f"UNION ALL SELECT r.query_id, r.node_id, r.mass * (0.5 + 0.5 * coalesce(d, 0)) FROM start r LEFT JOIN (SELECT query_id, sum(mass) AS d FROM y{k} WHERE node_id NOT IN (SELECT src FROM adj) GROUP BY query_id) l USING (query_id)) GROUP BY query_id, node_id)"
         )
-    return HASHED + ", " + ",\n".join(steps)
+    return HASHED + ", " + ",\n".join(steps) + f",\nranked AS (SELECT query_id, name AS node_id, mass FROM y{STEPS} JOIN named ON i = y{STEPS}.node_id)\n"
 
 
 def _hits(t: Tables) -> DataFrame:
@@ -220,13 +222,13 @@ def _(t: Tables) -> DataFrame:
     return _reset(t).withColumn("mass", F.round("mass", 9))
 
 
-@query("r9_personalized_pagerank", _ppr_sql() + f"SELECT query_id, node_id, round(mass, 8) AS mass FROM y{STEPS} WHERE node_id IN (SELECT passage_id FROM passages)")
+@query("r9_personalized_pagerank", _ppr_sql() + "SELECT query_id, node_id, round(mass, 8) AS mass FROM ranked WHERE node_id IN (SELECT passage_id FROM passages)")
 def _(t: Tables) -> DataFrame:
     s = _scores(t).join(t.mem.passages.select(F.col("passage_id").alias("node_id")), "node_id", "left_semi")
     return s.select("query_id", "node_id", F.round("mass", 8).alias("mass"))
 
 
-@query("r10_passage_ranking", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM y{STEPS} JOIN passages ON passage_id = node_id) SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id FROM rp WHERE rank <= 10")
+@query("r10_passage_ranking", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM ranked JOIN passages ON passage_id = node_id) SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id FROM rp WHERE rank <= 10")
 def _(t: Tables) -> DataFrame:
     return retrieval.rank_passages(_scores(t), t.mem.passages).select("query_id", "rank", "passage_id")
 
@@ -237,7 +239,7 @@ def _(t: Tables) -> DataFrame:
     return retrieval.dense(_regions(t), v, t.mem.passages).select("query_id", "rank", "passage_id")
 
 
-@query("r12_fallback_routing", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM y{STEPS} JOIN passages ON passage_id = node_id) SELECT query_id, passage_id, CASE WHEN query_id < 3 THEN 'ppr' ELSE 'naive' END AS path FROM rp WHERE rank <= 10")
+@query("r12_fallback_routing", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM ranked JOIN passages ON passage_id = node_id) SELECT query_id, passage_id, CASE WHEN query_id < 3 THEN 'ppr' ELSE 'naive' END AS path FROM rp WHERE rank <= 10")
 def _(t: Tables) -> DataFrame:
     r = retrieval.rank_passages(_scores(t), t.mem.passages)
     q = t.region.select(F.col("r_regionkey").alias("query_id"))
