@@ -7,6 +7,7 @@ back by the source under test.  Model hooks run scripted functions.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trilayer.functions.session import materialise
 from trilayer.functions.text import hash_id
-from trilayer.operators import conflicts, evaluation, extraction, memory
+from trilayer.operators import conflicts, delta, evaluation, extraction, memory
 from trilayer.plans.registry import Tables, query
 from trilayer.sources import files
 from trilayer.streaming import intake
@@ -210,3 +211,50 @@ def _(t: Tables) -> DataFrame:
     s = t.spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 2).parquet(src)
     intake.stream_index(s, out, saved, lambda d: d).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(out).select("chunk_id")
+
+
+def _store(t: Tables, name: str) -> tuple[delta.DeltaMemory, Callable[[DataFrame], DataFrame], DataFrame]:
+    """A store, its extraction (the triples of the tables) and all changes: each customer is a document whose chunks are the orders."""
+    triples = t.triples
+    columns = ["chunk_id", "pos", "head", "relation", "tail", "head_type", "tail_type"]
+    extract = lambda chunks: triples.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select(columns)
+    rows = t.chunks.select(F.col("o_custkey").cast("string").alias("doc_id"), "chunk_id", "content", F.lit(False).alias("removed"))
+    return delta.DeltaMemory(t.spark, scratch(t.spark, name)), extract, rows
+
+
+@query("st3_stream_memory", "SELECT fact_id, head, relation, tail, schema_id, frequency FROM facts")
+def _(t: Tables) -> DataFrame:
+    """Three micro-batches; the last repeats a part of the first."""
+    store, extract, rows = _store(t, "memory")
+    src, saved = scratch(t.spark, "changes"), scratch(t.spark, "memory-state")
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+    for k, batch in enumerate([rows.where(part == 0), rows.where(part == 1), rows.where((part == 0) & (F.col("doc_id") % 2 == 0))]):
+        batch.coalesce(1).write.parquet(f"{src}/{k}")
+    s = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    delta.stream_memory(s, store, extract, saved).trigger(availableNow=True).start().awaitTermination()
+    return store.memory().facts.select("fact_id", "head", "relation", "tail", "schema_id", "frequency")
+
+
+@query("d5_delete_to_the_end", """
+live AS (SELECT * FROM keyed WHERE chunk_id IN (SELECT chunk_id FROM chunks JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 <> 0)),
+left_ AS (SELECT fact_id, count(DISTINCT chunk_id) AS n, arg_max(schema_id, ord) AS schema_id, min(head_key) AS h, min(tail_key) AS t FROM live GROUP BY fact_id),
+typed AS (SELECT schema_id, count(*) AS n FROM left_ GROUP BY schema_id),
+e2 AS (SELECT fact_id, unnest([h, t]) AS e FROM left_)
+SELECT 'fact' AS kind, fact_id AS id, n FROM left_
+UNION ALL SELECT 'schema', s.schema_id, coalesce(n, 0) FROM (SELECT DISTINCT schema_id FROM live) s LEFT JOIN typed USING (schema_id)
+UNION ALL SELECT 'passage', chunk_id, 1 FROM chunks JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 <> 0 GROUP BY chunk_id
+UNION ALL SELECT 'ENTITY_RELATION', least(a, b) || ' ' || greatest(a, b), count(*) FROM (SELECT 'entity-' || md5(h) AS a, 'entity-' || md5(t) AS b FROM left_ WHERE h <> t) GROUP BY least(a, b), greatest(a, b)
+UNION ALL SELECT 'PASSAGE_ENTITY', 'entity-' || md5(e) || ' ' || chunk_id, 1 FROM e2 JOIN live USING (fact_id) GROUP BY e, chunk_id
+""")
+def _(t: Tables) -> DataFrame:
+    """All documents come, those of every fifth nation go; what is left of facts, schemas, passages and edges."""
+    store, extract, rows = _store(t, "deleted")
+    store.apply(rows, extract, 0)
+    gone = t.customer.where("c_nationkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("removed"))
+    store.apply(gone, extract, 1)
+    m, e, one = store.memory(), store.table("edges"), F.lit(1).cast("long")
+    row = lambda df, kind, i, n: df.select(F.lit(kind).alias("kind"), i.alias("id"), n.alias("n"))
+    return (
+        row(m.facts, "fact", F.col("fact_id"), F.col("frequency")).unionByName(row(m.schemas, "schema", F.col("schema_id"), F.col("frequency"))).unionByName(row(m.passages, "passage", F.col("passage_id"), one))
+        .unionByName(row(e.where("type = 'ENTITY_RELATION'"), "ENTITY_RELATION", F.concat_ws(" ", "src", "dst"), F.col("weight").cast("long"))).unionByName(row(e.where("type = 'PASSAGE_ENTITY'"), "PASSAGE_ENTITY", F.concat_ws(" ", "src", "dst"), one))
+    )
