@@ -430,3 +430,15 @@ def test_quality_fit_separates_labels_by_a_telling_word():
     table, bias = quality.fit(bags, labels)
     z = np.array([float(v @ table[f]) + bias for f, v in bags])
     assert ((z > 0) == (labels == 1)).all() and np.mean(np.log1p(np.exp(-np.where(labels == 1, z, -z)))) < 0.3
+
+
+def test_conversations_are_told_apart_whatever_their_characters(spark):
+    rows = [(1, 0, "a\x1f=b", "c"), (2, 0, "a", "b\x1f=c"), (3, 0, "a-", "b"), (4, 0, "a", "-b"), (5, 0, "x", "y" * 300_000), (6, 0, "x", "y" * 300_000), (6, 1, "z", None)]
+    got = {r.conv_id: (r.n_turns, r.n_copies) for r in conversations.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1), 6: (2, 1)}
+
+
+def test_license_scan_without_templates(spark, docs):
+    for templates, phrases in (([], {}), ([("empty", " .")], {}), ([], {"same text": "x"})):
+        rows = license_join.scan(docs, templates=templates, phrases=phrases).collect()
+        assert len(rows) == len(ROWS) and not any(r.matches or r.spans for r in rows) and any(r.places for r in rows) == bool(phrases)

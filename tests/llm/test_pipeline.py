@@ -111,3 +111,26 @@ def test_mix(stages):
     for s in {r.source for r in after}:
         mine = [r for r in after if r.source == s]
         assert abs(sum(r.taken for r in mine) - mine[0].target) < 1
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, h string, _wins int, _first string, _quality string, n_lines int, n_exact string, n_near int, _n_words int, _spans string, _items int, id string, class_id int"
+EXTRA = ("own", 7, "f", "q", 1, "e", 2, 3, "s", 4, "i", 5)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_nulls_repeats_long_texts_empty_tables_and_clashing_columns(spark, k):
+    long_ = " ".join(f"w{i % 977}" for i in range(20_000))
+    texts = ["a text of more than five words that says something", "a text of more than five words that says something", None, "", " \n\t", long_, "a line that is long enough to be looked at\nand another one of its own"]
+    rows = [(i if i != 4 else None, t, "en", "s", len(t or ""), *EXTRA) for i, t in enumerate(texts)] + [(0, texts[0], None, None, None, *EXTRA)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    name, stage = cp.STAGES[k]
+    out = stage(spark, docs, SF)
+    if name == "source_mixing":
+        assert out.count() == len(rows) and out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    else:
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(tuple(r)[5:] == EXTRA for r in got) and len(got) <= len(rows)
+        if name == "ngram_jaccard_join":
+            assert sum(r.text == texts[0] for r in got) == 1 and any(r.text == long_ for r in got)
+    assert stage(spark, docs.limit(0), SF).count() == 0

@@ -21,12 +21,14 @@ def turn_prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, role, text, p1, p2, n): each turn with the hash of its prefix.
 
     The rolling hash is the running sum of two 60-bit parts of the md5 of
-    (position, role, text); position makes it depend on the order.
+    (position, md5 of the role, md5 of the text); position makes it depend on
+    the order, and hashing each part keeps any character in them from moving
+    the border between the two.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = turns.select("conv_id", "turn", "role", "text").withColumn("pos", F.row_number().over(order))
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    t = t.withColumn("d", F.md5(F.concat_ws("\x1f", F.col("pos").cast("string"), mark("role"), mark("text"))))
+    t = t.withColumn("d", F.md5(F.concat_ws("-", F.col("pos").cast("string"), F.md5(mark("role")), F.md5(mark("text")))))
     along = order.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("conv_id")
     return t.select(

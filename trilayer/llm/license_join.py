@@ -57,7 +57,7 @@ class Templates:
         sets = [(label, sorted(set(text_word_hashes(t).tolist()))) for label, t in templates]
         self.length = [n for n in (len(text_word_hashes(t)) for _, t in templates) if n]
         self.phrases = [(label, text_word_hashes(p)) for p, label in phrases.items()]
-        every = sorted({x for _, s in sets for x in s} | {int(x) for _, p in self.phrases for x in p})
+        every = sorted({x for _, s in sets for x in s} | {int(x) for _, p in self.phrases for x in p}) or [0]  # a place that no template or phrase has
         self.vocabulary = np.array(every, np.uint64)
         self.labels = [label for label, s in sets if s]
         self.sets = [np.searchsorted(self.vocabulary, np.array(s, np.uint64)) for _, s in sets if s]
@@ -247,8 +247,8 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
     windows of the template's number of words, that hold more than each line alone).
     Words are runs of letters and digits, A-Z lower-cased.
 
-    Null or empty text: no words, nothing found.  Templates without words match
-    nothing.  Repeated rows and null ids: each row has its own result.  A block
+    Null or empty text: no words, nothing found.  Templates without words, and
+    none at all, match nothing.  Repeated rows and null ids: each row has its own result.  A block
     that meets several templates, and ties between blocks, are all reported.
     Empty table: no rows.  All columns pass through; the four added names must
     not be taken.

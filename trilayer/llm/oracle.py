@@ -106,7 +106,7 @@ WITH t AS (
          count(*) OVER (PARTITION BY conv_id) AS n
   FROM conversations),
 c AS (
-  SELECT n, string_agg(md5(concat_ws(chr(31), coalesce('=' || role, '-'), coalesce('=' || text, '-'))), '' ORDER BY pos) AS whole,
+  SELECT n, string_agg(md5(md5(coalesce('=' || role, '-')) || md5(coalesce('=' || text, '-'))), '' ORDER BY pos) AS whole,
          string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered, conv_id
   FROM t GROUP BY conv_id, n),
 u AS (SELECT n, whole, min(conv_id) AS conv_id, count(*) AS n_copies, min(rendered) AS rendered FROM c GROUP BY n, whole),
