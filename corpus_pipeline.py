@@ -6,16 +6,43 @@ before kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilayer.llm import decontam, line_dedup, mixing, ngram_join, quality
 from trilayer.llm._spark import cut, small
 
+#: Columns that stages read.
+READ = ("doc_id", "text", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _others_aside(stage: Stage) -> Stage:
+    """Run a stage with the columns it doesn't read under names of no meaning, so that none can clash with its own.
+
+    Common to all stages: null ids and repeated rows are rows like others, null
+    and empty texts have no words or lines, texts of any length are read whole,
+    and an empty table gives an empty one.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: c if c in READ else f"_column{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*aside.values()), sf_dir)
+        back = {v: k for k, v in aside.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run
+
+
 #: No SQL expresses the learned classifier; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+@_others_aside
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (probability of label 1 below one half) go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -23,6 +50,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("_quality") >= 0.5).select(*docs.columns)
 
 
+@_others_aside
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, or lie within two edits of it, leave their text.
 
@@ -34,6 +62,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cleaned.select(*[F.when(lost, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
+@_others_aside
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
     joined = ngram_join.join(docs)
@@ -46,6 +75,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.unionByName(first)
 
 
+@_others_aside
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule marks go; all others stay as they are."""
     names = ("_n_words", "_spans", "_items")
@@ -53,6 +83,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return marked.where(~decontam.contaminated("_spans", "_n_words")).select(*docs.columns)
 
 
+@_others_aside
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document: (doc_id, source, size, source_size, target, taken)."""
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
