@@ -82,16 +82,16 @@ def test_extraction_restarts_where_it_stopped(spark, tmp_path):
 
     fn = extraction.extract_batch(bad, lambda p, e: [(e[0], "is", "text")])
     path = str(tmp_path / "cache")
-    failed = extraction.extract(chunks, path, fn, 2)
+    failed = extraction.extract(chunks, path, fn, rows=2)
     assert [r.chunk_id for r in failed.collect()] == ["c3"]
-    cache = spark.read.parquet(path)
+    cache = extraction.cached(spark, path)
     assert cache.count() == 5 and extraction.missing_chunks(chunks, cache).count() == 1
     with pytest.raises(extraction.ExtractionError, match="1 of 1 chunks failed twice, c3: model down"):
         extraction.retry_failed(failed, fn, path)
-    assert spark.read.parquet(path).count() == 5
+    assert extraction.cached(spark, path).count() == 5
     again = extraction.retry_failed(failed, extraction.extract_batch(lambda p: [p], lambda p, e: []), path)
     assert [r.chunk_id for r in again.collect()] == ["c3"]
-    assert spark.read.parquet(path).count() == 6 and extraction.missing_chunks(chunks, spark.read.parquet(path)).count() == 0
+    assert extraction.cached(spark, path).count() == 6 and extraction.missing_chunks(chunks, extraction.cached(spark, path)).count() == 0
 
 
 def test_safety_valve(spark):
@@ -279,3 +279,36 @@ def test_pagerank_equals_the_dense_iteration(spark, monkeypatch):
         assert max(off.values()) <= max(bound, 1e-12), (hub, bound, off)
         if bound < 1e-12:
             assert set(got) == set(want)
+
+
+@pytest.mark.parametrize("parallel", [1, 3])
+def test_a_killed_extraction_repeats_one_sub_batch_a_core(spark, tmp_path, parallel):
+    import collections
+    import os
+    import uuid
+
+    chunks = spark.createDataFrame([(f"c{i:03d}", f"text {i}") for i in range(100)], "chunk_id string, content string").repartition(5)
+    log, path, bad = str(tmp_path / "calls"), str(tmp_path / "cache"), str(tmp_path / "broken")
+    os.makedirs(log)
+    open(bad, "w").close()
+
+    def fn(b):
+        assert len(b) <= 8
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(b["chunk_id"]))
+        if os.path.exists(bad) and len(os.listdir(log)) > 5:
+            raise OSError("the machine is gone")
+        return b.assign(passage=b["content"], entities=[["e"]] * len(b), triples=[[]] * len(b), failed=False, error=None)[["chunk_id", "passage", "entities", "triples", "failed", "error"]]
+
+    with pytest.raises(Exception, match="the machine is gone"):
+        extraction.extract(chunks, path, fn, rows=8, parallel=parallel)
+    before = {r.chunk_id for r in extraction.cached(spark, path).collect()}
+    assert len(before) >= 8 * parallel
+    # an attempt without a manifest doesn't count
+    extraction.cached(spark, path).write.parquet(f"{path}/attempts/unfinished")
+    os.remove(bad)
+    assert extraction.extract(chunks, path, fn, rows=8, parallel=parallel).count() == 0
+    calls = collections.Counter(c for f in os.listdir(log) for c in open(f"{log}/{f}").read().split())
+    assert extraction.cached(spark, path).count() == 100 and len(calls) == 100
+    again = {c for c, n in calls.items() if n > 1}
+    assert len(again) <= 8 * parallel and not again & before and max(calls.values()) <= 2

@@ -6,10 +6,11 @@ A batch function takes and returns a pandas frame and runs inside
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trilayer.functions.session import materialise
@@ -54,26 +55,61 @@ def extract_batch(entities: Callable[[str], list[str]], triples: Callable[[str,
     return run
 
 
-def extract(chunks: DataFrame, cache_path: str, fn: BatchFn, buckets: int = 4) -> DataFrame:
-    """Extract chunks that the cache lacks, one hash bucket after another, each appended before the next.
+#: Rows of one call of the batch function.
+SUB_BATCH = 64
 
-    A restart does only what is missing.  Failures are returned, not cached.
-    Each bucket's replies are checkpointed first, so that no call is made twice
-    when an executor is lost.
+
+def cached(spark: SparkSession, cache_path: str) -> DataFrame:
+    """All committed records.  What a broken run left without its manifest isn't read."""
+    try:
+        done = [r["folder"] for r in spark.read.schema("folder string").json(f"{cache_path}/manifests").collect()]  # a row a wave
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = []
+    return spark.read.schema(EXTRACTION).parquet(*[f"{cache_path}/attempts/{x}" for x in done]) if done else spark.createDataFrame([], EXTRACTION)
+
+
+def commit(records: DataFrame, cache_path: str) -> None:
+    """Write good records to an attempt folder of their own, then its manifest, which makes them count."""
+    folder = uuid.uuid4().hex
+    records.where("not failed").write.parquet(f"{cache_path}/attempts/{folder}")
+    records.sparkSession.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("append").json(f"{cache_path}/manifests")
+
+
+def sub_batches(chunks: DataFrame, rows: int) -> DataFrame:
+    """``chunks`` (materialised) with ``sub``: numbers of batches of ``rows``, counted on over the partitions."""
+    c = materialise(chunks.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = materialise(c.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")))  # a row a partition
+    first = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = c.join(F.broadcast(sizes.select("_part", first.alias("_first"))), part == F.col("_part"))
+    number = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return place.select(*chunks.columns, F.floor(number / rows).alias("sub"))
+
+
+def extract(chunks: DataFrame, cache_path: str, fn: BatchFn, rows: int = SUB_BATCH, parallel: int | None = None) -> DataFrame:
+    """Extract (chunk_id, content) that the cache lacks; returns the failures, which aren't cached.
+
+    ``fn`` is called with sub-batches of ``rows``.  They run in waves of
+    ``parallel`` (as many as the cluster has cores), and each wave is committed
+    before the next begins.  A run that is killed repeats at most the wave it was
+    in, one sub-batch for each core; a lost executor's sub-batch is called again.
+    Replies are checkpointed before they are split into good and failed.
     """
     spark = chunks.sparkSession
-    failed = None
-    for k in range(buckets):
-        part = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)) == k)
-        try:
-            part = missing_chunks(part, spark.read.schema(EXTRACTION).parquet(cache_path))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        done = materialise(run_batches(part, fn, EXTRACTION))
-        done.where("not failed").write.mode("append").parquet(cache_path)
-        bad = done.where("failed")
-        failed = bad if failed is None else failed.unionByName(bad)
+    todo = missing_chunks(chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"]), cached(spark, cache_path))
+    todo = materialise(sub_batches(todo, rows))
+    parallel = parallel or spark.sparkContext.defaultParallelism
+    last = todo.agg(F.max("sub")).first()[0]
+    failed = spark.createDataFrame([], EXTRACTION)
+    for first in range(0, 0 if last is None else last + 1, parallel):
+        wave = todo.where(F.col("sub").between(first, first + parallel - 1))
+        # a partition a sub-batch, whatever the hash of its number
+        wave = wave.repartitionByRange(parallel, "sub").groupBy("sub")
+        done = materialise(wave.applyInPandas(lambda b: fn(b[["chunk_id", "content"]]), EXTRACTION))
+        commit(done, cache_path)
+        failed = failed.unionByName(done.where("failed"))
     return failed
 
 
@@ -89,7 +125,7 @@ def retry_failed(failed: DataFrame, fn: BatchFn, cache_path: str) -> DataFrame:
     """
     again = materialise(run_batches(failed.select("chunk_id", F.col("passage").alias("content")), fn, EXTRACTION))
     good = again.where("not failed")
-    good.write.mode("append").parquet(cache_path)
+    commit(again, cache_path)
     bad = again.where("failed").agg(F.count("*").alias("n"), F.min(F.struct("chunk_id", "error")).alias("x")).first()
     if bad["n"]:
         raise ExtractionError(f"{bad['n']} of {again.count()} chunks failed twice, {bad['x']['chunk_id']}: {bad['x']['error']}")
