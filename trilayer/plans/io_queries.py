@@ -193,15 +193,24 @@ def _(t: Tables) -> DataFrame:
     return _drain(intake.stream_intake(s, delay="1 day"), "intake").select("doc_id")
 
 
-@query("st2_stream_status", "SELECT CAST(user_id AS VARCHAR) AS doc_id, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY user_id")
+@query("st2_stream_status", """
+s AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, ts, CASE event_type WHEN 'signup' THEN 'parsing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'processed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status FROM events),
+l AS (SELECT doc_id, arg_max(status, (ts, status)) AS status, max(ts) AS ts FROM s GROUP BY doc_id),
+w AS (SELECT *, status IN ('parsing', 'processing') AND ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM s) - INTERVAL 1 HOUR AS stuck FROM l)
+SELECT doc_id, CASE WHEN stuck THEN 'pending' ELSE status END AS status, CASE WHEN stuck THEN status END AS recovered_from FROM w
+""")
 def _(t: Tables) -> DataFrame:
+    """Users as documents; the watermark ends an hour before the last event, and six hours without one are too long."""
     s = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
-    s = s.select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "400 days")
+    names = {"signup": "parsing", "click": "processing", "purchase": "processed", "error": "failed"}
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("event_type")), F.lit("pending"))
+    s = s.select(F.col("user_id").cast("string").alias("doc_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
     out, saved, spark = scratch(t.spark, "status"), scratch(t.spark, "status-state"), t.spark
-    q = intake.stream_status(s, 10**12)
+    q = intake.stream_status(s, 6 * 3600 * 1000)
     write = lambda b, k: b.withColumn("k", F.lit(k)).write.mode("overwrite").parquet(f"{out}/b={k}")
     q.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", saved).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("doc_id").agg(F.max_by("status", "k").alias("status"))
+    last = spark.read.parquet(out).groupBy("doc_id").agg(F.max_by(F.struct("status", "recovered_from"), "k").alias("s"))
+    return last.select("doc_id", "s.status", "s.recovered_from")
 
 
 @query("st3_stream_index", "SELECT DISTINCT chunk_id FROM chunks")
