@@ -109,6 +109,14 @@ def test_conflict_groups_once(spark):
     f = memory.dedup_facts(keyed(spark, [("a", 0, "h", "r", "t1"), ("a", 1, "h", "r", "t2"), ("a", 2, "z", "q", "w")]))
     g = conflicts.conflict_groups(f).collect()
     assert [r.size for r in g] == [2]
+    more = memory.dedup_facts(keyed(spark, [("a", i, f"h{i % 3}", "r", f"t{i % 4}") for i in range(12)] + [("b", 0, "x", "s", "y"), ("b", 1, "h0", "only", "t0")]))
+    groups = conflicts.conflict_groups(more)
+    sets = {}
+    for r in conflicts.members_of(groups, more).collect():
+        sets.setdefault(r.group_id, set()).add((r.head, r.tail))
+    assert sorted(map(sorted, sets.values())) == sorted([[(f"h{i}", f"t{j}") for j in range(4)] for i in range(3)] + [[(f"h{i}", f"t{j}") for i in range(3)] for j in range(4)])
+    top, cut = conflicts.rank_groups(groups, 3)
+    assert [r.size for r in top.collect()] == [4, 4, 4] and cut.first().cut == 4
 
 
 def test_shared_chunks_survive_a_deletion(spark):
@@ -312,3 +320,23 @@ def test_a_killed_extraction_repeats_one_sub_batch_a_core(spark, tmp_path, paral
     assert extraction.cached(spark, path).count() == 100 and len(calls) == 100
     again = {c for c, n in calls.items() if n > 1}
     assert len(again) <= 8 * parallel and not again & before and max(calls.values()) <= 2
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 900), (2, 2500), (3, 40), (4, 6000)])
+def test_batches_equal_one_greedy_pass(spark, monkeypatch, seed, most):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"k{i:05d}", "x" * (0 if rng.random() < 0.2 else rng.randint(0, most))) for i in range(400)]
+    rows[:3] = [(rows[i][0], "") for i in range(3)]
+    want, batch, held = {}, 0, 0
+    for k, text in rows:
+        if held and held + len(text) > 2000:
+            batch, held = batch + 1, 0
+        held += len(text)
+        want[k] = batch
+    df = spark.createDataFrame(rows, "conflict_id string, bundle string").repartition(5)
+    for size in (30, 100_000):
+        monkeypatch.setattr(conflicts, "RANGE_ROWS", size)
+        assert {r.conflict_id: r.batch for r in conflicts.batch_bundles(df, 100).collect()} == want
+    assert conflicts.batch_bundles(df.limit(0)).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trilayer.functions.text import hash_id
+from trilayer.functions.session import materialise
 from trilayer.operators import conflicts, documents, graph, graph_queries, incremental, keyed, memory, ontology
 from trilayer.plans.registry import Tables, query
 
@@ -208,15 +209,18 @@ grp AS (
 """
 
 
-@query("f1_conflict_groups", GROUPS + "SELECT members, CAST((length(members) + 1) // 38 AS INTEGER) AS size FROM grp")
+@query("f1_conflict_groups", GROUPS + "SELECT CAST((length(members) + 1) // 38 AS BIGINT) AS size, members[1:37] AS first, members[-37:] AS last, md5(members) AS members FROM grp")
 def _(t: Tables) -> DataFrame:
-    return conflicts.conflict_groups(t.mem.facts).withColumn("members", F.array_join("members", ","))
+    """Groups by their digests; for the comparison alone their members are put in one text."""
+    g = materialise(conflicts.conflict_groups(t.mem.facts))
+    m = conflicts.members_of(g, t.mem.facts).groupBy("group_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("fact_id")), ",")).alias("members"))
+    return g.join(m, "group_id").select("size", "first", "last", "members")
 
 
-@query("f2_group_ranking", GROUPS + ", r AS (SELECT members, length(members) AS n FROM grp ORDER BY n DESC, members LIMIT 50) SELECT md5(members) AS members, (SELECT greatest(0, count(*) - 50) FROM grp) AS cut FROM r")
+@query("f2_group_ranking", GROUPS + ", r AS (SELECT (length(members) + 1) // 38 AS size, members[1:37] AS first, members[-37:] AS last FROM grp) SELECT size, first, last, (SELECT greatest(0, count(*) - 50) FROM grp) AS cut FROM (SELECT * FROM r ORDER BY size DESC, first, last LIMIT 50)")
 def _(t: Tables) -> DataFrame:
     top, cut = conflicts.rank_groups(conflicts.conflict_groups(t.mem.facts))
-    return top.select(F.md5(F.array_join("members", ",")).alias("members")).crossJoin(cut)
+    return top.select("size", "first", "last").crossJoin(F.broadcast(cut))  # one row
 
 
 VERDICT = """
@@ -264,7 +268,14 @@ def _(t: Tables) -> DataFrame:
     return conflicts.evidence(_pairs(t), t.mem).withColumn("bundle", F.md5("bundle"))
 
 
-@query("f7_bundle_batches")
+@query("f7_bundle_batches", PAIRS + """,
+o AS MATERIALIZED (SELECT conflict_id, length(bundle) AS n, row_number() OVER (ORDER BY conflict_id) AS i FROM bundle),
+g AS (
+  SELECT conflict_id, i, n AS held, CAST(0 AS BIGINT) AS batch FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.conflict_id, o.i, CASE WHEN held > 0 AND held + n > 24000 THEN n ELSE held + n END, batch + CASE WHEN held > 0 AND held + n > 24000 THEN 1 ELSE 0 END FROM g JOIN o ON o.i = g.i + 1)
+SELECT conflict_id, batch FROM g
+""")
 def _(t: Tables) -> DataFrame:
     return conflicts.batch_bundles(conflicts.evidence(_pairs(t), t.mem))
 
