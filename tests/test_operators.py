@@ -340,3 +340,22 @@ def test_batches_equal_one_greedy_pass(spark, monkeypatch, seed, most):
         monkeypatch.setattr(conflicts, "RANGE_ROWS", size)
         assert {r.conflict_id: r.batch for r in conflicts.batch_bundles(df, 100).collect()} == want
     assert conflicts.batch_bundles(df.limit(0)).count() == 0
+
+
+def test_each_question_goes_its_way(spark):
+    q = spark.createDataFrame([(1, "ppr"), (2, "ppr"), (3, None), (4, "context"), (5, "naive"), (6, "bypass"), (7, "context")], "query_id int, mode string")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "query_id int")
+    ranks = lambda name, *ids: spark.createDataFrame([(i, 1, f"{name}{i}", 1.0, f"text of {name}{i}") for i in ids], "query_id int, rank int, passage_id string, score double, content string")
+    ranked, dense = ranks("g", 1, 4, 5, 6), ranks("d", *range(1, 8))
+    way = retrieval.paths(q, rows(1, 1, 4, 5), rows(2), ranked)
+    assert {r.query_id: r.path for r in way.collect()} == {1: "ppr", 2: "dense_fallback_empty_ppr", 3: "dense_fallback_no_facts", 4: "ppr", 5: "naive", 6: "bypass", 7: "dense_fallback_no_facts"}
+    got = retrieval.retrieve(way, ranked, dense)
+    assert {r.query_id: r.passage_id for r in got.collect()} == {1: "g1", 2: "d2", 3: "d3", 4: "g4", 5: "d5", 7: "d7"}
+    # an empty graph sends all to dense search
+    none = retrieval.paths(q, rows(1), rows(2), ranked.limit(0))
+    assert {r.path for r in none.where("mode = 'ppr'").collect()} == {"dense_fallback_empty_ppr", "dense_fallback_no_facts"}
+    asked = q.select("query_id", F.concat(F.lit("q"), F.col("query_id")).alias("question"))
+    said = {r.query_id: (r.prompt, r.answer) for r in retrieval.answer(way, asked, got, lambda b: b.assign(answer="to " + b["prompt"].str[-2:])[["query_id", "answer"]]).collect()}
+    assert said[6] == ("q6", "to q6") and said[1][1] == "to q1" and said[4][1] is None and "text of g4" in said[4][0] and said[1][0].endswith("Question: q1")
+    with pytest.raises(Exception, match="no such mode: agent"):
+        retrieval.paths(spark.createDataFrame([(1, "agent")], "query_id int, mode string"), rows(1), rows(1), ranked).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilayer.functions.session import materialise
 from trilayer.functions.text import basename, defang, hash_id
 from trilayer.operators.pagerank import block_graph, push
 from trilayer.operators.vectors import knn
@@ -107,6 +108,50 @@ def dense(queries: DataFrame, passage_vectors: DataFrame, passages: DataFrame, k
     return hits.join(ok.select("passage_id", "content"), "passage_id").select("query_id", "rank", "passage_id", "score", "content")
 
 
+# Modes of a question and names of the ways it can go.
+MODES = ["ppr", "naive", "context", "bypass"]
+NO_FACTS, EMPTY_GRAPH = "dense_fallback_no_facts", "dense_fallback_empty_ppr"
+
+
+def paths(questions: DataFrame, kept: DataFrame, schemas: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, mode, path) of (query_id, mode): which way each question goes, in one plan.
+
+    Naive and bypass go their own way.  Of the others, one without a kept fact
+    and without a linked schema goes to dense search, and so does one for which
+    the graph ranks no passage.  A null mode is ppr, an unknown one an error.
+    """
+    has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
+    q = questions.select("query_id", F.coalesce("mode", F.lit("ppr")).alias("mode"))
+    q = q.join(has(kept, "_facts"), "query_id", "left").join(has(schemas, "_schemas"), "query_id", "left").join(has(ranked, "_ranked"), "query_id", "left")
+    graph = F.when(F.col("_facts").isNull() & F.col("_schemas").isNull(), NO_FACTS).when(F.col("_ranked").isNull(), EMPTY_GRAPH).otherwise("ppr")
+    known = F.when(F.col("mode").isin("naive", "bypass"), F.col("mode")).when(F.col("mode").isin("ppr", "context"), graph)
+    return q.select("query_id", "mode", F.coalesce(known, F.raise_error(F.concat(F.lit("no such mode: "), F.col("mode"))).cast("string")).alias("path"))
+
+
+def retrieve(way: DataFrame, ranked: DataFrame, dense_ranked: DataFrame) -> DataFrame:
+    """Passages of each question by its path: (query_id, mode, path, rank, passage_id, score, content); bypass has none."""
+    cols = ["query_id", "rank", "passage_id", "score", "content"]
+    graph = way.where("path = 'ppr'").join(ranked.select(cols), "query_id")
+    other = way.where(F.col("path").isin("naive", NO_FACTS, EMPTY_GRAPH)).join(dense_ranked.select(cols), "query_id")
+    return graph.unionByName(other).select("query_id", "mode", "path", *cols[1:])
+
+
+def answer(way: DataFrame, questions: DataFrame, retrieved: DataFrame, fn) -> DataFrame:  # noqa: ANN001
+    """(query_id, mode, path, prompt, answer) of questions (query_id, question).
+
+    The prompt is the fenced passages and the question, of bypass the question
+    alone.  ``fn`` takes a pandas frame (query_id, prompt) and returns (query_id,
+    answer); context mode ends with the prompt and calls no model.
+    """
+    fenced = fence(retrieved.withColumn("source", F.lit("")) if "source" not in retrieved.columns else retrieved).withColumnRenamed("prompt", "_context")
+    text = F.when(F.col("_context").isNull(), F.col("question")).otherwise(F.concat(F.col("_context"), F.lit("\n\nQuestion: "), F.col("question")))
+    asked = way.join(questions.select("query_id", "question"), "query_id").join(fenced, "query_id", "left")
+    asked = materialise(asked.select("query_id", "mode", "path", F.when(F.col("mode") == "context", F.coalesce("_context", F.lit(""))).otherwise(text).alias("prompt")))
+    kind = asked.schema["query_id"].dataType.simpleString()
+    replies = materialise(asked.where("mode <> 'context'").select("query_id", "prompt").mapInPandas(lambda it: (fn(b) for b in it), f"query_id {kind}, answer string"))
+    return asked.join(replies, "query_id", "left")
+
+
 def route(queries: DataFrame, graph: DataFrame, naive: DataFrame) -> DataFrame:
     """Graph results where a question has any, else dense ones; adds ``path``."""
     has = graph.select("query_id").distinct()

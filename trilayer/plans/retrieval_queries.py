@@ -242,11 +242,55 @@ def _(t: Tables) -> DataFrame:
     return retrieval.dense(_regions(t), v, t.mem.passages).select("query_id", "rank", "passage_id")
 
 
-@query("r12_fallback_routing", _ppr_sql() + f", rp AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, passage_id) AS rank FROM ranked JOIN passages ON passage_id = node_id) SELECT query_id, passage_id, CASE WHEN query_id < 3 THEN 'ppr' ELSE 'naive' END AS path FROM rp WHERE rank <= 10")
+NATIONS = HASHED.replace("FROM region", "FROM nation").replace("r_regionkey", "n_nationkey").replace("'part of ' || lower(r_name)", "lower(n_name)")
+ROUTES = NATIONS.rstrip() + """,
+mode AS (SELECT n_nationkey AS query_id, ['ppr', 'context', 'naive', 'bypass', 'ppr'][n_nationkey % 5 + 1] AS mode FROM nation),
+sl AS (SELECT * FROM shits WHERE score >= 0.2),
+rk AS (SELECT query_id, passage_id, rank FROM (SELECT query_id, node_id AS passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 12) DESC, node_id) AS rank FROM ps) WHERE rank <= 10),
+way AS (
+  SELECT query_id, mode, CASE WHEN mode IN ('naive', 'bypass') THEN mode
+    WHEN query_id NOT IN (SELECT query_id FROM kept) AND query_id NOT IN (SELECT query_id FROM sl) THEN 'dense_fallback_no_facts'
+    WHEN query_id NOT IN (SELECT query_id FROM rk) THEN 'dense_fallback_empty_ppr' ELSE 'ppr' END AS path
+  FROM mode),
+got AS (
+  SELECT query_id, mode, path, rank, passage_id FROM way JOIN rk USING (query_id) WHERE path = 'ppr'
+  UNION ALL SELECT query_id, mode, path, rank, passage_id FROM way JOIN phits USING (query_id) WHERE path NOT IN ('ppr', 'bypass'))
+"""
+
+
+def _routed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nations as questions of all modes: (questions, ways, passages)."""
+    if "routed" not in t.__dict__:
+        mode = F.get(F.array(*[F.lit(m) for m in ("ppr", "context", "naive", "bypass", "ppr")]), (F.col("n_nationkey") % 5).cast("int"))
+        asked = t.nation.select(F.col("n_nationkey").alias("query_id"), F.lower("n_name").alias("question"), mode.alias("mode"))
+        q = materialise(vectors.hash_embed(asked, "query_id", "question").withColumnRenamed("id", "query_id"))
+        kept = materialise(retrieval.threshold(retrieval.link_facts(q, _fact_vectors(t), 50), 0.6))
+        text = t.mem.schemas.select("schema_id", F.concat_ws("\t", "head_type", "relation", "tail_type").alias("text"))
+        schemas = materialise(vectors.knn(q, vectors.hash_embed(text, "schema_id", "text"), 5, min_score=0.2))
+        scores = retrieval.one_hop_scores(retrieval.entity_seeds(kept, t.mem.facts), _pairs(t))
+        ranked = materialise(retrieval.rank_passages(scores, t.mem.passages))
+        dense = materialise(retrieval.dense(q, vectors.hash_embed(t.mem.passages, "passage_id", "content"), t.mem.passages))
+        way = materialise(retrieval.paths(asked, kept, schemas, ranked))
+        t.__dict__["routed"] = (asked, way, materialise(retrieval.retrieve(way, ranked, dense)))
+    return t.__dict__["routed"]
+
+
+@query("r12_fallback_routing", ROUTES + "SELECT query_id, path, CAST(rank AS INTEGER) AS rank, passage_id FROM got UNION ALL SELECT query_id, path, 0, '' FROM way WHERE path = 'bypass'")
+def _(t: Tables) -> DataFrame:
+    _, way, got = _routed(t)
+    rest = way.where("path = 'bypass'").select("query_id", "path", F.lit(0).alias("rank"), F.lit("").alias("passage_id"))
+    return got.select("query_id", "path", "rank", "passage_id").unionByName(rest)
+
+
+@query("r18_modes", ROUTES + """,
+c AS (SELECT query_id, string_agg('<<<PASSAGE ' || rank || '>>>' || chr(10) || content || chr(10) || '<<<END PASSAGE ' || rank || '>>>', chr(10) || chr(10) ORDER BY rank) AS ctx FROM got JOIN passages USING (passage_id) GROUP BY query_id),
+p AS (SELECT query_id, mode, path, CASE WHEN mode = 'context' THEN coalesce(ctx, '') WHEN ctx IS NULL THEN lower(n_name) ELSE ctx || chr(10) || chr(10) || 'Question: ' || lower(n_name) END AS prompt FROM way JOIN nation ON n_nationkey = query_id LEFT JOIN c USING (query_id))
+SELECT query_id, mode, path, md5(prompt) AS prompt, CASE WHEN mode <> 'context' THEN 'reply to ' || length(prompt) END AS answer FROM p
+""")
 def _(t: Tables) -> DataFrame:
-    r = retrieval.rank_passages(_scores(t), t.mem.passages)
-    q = t.region.select(F.col("r_regionkey").alias("query_id"))
-    return retrieval.route(q, r.where("query_id < 3"), r).select("query_id", "passage_id", "path")
+    asked, way, got = _routed(t)
+    out = retrieval.answer(way, asked, got, lambda b: b.assign(answer=[f"reply to {len(x)}" for x in b["prompt"]])[["query_id", "answer"]])
+    return out.select("query_id", "mode", "path", F.md5("prompt").alias("prompt"), "answer")
 
 
 @query("r13_one_hop_scores", HASHED + "SELECT query_id, node_id, round(mass * 20, 9) AS mass FROM ps")
