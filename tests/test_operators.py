@@ -359,3 +359,17 @@ def test_each_question_goes_its_way(spark):
     assert said[6] == ("q6", "to q6") and said[1][1] == "to q1" and said[4][1] is None and "text of g4" in said[4][0] and said[1][0].endswith("Question: q1")
     with pytest.raises(Exception, match="no such mode: agent"):
         retrieval.paths(spark.createDataFrame([(1, "agent")], "query_id int, mode string"), rows(1), rows(1), ranked).collect()
+
+
+def test_answers_in_compatibility_form(spark):
+    import unicodedata
+
+    rows = [(1, "the \ufb01ne \u2163 print", ["fine IV print"]), (2, "x\u00b2 \uff21\uff22\uff23", ["nothing", "X2 abc"]), (3, "zz", [None, "b"]), (4, "caf\u0065\u0301 \u2014 s", ["caf\u00e9 s"]), (5, "plain", None), (6, "\u30d1\uff8a\uff9f", [])]
+    p = spark.createDataFrame(rows, "example_id int, prediction string, gold_answers array<string>").coalesce(1)
+    assert {r.example_id: r.value for r in evaluation.exact_match(p).collect()} == {1: 1.0, 2: 1.0, 3: 0.0, 4: 1.0, 5: None, 6: 0.0}
+    assert {r.example_id: r.value for r in evaluation.token_f1(p.where("example_id < 3")).collect()} == {1: 1.0, 2: 1.0}
+    got = {r.example_id: (r.prediction, r.gold_answers) for r in canon.compatible(p, "prediction", "gold_answers").collect()}
+    n = lambda s: s if s is None else unicodedata.normalize("NFKC", s.replace("\u2014", "-"))
+    assert got == {i: (n(a), g if g is None else [n(x) for x in g]) for i, a, g in rows}
+    keys = spark.createDataFrame([(1, "\uff34he \ufb01le.", 1)], "example_id int, title string, rank int")
+    assert evaluation._ranks(keys).first().key == "the file"

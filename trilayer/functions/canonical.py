@@ -10,12 +10,16 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trilayer.functions.session import materialise
-from trilayer.functions.text import FOLD_FROM, FOLD_TO, FOLD_WIDE, collapse
+from trilayer.functions.text import FOLD_FROM, FOLD_TO, FOLD_WIDE, collapse, fold_answer
 
 _TABLE = str.maketrans(dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | FOLD_WIDE)
 
@@ -70,3 +74,38 @@ def strip_accents(df: DataFrame, column: str, new: str) -> DataFrame:
 def nfkc(df: DataFrame, column: str, new: str) -> DataFrame:
     """Add ``new``: the column's compatibility form."""
     return _map_labels(df, {column: new}, lambda c: c, lambda s: unicodedata.normalize("NFKC", s))
+
+
+def compatible(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with strings and string arrays folded and in their compatibility form, null ones as they are.
+
+    Texts pass whole through one Arrow step; those that are normal already, as
+    ASCII ones are, stay as they are.
+    """
+    kinds = {c: isinstance(df.schema[c].dataType, T.ArrayType) for c in columns}
+    fold = lambda c: F.when(F.col(c).isNotNull(), F.transform(c, lambda x: F.when(x.isNotNull(), fold_answer(x))) if kinds[c] else fold_answer(F.col(c)))
+    df = df.withColumns({c: fold(c) for c in columns})
+
+    def form(column: pa.Array) -> pa.Array:
+        at = np.flatnonzero(~pc.fill_null(pc.string_is_ascii(column), True).to_numpy(zero_copy_only=False))
+        at = [(i, x) for i, x in zip(at.tolist(), column.take(pa.array(at)).to_pylist(), strict=True) if not unicodedata.is_normalized("NFKC", x)]
+        if not at:
+            return column
+        other = np.zeros(len(column), bool)
+        other[[i for i, _ in at]] = True
+        return pc.replace_with_mask(column, pa.array(other), pa.array([unicodedata.normalize("NFKC", x) for _, x in at], column.type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, col in zip(b.schema.names, b.columns, strict=True):
+                if kinds.get(name):
+                    length = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+                    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                    col = pa.ListArray.from_arrays(pa.array(offsets), form(col.flatten()), mask=col.is_null())
+                elif name in kinds:
+                    col = form(col)
+                out.append(col)
+            yield pa.RecordBatch.from_arrays(out, names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilayer.functions.canonical import compatible
 from trilayer.functions.text import doc_key, expected_fold, json_object, normalise_answer, tokens
 
 # Metrics for which less is better.
@@ -28,15 +29,21 @@ def gold_answers(answers: Column, aliases: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.coalesce(answers, none), F.coalesce(aliases, none)), lambda a: F.trim(a) != ""))
 
 
+def _texts(preds: DataFrame) -> DataFrame:
+    """What the metrics compare, in compatibility form."""
+    return compatible(preds.select("example_id", "prediction", "gold_answers"), "prediction", "gold_answers")
+
+
 def exact_match(preds: DataFrame) -> DataFrame:
     """(example_id, value): 1 if any gold answer has the prediction's comparison form."""
-    p = normalise_answer(F.col("prediction"))
-    return preds.select("example_id", F.exists("gold_answers", lambda g: normalise_answer(g) == p).cast("double").alias("value"))
+    preds = _texts(preds)
+    p = normalise_answer(F.col("prediction"), folded=True)
+    return preds.select("example_id", F.exists("gold_answers", lambda g: normalise_answer(g, folded=True) == p).cast("double").alias("value"))
 
 
 def token_f1(preds: DataFrame) -> DataFrame:
     """(example_id, value): best multiset overlap F1 over gold answers; nothing in common or empty: 0."""
-    g = preds.select("example_id", tokens(F.col("prediction")).alias("p"), F.posexplode_outer("gold_answers").alias("g_no", "gold")).withColumn("g", tokens(F.col("gold")))
+    g = _texts(preds).select("example_id", tokens(F.col("prediction"), folded=True).alias("p"), F.posexplode_outer("gold_answers").alias("g_no", "gold")).withColumn("g", tokens(F.col("gold"), folded=True))
     p_n = g.select("example_id", "g_no", F.explode("p").alias("t")).groupBy("example_id", "g_no", "t").agg(F.count("*").alias("a"))
     g_n = g.select("example_id", "g_no", F.explode("g").alias("t")).groupBy("example_id", "g_no", "t").agg(F.count("*").alias("b"))
     both = p_n.join(g_n, ["example_id", "g_no", "t"]).groupBy("example_id", "g_no").agg(F.sum(F.least("a", "b")).alias("same"))
@@ -47,9 +54,10 @@ def token_f1(preds: DataFrame) -> DataFrame:
 
 def str_acc(preds: DataFrame, window: int = 200, verbosity: int = 10) -> DataFrame:
     """(example_id, hit, verbose, truncated): any gold answer's tokens stand in the first ``window`` of the prediction."""
-    p = tokens(F.col("prediction"))
+    preds = _texts(preds)
+    p = tokens(F.col("prediction"), folded=True)
     line = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    d = preds.select("example_id", p.alias("p"), F.transform("gold_answers", tokens).alias("g"))
+    d = preds.select("example_id", p.alias("p"), F.transform("gold_answers", lambda g: tokens(g, folded=True)).alias("g"))
     hit = F.exists("g", lambda g: (F.size(g) > 0) & F.contains(line(F.slice("p", 1, window)), line(g)))
     shortest = F.array_min(F.transform(F.filter("g", lambda g: F.size(g) > 0), F.size))
     return d.select("example_id", hit.alias("hit"), (hit & (F.size("p") > verbosity * shortest)).alias("verbose"), (F.size("p") > window).alias("truncated"))
@@ -64,12 +72,12 @@ def str_acc_audit(scores: DataFrame) -> DataFrame:
 
 def _ranks(retrieved: DataFrame) -> DataFrame:
     """Distinct document keys of (example_id, rank, title), ranked anew."""
-    r = retrieved.withColumn("key", doc_key(F.col("title"))).where("key <> ''").groupBy("example_id", "key").agg(F.min("rank").alias("rank"))
+    r = compatible(retrieved.select("example_id", "rank", "title"), "title").withColumn("key", doc_key(F.col("title"), folded=True)).where("key <> ''").groupBy("example_id", "key").agg(F.min("rank").alias("rank"))
     return r.withColumn("place", F.row_number().over(Window.partitionBy("example_id").orderBy("rank", "key")))
 
 
 def _golds(examples: DataFrame) -> DataFrame:
-    g = examples.select("example_id", F.explode("gold_docs").alias("t")).select("example_id", doc_key(F.col("t")).alias("key"))
+    g = compatible(examples.select("example_id", F.explode("gold_docs").alias("t")), "t").select("example_id", doc_key(F.col("t"), folded=True).alias("key"))
     return g.where("key <> ''").distinct()
 
 

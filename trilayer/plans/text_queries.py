@@ -339,12 +339,12 @@ def _preds(t: Tables) -> DataFrame:
 
 @query("e1_answer_normalisation", f"SELECT doc_id, md5({norm('text')}) AS form FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(tx.normalise_answer(F.col("text"))).alias("form"))
+    return canon.compatible(t.documents.select("doc_id", "text"), "text").select("doc_id", F.md5(tx.normalise_answer(F.col("text"), folded=True)).alias("form"))
 
 
 @query("e2_answer_tokens", PREDS + "SELECT example_id AS doc_id, CAST(np AS INTEGER) AS n FROM pw")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n"))
+    return canon.compatible(t.documents.select("doc_id", "text"), "text").select("doc_id", F.size(tx.tokens(F.col("text"), folded=True)).alias("n"))
 
 
 @query("e3_document_key", "SELECT c_custkey, 'the ' || lower(replace(c_name, '#', ' ')) AS key FROM customer")
