@@ -373,3 +373,36 @@ def test_answers_in_compatibility_form(spark):
     assert got == {i: (n(a), g if g is None else [n(x) for x in g]) for i, a, g in rows}
     keys = spark.createDataFrame([(1, "\uff34he \ufb01le.", 1)], "example_id int, title string, rank int")
     assert evaluation._ranks(keys).first().key == "the file"
+
+
+def test_calls_that_fail_are_made_once_more(spark, tmp_path):
+    import os
+    import uuid
+
+    log = str(tmp_path / "calls")
+    os.makedirs(log)
+
+    def fn(b):
+        for i in b["id"]:
+            open(f"{log}/{i}-{uuid.uuid4().hex}", "w").close()
+        seen = [sum(f.startswith(f"{i}-") for f in os.listdir(log)) for i in b["id"]]
+        return b.assign(reply=["ok" if i == 1 or (i == 2 and n == 2) else None for i, n in zip(b["id"], seen)])
+
+    got = extraction.call_twice(spark.createDataFrame([(1,), (2,), (3,)], "id int"), fn, "id int, reply string", F.col("reply") == "ok")
+    assert {r.id: r.reply for r in got.collect()} == {1: "ok", 2: "ok", 3: None} and got.count() == 3
+    assert sorted(int(f.split("-")[0]) for f in os.listdir(log)) == [1, 2, 2, 3, 3]
+
+
+def test_large_groups_are_asked_about_in_parts(spark):
+    import pandas as pd
+
+    f = memory.dedup_facts(keyed(spark, [("a", i, "h", "r", f"t{i}") for i in range(100)] + [("b", 0, "x", "s", "y1"), ("b", 1, "x", "s", "y2")]))
+    v = conflicts.verdict_call(conflicts.conflict_groups(f), f, lambda g: pd.DataFrame({"group_id": [g["group_id"].iloc[0]], "n": [len(g)]}), "group_id string, n long", rows=10).collect()
+    assert sum(r.n for r in v) == 102 and max(r.n for r in v) < 30 and len(v) >= 9
+
+
+def test_torn_chunks_go_when_a_document_is_requeued(spark):
+    st = spark.createDataFrame([("a", "parsing"), ("b", "failed"), ("c", "processed")], "doc_id string, status string")
+    dc = spark.createDataFrame([("a", "x", 0), ("b", "x", 0), ("c", "y", 0)], "doc_id string, chunk_id string, pos int")
+    assert {r.doc_id for r in documents.requeued_chunks(dc, documents.requeue(st)).collect()} == {"b", "c"}
+    assert {r.doc_id for r in documents.requeued_chunks(dc, documents.requeue(st, st.where("doc_id = 'b'"))).collect()} == {"a", "b", "c"}

@@ -64,6 +64,16 @@ def requeue(doc_status: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return d.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status"))).drop("_hit")
 
 
+def requeued_chunks(doc_chunk: DataFrame, requeued: DataFrame) -> DataFrame:
+    """``doc_chunk`` without the chunks of documents that ``requeue`` took out of the middle of their work.
+
+    A worker that died may have recorded chunks it never installed; the retry
+    derives them anew.
+    """
+    torn = requeued.where(F.col("requeued") & F.col("recovered_from").isin("parsing", "processing"))
+    return doc_chunk.join(torn.select("doc_id"), "doc_id", "left_anti")
+
+
 def process_summary(doc_status: DataFrame) -> DataFrame:
     """(status, n, doc_id): processed and failed documents, each with the number of its state."""
     d = doc_status.where(F.col("status").isin("processed", "failed"))

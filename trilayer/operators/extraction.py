@@ -38,6 +38,18 @@ def run_batches(df: DataFrame, fn: BatchFn, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def call_twice(df: DataFrame, fn: BatchFn, schema: str, ok: Column) -> DataFrame:
+    """Replies of ``fn`` over ``df``, whose columns they keep; those that aren't ``ok`` are asked for once more.
+
+    Both rounds are checkpointed, so that no reply is asked for again when it is
+    read again.  What fails twice stays as the second reply has it.
+    """
+    first = materialise(run_batches(df, fn, schema))
+    good = F.coalesce(ok, F.lit(False))
+    again = materialise(run_batches(first.where(~good).select(df.columns), fn, schema))
+    return first.where(good).unionByName(again)
+
+
 def extract_batch(entities: Callable[[str], list[str]], triples: Callable[[str, list[str]], list[tuple[str, str, str]]]) -> BatchFn:
     """Two steps a row: entities, then triples given them; an exception makes a failed row."""
 

@@ -140,27 +140,28 @@ def _(t: Tables) -> DataFrame:
     return extraction.cached(t.spark, path).select("chunk_id", F.size("triples").cast("long").alias("triples"))
 
 
-@query("f3_verdict_call", "SELECT count(*) AS verdicts, count(*) FILTER (n > 2) AS hard FROM (SELECT count(*) AS n FROM facts GROUP BY head_key, rel_key HAVING count(*) > 1)")
+@query("f3_verdict_call", """
+grp AS (
+  SELECT DISTINCT members FROM (
+    SELECT string_agg(fact_id, ',' ORDER BY fact_id) AS members FROM facts GROUP BY head_key, rel_key HAVING count(*) > 1
+    UNION ALL SELECT string_agg(fact_id, ',' ORDER BY fact_id) FROM facts GROUP BY rel_key, tail_key HAVING count(*) > 1))
+SELECT (length(members) + 1) // 38 AS asked, members[1:37] AS target, (length(members) + 1) // 38 > 2 AS hard FROM grp
+""")
 def _(t: Tables) -> DataFrame:
-    g = t.mem.facts.groupBy("head_key", "rel_key").agg(F.array_sort(F.collect_set("fact_id")).alias("members")).where("size(members) > 1")
-
-    def verdict(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"target": [m[0] for m in b["members"]], "hard": [len(m) > 2 for m in b["members"]]})
-
-    v = extraction.run_batches(g.select("members"), verdict, "target string, hard boolean")
-    return v.agg(F.count("*").alias("verdicts"), F.count_if("hard").alias("hard"))
+    """A scripted verdict names the smallest fact it was shown; a group's parts are put together."""
+    facts = t.mem.facts.select("fact_id", "head_key", "rel_key", "tail_key")
+    groups = materialise(conflicts.conflict_groups(facts))
+    verdict = lambda g: pd.DataFrame({"group_id": [g["group_id"].iloc[0]], "target": [g["fact_id"].min()], "n": [len(g)]})
+    v = conflicts.verdict_call(groups, facts, verdict, "group_id string, target string, n long")
+    return v.groupBy("group_id").agg(F.sum("n").alias("asked"), F.min("target").alias("target")).select("asked", "target", (F.col("asked") > 2).alias("hard"))
 
 
 @query("o8_typing_call", "SELECT passage_id, n, n > 4 AS typed FROM (SELECT passage_id, count(*) AS n FROM links GROUP BY passage_id)")
 def _(t: Tables) -> DataFrame:
     g = t.mem.links.groupBy("passage_id").agg(F.count("*").alias("n"))
-
-    def once(b: pd.DataFrame) -> pd.DataFrame:
-        return b.assign(reply=["{}" if n > 4 else "" for n in b["n"]])
-
-    first = extraction.run_batches(g, once, "passage_id string, n long, reply string")
-    again = extraction.run_batches(first.where("reply = ''").select("passage_id", "n"), once, "passage_id string, n long, reply string")
-    return first.where("reply <> ''").union(again).select("passage_id", "n", (F.col("reply") != "").alias("typed"))
+    reply = lambda b: b.assign(reply=["{}" if n > 4 else "" for n in b["n"]])
+    asked = extraction.call_twice(g, reply, "passage_id string, n long, reply string", F.col("reply") != "")
+    return asked.select("passage_id", "n", (F.col("reply") != "").alias("typed"))
 
 
 @query("e11_judge_call", "SELECT doc_id AS example_id, CASE WHEN doc_id % 3 = 0 THEN 'error' WHEN doc_id % 3 = 1 THEN 'correct' ELSE 'unparsed' END AS verdict FROM documents")

@@ -518,6 +518,11 @@ def _(t: Tables) -> DataFrame:
     return documents.requeue(t.status).select("doc_id", "status", "recovered_from")
 
 
+@query("d6_requeued_chunks", "SELECT doc_id, chunk_id, pos FROM doc_chunk JOIN status USING (doc_id) WHERE status NOT IN ('parsing', 'processing')")
+def _(t: Tables) -> DataFrame:
+    return documents.requeued_chunks(t.doc_chunk, documents.requeue(t.status)).select("doc_id", "chunk_id", "pos")
+
+
 @query("d7_process_summary", "SELECT status, count(*) OVER (PARTITION BY status) AS n, doc_id FROM status WHERE status IN ('processed', 'failed')")
 def _(t: Tables) -> DataFrame:
     return documents.process_summary(t.status)
