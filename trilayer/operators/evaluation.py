@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilayer.functions.canonical import compatible
+from trilayer.functions.session import materialise
 from trilayer.functions.text import doc_key, expected_fold, json_object, normalise_answer, tokens
 
 # Metrics for which less is better.
@@ -131,14 +132,34 @@ def judge_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(rate("correct").alias("accuracy"), rate("unparsed").alias("unparsed_rate"))
 
 
-def score_run(examples: DataFrame, preds: DataFrame) -> DataFrame:
-    """(metric, value) of one run; a missing or failed prediction scores as wrong."""
-    p = examples.join(preds.select("example_id", "prediction", "failed"), "example_id", "left")
-    p = p.withColumn("prediction", F.when(F.coalesce("failed", F.lit(True)), F.lit("")).otherwise(F.col("prediction"))).persist()
-    mean = lambda df, name, c="value": df.agg(F.coalesce(F.avg(c), F.lit(0.0)).alias("value")).select(F.lit(name).alias("metric"), "value")
-    failed = p.agg(F.count_if(F.coalesce("failed", F.lit(True))).cast("double").alias("value")).select(F.lit("failures").alias("metric"), "value")
-    s = str_acc(p).withColumn("value", F.col("hit").cast("double"))
-    return mean(exact_match(p), "exact_match").unionByName(mean(token_f1(p), "token_f1")).unionByName(mean(s, "str_acc")).unionByName(failed)
+def score_run(examples: DataFrame, preds: DataFrame, retrieved: DataFrame | None = None, verdicts: DataFrame | None = None, ks: tuple[int, ...] = KS) -> DataFrame:
+    """(metric, value) of one run, all metrics from one set of predictions; a missing or failed one scores as wrong.
+
+    examples (example_id, gold_answers, and gold_docs where ``retrieved`` is
+    given), preds (example_id, prediction, failed), retrieved (example_id, rank,
+    title), verdicts (example_id, verdict) as ``judge`` gives them.  Answers
+    alone: exact_match, token_f1, str_acc with its audit rates, failures;
+    retrieval adds recall@k, evidence_recall and context_relevance, a judge its
+    accuracy and the share of verdicts that couldn't be read.
+    """
+    p = examples.select("example_id", "gold_answers").join(preds.select("example_id", "prediction", "failed"), "example_id", "left")
+    lost = F.coalesce("failed", F.lit(True))
+    p = materialise(p.select("example_id", "gold_answers", lost.alias("failed"), F.when(lost, F.lit("")).otherwise(F.col("prediction")).alias("prediction")))
+    mean = lambda df, name: df.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("value")).select(F.lit(name).alias("metric"), "value")
+    each = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in df.columns])).alias("x")).select("x.*")
+    parts = [mean(exact_match(p), "exact_match"), mean(token_f1(p), "token_f1"), each(str_acc_audit(str_acc(p)))]
+    parts.append(each(p.agg(F.count_if("failed").cast("double").alias("failures"))))
+    if retrieved is not None:
+        at = recall_at_k(examples, retrieved, ks).groupBy("k").agg(F.avg("value").alias("value"))
+        parts.append(at.select(F.concat(F.lit("recall@"), F.col("k").cast("string")).alias("metric"), "value"))
+        parts += [mean(evidence_recall(examples, retrieved), "evidence_recall"), mean(context_relevance(examples, retrieved), "context_relevance")]
+    if verdicts is not None:
+        # an example without a verdict counts as not correct
+        parts.append(each(judge_summary(examples.select("example_id").join(verdicts, "example_id", "left").fillna("error", ["verdict"])).select(F.col("accuracy").alias("llm_acc"), "unparsed_rate")))
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out
 
 
 def aggregate_runs(metrics: DataFrame) -> DataFrame:

@@ -421,10 +421,46 @@ def _(t: Tables) -> DataFrame:
     return evaluation.judge_summary(t.labels.select(F.when(F.col("quality") == 1, "correct").when(F.col("toxic") == 1, "unparsed").otherwise("incorrect").alias("verdict")))
 
 
-@query("e13_run_scores")
+RUN = f"""
+pred AS (SELECT doc_id AS example_id, text, array_to_string(regexp_extract_all(text, '\\S+')[3:12], ' ') AS g1 FROM documents),
+whole AS MATERIALIZED (SELECT example_id, {norm("text")} AS p FROM pred),
+pt AS (SELECT example_id, CASE WHEN example_id % 10 = 0 THEN '' ELSE p END AS p FROM whole),
+gt AS MATERIALIZED (SELECT example_id, 1 AS no, {norm("g1")} AS g FROM pred UNION ALL SELECT example_id, 2, p FROM whole WHERE example_id % 4 = 0),
+pw AS MATERIALIZED (SELECT example_id, p, CASE WHEN p = '' THEN 0 ELSE len(string_split(p, ' ')) END AS np FROM pt),
+gw AS MATERIALIZED (SELECT example_id, no, g, CASE WHEN g = '' THEN 0 ELSE len(string_split(g, ' ')) END AS ng FROM gt)
+"""
+RUN = RUN + STR_ACC[len(PREDS):].replace("WINDOW", "200").rstrip() + """,
+pc AS (SELECT example_id, t, count(*) AS a FROM (SELECT example_id, unnest(string_split(p, ' ')) AS t FROM pw WHERE np > 0) GROUP BY 1, 2),
+gc AS (SELECT example_id, no, t, count(*) AS b FROM (SELECT example_id, no, unnest(string_split(g, ' ')) AS t FROM gw WHERE ng > 0) GROUP BY 1, 2, 3),
+same AS (SELECT example_id, no, sum(least(a, b)) AS n FROM pc JOIN gc USING (example_id, t) GROUP BY 1, 2),
+f1 AS (SELECT example_id, max(coalesce(2.0 * n / (np + ng), 0)) AS v FROM gw JOIN pw USING (example_id) LEFT JOIN same USING (example_id, no) GROUP BY example_id),
+em AS (SELECT example_id, CAST(bool_or(p = g) AS DOUBLE) AS v FROM pw JOIN gw USING (example_id) GROUP BY example_id),
+gold AS (SELECT DISTINCT doc_id, lower(unnest([lang, source])) AS key FROM documents),
+found AS (SELECT doc_id, key, min(rank) AS rank FROM (SELECT doc_id, lower(source) AS key, 2 AS rank FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'the ' || lower(lang), 1 FROM documents UNION ALL SELECT doc_id, lower(lang), 3 FROM documents WHERE doc_id % 2 = 0) GROUP BY 1, 2),
+place AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, key) AS place FROM found),
+ov AS (SELECT d.doc_id, count(DISTINCT gold.key) AS ng, count(place.key) AS nb, any_value(nf) AS nf, count(place.key) FILTER (place <= 1) AS b1, count(place.key) FILTER (place <= 5) AS b5
+  FROM documents d LEFT JOIN gold USING (doc_id) LEFT JOIN place ON place.doc_id = d.doc_id AND place.key = gold.key LEFT JOIN (SELECT doc_id, count(*) AS nf FROM place GROUP BY 1) c ON c.doc_id = d.doc_id GROUP BY d.doc_id),
+m(metric, value) AS (
+  SELECT 'exact_match', avg(v) FROM em UNION ALL SELECT 'token_f1', avg(v) FROM f1
+  UNION ALL SELECT 'str_acc', avg(CAST(hit AS DOUBLE)) FROM sa UNION ALL SELECT 'verbose_hit_rate', coalesce(count(*) FILTER ("verbose") / CAST(nullif(count(*) FILTER (hit), 0) AS DOUBLE), 0) FROM sa
+  UNION ALL SELECT 'truncated_rate', avg(CAST(truncated AS DOUBLE)) FROM sa UNION ALL SELECT 'failures', count(*) FILTER (doc_id % 10 = 0) FROM documents
+  UNION ALL SELECT 'recall@1', avg(b1 / CAST(ng AS DOUBLE)) FROM ov UNION ALL SELECT 'recall@5', avg(b5 / CAST(ng AS DOUBLE)) FROM ov
+  UNION ALL SELECT 'evidence_recall', avg(nb / CAST(ng AS DOUBLE)) FROM ov UNION ALL SELECT 'context_relevance', avg(nb / CAST(nf AS DOUBLE)) FROM ov
+  UNION ALL SELECT 'llm_acc', avg(CAST(doc_id % 7 = 1 AS DOUBLE)) FROM documents UNION ALL SELECT 'unparsed_rate', avg(CAST(doc_id % 7 = 2 AS DOUBLE)) FROM documents)
+"""
+
+
+@query("e13_run_scores", RUN + "SELECT metric, round(CAST(value AS DOUBLE), 9) AS value FROM m")
 def _(t: Tables) -> DataFrame:
-    p = _preds(t)
-    return evaluation.score_run(p.select("example_id", "gold_answers"), p.select("example_id", "prediction", (F.col("example_id") % 10 == 0).alias("failed")))
+    """Documents as examples: one in ten fails, sources and languages are titles, and a scripted judge leaves most unjudged."""
+    p, d = _preds(t), t.documents
+    examples = p.select("example_id", "gold_answers").join(d.select(F.col("doc_id").alias("example_id"), F.array("lang", "source").alias("gold_docs")), "example_id")
+    row = lambda df, rank, title: df.select(F.col("doc_id").alias("example_id"), F.lit(rank).alias("rank"), title.alias("title"))
+    got = row(d.where("doc_id % 3 <> 0"), 2, F.col("source")).union(row(d, 1, F.concat(F.lit("The "), F.col("lang"), F.lit(".")))).union(row(d.where("doc_id % 2 = 0"), 3, F.col("lang")))
+    verdict = F.when(F.col("doc_id") % 7 == 1, "correct").when(F.col("doc_id") % 7 == 2, "unparsed").otherwise("incorrect")
+    judged = d.where("doc_id % 7 < 4").select(F.col("doc_id").alias("example_id"), verdict.alias("verdict"))
+    s = evaluation.score_run(examples, p.select("example_id", "prediction", (F.col("example_id") % 10 == 0).alias("failed")), got, judged, (1, 5))
+    return s.select("metric", F.round("value", 9).alias("value"))
 
 
 RUNS = """
