@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trilayer.functions import canonical as canon
 from trilayer.functions import text as tx
-from trilayer.operators import chunking, evaluation, extraction, ontology, provenance, stats, threads
+from trilayer.operators import chunking, evaluation, extraction, ontology, provenance, stats, threads, tokenizer
 from trilayer.plans.registry import Tables, query
 from trilayer.sources import files
 from trilayer.streaming import intake
@@ -135,6 +135,18 @@ def _(t: Tables) -> DataFrame:
     return chunking.chunk_fixed(t.documents, 50, 10)
 
 
+@query("u2_token_windows", C1 + "SELECT doc_id, chunk_order, CAST(len(p) AS INTEGER) AS tokens, array_to_string(p, ' ') AS content FROM c")
+def _(t: Tables) -> DataFrame:
+    """Whitespace tokens through the hook: windows cut from the text, their blanks made one for the comparison."""
+    w = tokenizer.chunk_tokens(t.documents, tokenizer.PatternTokens(), 50, 10)
+    return w.withColumn("content", F.regexp_replace("content", r"\s+", " "))
+
+
+@query("u2_token_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS tokens FROM documents")
+def _(t: Tables) -> DataFrame:
+    return tokenizer.token_counts(t.documents, tokenizer.PatternTokens()).select("doc_id", "tokens")
+
+
 @query("c2_separator_windows", """
 p AS (SELECT doc_id, i AS p, regexp_extract_all(string_split(text, chr(10))[i], '\\S+') AS w FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 c AS (SELECT doc_id, p, s, w[s + 1 : s + 30] AS x FROM (SELECT doc_id, p, w, unnest(range(0, len(w), 25)) AS s FROM p))
