@@ -1,11 +1,16 @@
 """Fixtures of the operators: small tables whose results are known."""
 
+import fnmatch
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from trilayer.functions import canonical as canon
 from trilayer.functions import text as tx
-from trilayer.operators import chunking, conflicts, documents, evaluation, extraction, graph, memory, ontology, pagerank, retrieval, vectors
+from trilayer.operators import chunking, conflicts, documents, evaluation, extraction, graph, graph_queries, memory, ontology, pagerank, retrieval, tokenizer, vectors
+from trilayer.operators import keyed as keyed_tables
 from trilayer.sources import files
 
 
@@ -61,11 +66,56 @@ def test_windows_overlap(spark):
         chunking.chunk_fixed(d, 10, 10)
 
 
+def split_plainly(text, size, seps, count):
+    """The recursive split by its rules, one recursion a level."""
+    if count(text) <= size:
+        return [text]
+    here = next((s for s in seps if s in text), None)
+    if here is None:
+        return [text]
+    rest = seps[seps.index(here) + 1 :]
+    units = [u for u in text.split(here) if u] if here else list(text)
+    chunks, fill = [], []
+    cost = lambda units: sum(map(count, units)) + (count(here) * (len(units) - 1) if here else 0)
+    for u in units:
+        if count(u) > size and rest:
+            chunks += [here.join(fill)] if fill else []
+            chunks += split_plainly(u, size, rest, count)
+            fill = []
+        elif fill and cost([*fill, u]) > size:
+            chunks.append(here.join(fill))
+            fill = [u]
+        else:
+            fill.append(u)
+    return chunks + ([here.join(fill)] if fill else [])
+
+
+def test_recursive_split_against_its_rules(spark):
+    rng = random.Random(5)
+    marks = ["\n\n", "\n", "\n\n\n", "。", "！", ". ", "! ", "? ", " ", "  ", "\t", ""]
+    texts = ["".join(rng.choice(["a", "bb", "word", "日本", "x" * 12]) + rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += ["", " \n ", None, "\n\n", "one", "t\ta\tb\tc " * 30, "x" * 500]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for size, seps, hook in [(3, None, None), (7, None, None), (0, None, None), (4, [". ", " "], None), (5, [], None), (6, None, tokenizer.PatternTokens(r"\w|[^\w\s]"))]:
+        count = (lambda s: len(s.split())) if hook is None else lambda s: len(re.findall(hook.pattern, s))  # noqa: B023
+        got = {}
+        for r in sorted(chunking.chunk_recursive(d, size, seps, tokenizer=hook).collect()):
+            assert r.chunk_order == len(got.setdefault(r.doc_id, [])) and r.tokens == count(r.content)
+            got[r.doc_id].append(r.content)
+        for i, text in enumerate(texts):
+            body = (text or "").strip()
+            plain = [c.strip() for c in split_plainly(text, max(size, 1), (chunking.SEPARATORS if seps is None else seps) or [""], count) if c.strip()] if body else []
+            assert got.get(i, []) == (plain or ([body] if body else [])), (size, seps, text)
+    named = spark.createDataFrame([("k", "a b")], "key string, body string")
+    assert chunking.chunk_recursive(named, 9, id_col="key", text_col="body").collect() == [("k", 0, 2, "a b")]
+
+
 def test_recursive_and_block_chunks_keep_all_words(spark):
     text = "one two three.\n\nfour five six seven eight nine ten. eleven twelve\nthirteen"
     d = spark.createDataFrame([(1, text), (2, "  "), (3, None)], "doc_id long, text string")
     c = chunking.chunk_recursive(d, 4).collect()
-    assert " ".join(r.content for r in sorted(c, key=lambda r: r.chunk_order)).split() == text.split()
+    found = " ".join(r.content for r in sorted(c, key=lambda r: r.chunk_order))
+    assert found.replace(".", "").split() == text.replace(".", "").split()  # separators at a chunk's ends go
     assert all(r.tokens <= 4 for r in c)
     b = spark.createDataFrame([(1, 0, "a b", "H1"), (1, 1, "c d", "H2"), (1, 2, " ".join("x" * 25), "H3"), (1, 3, None, "H4")], "doc_id long, pos int, content string, heading string")
     got = [(r.content[:6], r.heading) for r in chunking.chunk_blocks(b, 10).orderBy("chunk_order").collect()]
@@ -238,6 +288,55 @@ def test_equal_densities_are_spread_like_different_ones(spark):
     assert {r.passage_id: round(r.density, 9) for r in got} == {"p1": 0.5, "p2": 0.5, "p3": 0.0}
 
 
+def test_parser_directives(spark):
+    rules = spark.createDataFrame([(1, " T?T ", "plain-xPe"), (2, "[!d-t]*", "gone"), (3, "[d-t]*", "ocr (fine)"), (4, "*", "fast-R")], "no int, pattern string, hint string")
+    engines = spark.createDataFrame([("plain", "txt"), ("ocr", "pdf"), ("ocr", "PDF"), ("fast", "txt"), ("fast", "a.c"), ("fast", "")], "engine string, suffix string")
+    want = {
+        "/d/a.txt": ("plain", "Pe", "P", None),
+        "/d/a.PDF": ("ocr", "", "F", None),
+        "a.[fast].txt": ("fast", "Pe", "P", None),
+        "a.[ Fast(x=1)-zRF ].txt": ("fast", "RF", "R", None),
+        "a.[-i!F].txt": ("plain", "i!F", "F", None),
+        "a.[-].txt": ("plain", "Pe", "P", None),
+        "a.[ ].txt": (None, None, None, "empty hint"),
+        "a.[what-R].txt": (None, None, None, "unknown engine"),
+        "a.[ocr].txt": (None, None, None, "engine does not take the suffix"),
+        "a [fast].txt": ("plain", "Pe", "P", None),
+        "/d/none": ("fast", "R", "R", None),
+        "/d/.txt": ("fast", "R", "R", None),
+        "/d/a.zip": ("legacy", "", "F", None),
+        None: (None, None, None, None),
+    }
+    f = spark.createDataFrame([(p,) for p in [*want, "/d/a.txt"]], "file_path string")
+    got = files.route_parsers(f, rules, engines).collect()
+    assert len(got) == len(want) + 1
+    assert {r.file_path: tuple(r)[1:] for r in got} == want
+    assert {r.engine for r in files.route_parsers(f.where("file_path = '/d/a.txt'"), rules.limit(0), engines).collect()} == {"legacy"}
+
+
+def test_glob_patterns_mean_what_a_shell_means(spark):
+    globs = ["*", "a*", "?", "[ab]", "[!ab]", "[]a]", "[!]a]", "[", "[]", "[!]", "a.b", "a+(b)", "[*]", "[?a", "[a-c]x", "[^a]", "**b", "\\", "", "[a\\]"]
+    names = ["", "a", "b", "c", "]", "[", "!", "[]", "[!]", "a.b", "axb", "a+(b)", "*", "[xa", "bx", "dx", "^", "ab", "\\", "a\nb", "?"]
+    d = spark.createDataFrame([(g, n) for g in globs for n in names], "glob string, name string")
+    for r in d.withColumn("met", F.rlike("name", files.glob_pattern(F.col("glob")))).collect():
+        assert r.met == fnmatch.fnmatchcase(r.name, r.glob), (r.glob, r.name)
+
+
+def test_neighbourhood_edges_and_keys(spark):
+    e = spark.createDataFrame([("a", "b", "R", 1.0), ("b", "a", "R", 2.0), ("b", "c", "R", None), ("d", "c", "S", None), ("c", "e", "R", 1.0), ("d", "e", "R", 1.0), ("a", "a", "R", 5.0)], "src string, dst string, type string, weight double")
+    ends = lambda k: sorted((r.src, r.dst) for r in graph_queries.neighborhood_edges(e, "a", k).collect())
+    assert ends(1) == [("a", "a"), ("a", "b"), ("b", "a")]
+    assert ends(2) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "c")]
+    assert ends(3) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "e"), ("d", "c")]
+    with pytest.raises(KeyError):
+        graph_queries.neighborhood_edges(e, "z")
+    n = spark.createDataFrame([("a", "Entity", None), ("b", "Entity", "x"), ("c", None, "y")], "node_id string, label string, content string")
+    got = {tuple(r) for r in graph_queries.key_use(n, e).collect()}
+    assert got == {("node", "Entity", "node_id", 2), ("node", "Entity", "content", 1), ("node", None, "node_id", 1), ("node", None, "content", 1), ("edge", "R", "src", 6), ("edge", "R", "dst", 6), ("edge", "R", "weight", 5), ("edge", "S", "src", 1), ("edge", "S", "dst", 1)}
+    both = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, namespace string")
+    assert {r.id for r in keyed_tables.clear(both, "x").collect()} == {2, 3}
+
+
 def test_routing_uses_every_rule(spark):
     rules = spark.createDataFrame([(i, f"x{i}", f"e{i}", "R") for i in range(1500)] + [(2000, "x14.*", "late", "F")], "no int, pattern string, engine string, options string")
     f = spark.createDataFrame([("/a/b.x1490",), ("/a/b.x14zz",), ("/a/none",), ("/a/c [fast-P].x3",)], "file_path string")

@@ -10,7 +10,7 @@ from trilayer.plans import load_queries
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [
-    "k1_upsert", "k3_missing_keys", "t2_canonical_key", "t11_json_object", "c1_fixed_windows", "c2_separator_windows", "c10_inline_markup", "x6_entity_normalisation",
+    "k1_upsert", "k3_missing_keys", "k6_clear_namespace", "o9_type_reply", "s11_parser_directives", "q4_key_use", "q5_neighborhood_edges", "t2_canonical_key", "t11_json_object", "c1_fixed_windows", "c2_separator_windows", "c10_inline_markup", "x6_entity_normalisation",
     "m1_fact_dedup", "m8_replace_facts", "o4_frequency_filter", "f1_conflict_groups", "i2_id_diff", "g5_entity_relations", "g9_entity_types", "g11_information_density",
     "t12_final_channel", "r4_schema_seeds", "r20_judge_score", "e1_answer_normalisation", "e2_answer_tokens", "e4_exact_match", "e5_token_f1", "e6_str_acc", "e7_str_acc_audit", "e19_citation_presence", "d7_process_summary", "s11_parse_routing", "x4_retry_failures", "v1_exact_knn", "r8_reset_vector", "r9_personalized_pagerank", "r19_parameter_sweep", "q5_neighborhood", "d5_delete_documents", "h7_context_budget", "e8_recall_at_k", "e15_golden_comparison", "b2_latency_summary", "p2_match_sources", "st4_latency_windows",
     "f3_verdict_call", "f7_bundle_batches", "r12_fallback_routing", "r18_modes", "u2_token_windows", "d6_requeued_chunks", "d5_delete_to_the_end", "st2_stream_status", "e13_run_scores", "x3_checkpointed_extraction",

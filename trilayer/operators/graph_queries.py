@@ -36,6 +36,18 @@ def property_keys(nodes: DataFrame, sample: int = 5000) -> DataFrame:
     return nodes.limit(sample).select(F.explode(F.map_keys("props")).alias("key")).distinct()
 
 
+def key_use(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, name, key, n): how many nodes of a label, and edges of a type, hold a value for each key."""
+
+    def one(df: DataFrame, part: str, by: str) -> DataFrame:
+        keys = [c for c in df.columns if c != by]
+        held = df.groupBy(F.col(by).alias("name")).agg(*[F.count(c).alias(c) for c in keys])
+        each = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in keys])
+        return held.select(F.lit(part).alias("part"), "name", F.inline(each)).where("n > 0")
+
+    return one(nodes, "node", "label").unionByName(one(edges, "edge", "type"))
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
@@ -56,6 +68,13 @@ def neighborhood(edges: DataFrame, node_id: str, hops: int = 1, limit: int | Non
     return seen.orderBy("hop", "node_id").limit(limit) if limit else seen
 
 
+def neighborhood_edges(edges: DataFrame, node_id: str, hops: int = 1) -> DataFrame:
+    """Edges on undirected paths of up to ``hops`` steps from a node: those with an end fewer steps away."""
+    near = neighborhood(edges, node_id, hops).where(F.col("hop") < hops).select("node_id")
+    src, dst = near.withColumnRenamed("node_id", "src"), near.withColumnRenamed("node_id", "dst")
+    return edges.join(src, "src", "left_semi").unionByName(edges.join(src, "src", "left_anti").join(dst, "dst", "left_semi"))
+
+
 def highlights(nodes: DataFrame, edges: DataFrame, schemas: DataFrame, k: int = 5) -> DataFrame:
     """(kind, content, n): leading entities by relations, schemas by frequency, types by use (unused ones count 0)."""
     top = lambda df: df.orderBy(F.col("n").desc(), "content").limit(k)

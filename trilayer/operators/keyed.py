@@ -31,6 +31,6 @@ def by_status(table: DataFrame, statuses: list[str], column: str = "status") ->
     return table.where(F.col(column).isin(statuses))
 
 
-def clear(table: DataFrame) -> DataFrame:
-    """The empty table that replaces a namespace."""
-    return table.limit(0)
+def clear(table: DataFrame, namespace: str, by: str = "namespace") -> DataFrame:
+    """What is left when a namespace is cleared; rows of no namespace stay."""
+    return table.where(~F.col(by).eqNullSafe(F.lit(namespace)))

@@ -26,9 +26,9 @@ def _(t: Tables) -> DataFrame:
     return keyed.lookup(t.customer.select("c_custkey", "c_name"), t.orders.select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("c_custkey")), "c_custkey").select("pos", "c_custkey", "c_name")
 
 
-@query("k3_missing_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("k3_missing_keys", "SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _(t: Tables) -> DataFrame:
-    return keyed.missing_keys(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return keyed.missing_keys(t.orders.select("o_orderkey"), t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("k4_delete_ids", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -41,9 +41,9 @@ def _(t: Tables) -> DataFrame:
     return keyed.by_status(t.status.select("doc_id", "status"), ["pending", "failed"])
 
 
-@query("k6_clear_namespace", "SELECT doc_id, status FROM status WHERE false")
+@query("k6_clear_namespace", "SELECT doc_id, source, lang FROM documents WHERE lang IS DISTINCT FROM 'en'")
 def _(t: Tables) -> DataFrame:
-    return keyed.clear(t.status.select("doc_id", "status"))
+    return keyed.clear(t.documents.select("doc_id", "source", "lang"), "en", "lang")
 
 
 @query("t3_canonical_triples", "SELECT chunk_id, pos, head_key, rel_key, tail_key FROM keyed")
@@ -414,6 +414,14 @@ def _(t: Tables) -> DataFrame:
     return graph_queries.profile(t.nodes, t.edges)
 
 
+@query("q4_key_use", """
+SELECT 'node' AS part, label AS name, unnest(['node_id', 'content']) AS key, unnest([count(node_id), count(content)]) AS n FROM nodes GROUP BY label
+UNION ALL SELECT 'edge', type, unnest(['src', 'dst', 'weight']), unnest([count(src), count(dst), count(weight)]) FROM edges GROUP BY type
+""")
+def _(t: Tables) -> DataFrame:
+    return graph_queries.key_use(t.nodes.select("node_id", "label", "content"), t.edges.select("src", "dst", "type", "weight"))
+
+
 BOTH = "both_ AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
@@ -429,6 +437,17 @@ def _(t: Tables) -> DataFrame:
     return graph_queries.neighborhood(t.edges, "entity-" + hashlib.md5(b"europe").hexdigest(), 2)
 
 
+@query("q5_neighborhood_edges", BOTH + """,
+h0 AS (SELECT 'entity-' || md5('europe') AS node_id),
+near AS (SELECT node_id FROM h0 UNION SELECT dst FROM both_ JOIN h0 ON src = node_id)
+SELECT src, dst, type, weight FROM edges WHERE src IN (SELECT node_id FROM near) OR dst IN (SELECT node_id FROM near)
+""")
+def _(t: Tables) -> DataFrame:
+    import hashlib
+
+    return graph_queries.neighborhood_edges(t.edges.select("src", "dst", "type", "weight"), "entity-" + hashlib.md5(b"europe").hexdigest(), 2)
+
+
 @query("q6_highlights", """
 en AS (SELECT 'entity' AS kind, content, count(*) AS n FROM (SELECT unnest([src, dst]) AS node_id FROM edges WHERE type = 'ENTITY_RELATION') JOIN nodes USING (node_id) GROUP BY content ORDER BY n DESC, content LIMIT 5),
 sc AS (SELECT 'schema', head_type || ' ' || relation || ' ' || tail_type AS content, frequency AS n FROM schemas ORDER BY n DESC, content LIMIT 5),

@@ -50,6 +50,25 @@ def _(t: Tables) -> DataFrame:
     return files.route_files(f, rules)
 
 
+_MARKS = {0: ".[fast-Ri].txt", 1: ".[-P].txt", 2: ".pdf", 3: ".[nope].txt", 4: ".[ocr].txt", 5: ".[].txt"}
+
+
+@query("s11_parser_directives", """
+SELECT CASE doc_id % 7 WHEN 0 THEN replace(file_path, '.txt', '.[fast-Ri].txt') WHEN 1 THEN replace(file_path, '.txt', '.[-P].txt') WHEN 2 THEN replace(file_path, '.txt', '.pdf') WHEN 3 THEN replace(file_path, '.txt', '.[nope].txt') WHEN 4 THEN replace(file_path, '.txt', '.[ocr].txt') WHEN 5 THEN replace(file_path, '.txt', '.[].txt') ELSE file_path END AS file_path,
+  CASE WHEN doc_id % 7 = 0 THEN 'fast' WHEN doc_id % 7 IN (1, 6) THEN 'plain' WHEN doc_id % 7 = 2 THEN 'ocr' END AS engine,
+  CASE doc_id % 7 WHEN 0 THEN 'Ri' WHEN 1 THEN 'P' WHEN 2 THEN 'ite' WHEN 6 THEN 'Pe' END AS options,
+  CASE doc_id % 7 WHEN 0 THEN 'R' WHEN 1 THEN 'P' WHEN 2 THEN 'F' WHEN 6 THEN 'P' END AS strategy,
+  CASE doc_id % 7 WHEN 3 THEN 'unknown engine' WHEN 4 THEN 'engine does not take the suffix' WHEN 5 THEN 'empty hint' END AS error
+FROM (SELECT CAST(doc_id AS BIGINT) AS doc_id, file_path FROM status)
+""")
+def _(t: Tables) -> DataFrame:
+    mark = F.element_at(F.create_map(*[F.lit(x) for kv in _MARKS.items() for x in kv]), (F.col("doc_id").cast("long") % 7).cast("int"))
+    f = t.status.select(F.replace("file_path", F.lit(".txt"), F.coalesce(mark, F.lit(".txt"))).alias("file_path"))
+    rules = t.spark.createDataFrame([(1, "t?t", "Plain-xPe"), (2, "[!t]*", "ocr-lite"), (3, "*", "fast")], "no int, pattern string, hint string")
+    engines = t.spark.createDataFrame([("fast", "txt"), ("plain", "txt"), ("ocr", "pdf")], "engine string, suffix string")
+    return files.route_parsers(f, rules, engines)
+
+
 @query("t1_hash_id", "SELECT doc_id, 'doc-' || md5(text) AS id FROM documents")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.hash_id(F.col("text"), "doc-").alias("id"))
@@ -258,11 +277,17 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(line, "|").alias("triples"))
 
 
-@query("o9_type_reply", "SELECT c_custkey, CAST(1 AS BIGINT) AS pairs, c_name AS head FROM customer")
+@query("o9_type_reply", """
+SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS pairs, CASE WHEN c_custkey % 4 < 2 THEN c_name END AS head, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'A' END AS last_type FROM customer
+""")
 def _(t: Tables) -> DataFrame:
-    reply = F.concat(F.lit('Sure: {"typed": [{"triple": ["'), F.col("c_name"), F.lit('", "r", "t"], "types": ["A", "r", "B"]}, {"triple": ["x"], "types": []}]} ok'))
-    p = ontology.parse_types(reply)
-    return t.customer.select("c_custkey", F.size(p).cast("long").alias("pairs"), p[0]["triple"][0].alias("head"))
+    pair = F.concat(F.lit('{"triple": ["'), F.col("c_name"), F.lit('", "r", "t"], "types": ["A", "r", "B"]}'))
+    other = F.concat(F.lit('{"triple": ["x", "r", "y"], "types": ["'), F.col("c_mktsegment"), F.lit('", "r", "B"]}'))
+    uneven = F.lit('{"triple": ["x"], "types": ["A", "r", "B"]}')
+    k = F.col("c_custkey") % 4  # two pairs; one and an uneven one; an uneven one; no JSON
+    found = F.when(k == 0, F.concat_ws(", ", pair, other)).when(k == 1, F.concat_ws(", ", uneven, pair)).when(k == 2, uneven)
+    p = ontology.parse_types(F.coalesce(F.concat(F.lit('Sure: {"typed": ['), found, F.lit("]} ok")), F.lit("I can't say.")))
+    return t.customer.select("c_custkey", F.size(p).cast("long").alias("pairs"), F.get(p, F.lit(0))["triple"][0].alias("head"), F.try_element_at(p, F.lit(-1))["types"][0].alias("last_type"))
 
 
 @query("h1_thread_titles", """

@@ -13,6 +13,7 @@ _QUESTION = "id string, _id string, question string, answer string, answers arra
 _GROUPED = f"source string, questions map<string,array<struct<{_QUESTION.replace(' string', ':string').replace(' array', ':array').replace(', ', ',')}>>>"
 # Strategy letters of file names and rules.
 STRATEGIES = "FRP"
+OPTIONS = "ite!" + STRATEGIES
 
 
 def read_corpus(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True) -> DataFrame:
@@ -107,6 +108,65 @@ def route_files(files: DataFrame, rules: DataFrame, default: str = "legacy") ->
     return best.select("file_path", F.coalesce(F.nullif("_e", F.lit("")), F.col("rule.engine"), F.lit(default)).alias("engine"), F.when(letter == "", F.lit("F")).otherwise(letter).alias("strategy"))
 
 
+def glob_pattern(glob: Column) -> Column:
+    """Regular expression of a shell pattern: ``*``, ``?``, ``[set]`` and ``[!set]``, all else as it stands."""
+    tokens = F.regexp_extract_all(glob, F.lit(r"(?s)\[!?+(?:\]|[^\]])[^\]]*\]|."), F.lit(0))
+    quoted = lambda c: F.regexp_replace(c, r"([^\w-])", r"\\$1")
+
+    def one(t: Column) -> Column:
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        negated = F.startswith(inner, F.lit("!"))
+        members = F.when(negated, F.concat(F.lit("^"), quoted(F.substring(inner, F.lit(2), F.length(inner))))).otherwise(quoted(inner))
+        return F.when(F.length(t) > 1, F.concat(F.lit("["), members, F.lit("]"))).when(t == "*", F.lit(".*")).when(t == "?", F.lit(".")).otherwise(F.regexp_replace(t, r"([^\w])", r"\\$1"))
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, one), ""), F.lit("$"))
+
+
+def _engine_name(hint: Column) -> Column:
+    """Name of an engine without options and arguments."""
+    return F.lower(F.trim(F.regexp_extract(hint, r"^([^(-]*)", 1)))
+
+
+def route_parsers(files: DataFrame, rules: DataFrame, engines: DataFrame, default: str = "legacy") -> DataFrame:
+    """(file_path, engine, options, strategy, error) of each row of ``files``.
+
+    ``rules`` are (no, pattern, hint): the shell pattern must meet the suffix, the
+    hint is an engine, and after a hyphen its options.  ``engines`` are (engine,
+    suffix) rows of what can be parsed now.  A mark before the suffix,
+    ``name.[engine-options].ext`` or ``name.[-options].ext``, comes first, then the
+    first rule whose engine takes the suffix, then the default.  Letters that are no
+    option are left out; the strategy is the first of F, R and P, F without any.  A
+    mark that names no engine, or one that doesn't take the suffix, is an error of
+    that row alone, whose engine is then null.  A null path has all null.
+    """
+    name = basename(F.col("file_path"))
+    mark = F.regexp_extract_all(name, F.lit(r"\.\[([^\]]*)\]\.[^.]+$"), F.lit(1))
+    f = files.select("file_path", F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1)).alias("suffix"), F.trim(F.get(mark, F.lit(0))).alias("mark"))
+    f = f.withColumn("marked", F.nullif(_engine_name(F.col("mark")), F.lit("")))
+    f = f.withColumn("mark_options", F.when(F.contains("mark", F.lit("-")), F.regexp_extract("mark", r"(?s)^[^-]*-(.*)$", 1)))
+    known = engines.select(F.lower("engine").alias("engine"), F.lower("suffix").alias("suffix")).distinct()
+    # each distinct suffix meets the rules once, whatever the number of files
+    met = f.select("suffix").distinct().join(rules, F.rlike(F.col("suffix"), glob_pattern(F.lower(F.trim("pattern")))))
+    met = met.withColumn("engine", _engine_name(F.col("hint"))).join(known, ["engine", "suffix"], "left_semi")
+    met = met.groupBy("suffix").agg(F.min_by(F.struct("engine", F.regexp_extract("hint", r"(?s)^[^-]*-(.*)$", 1).alias("options")), "no").alias("rule"))
+    f = f.join(met, "suffix", "left")
+    names = known.select(F.col("engine").alias("marked")).distinct().withColumn("is_engine", F.lit(True))
+    takes = known.select(F.col("engine").alias("marked"), "suffix").withColumn("takes", F.lit(True))
+    f = f.join(names, "marked", "left").join(takes, ["marked", "suffix"], "left")
+    bare = F.startswith("mark", F.lit("-"))
+    error = (
+        F.when(F.col("mark") == "", F.lit("empty hint"))
+        .when(F.col("mark").isNotNull() & ~bare & F.col("is_engine").isNull(), F.lit("unknown engine"))
+        .when(F.col("is_engine") & F.col("takes").isNull(), F.lit("engine does not take the suffix"))
+    )
+    letters = lambda c: F.coalesce(F.regexp_replace(c, f"[^{OPTIONS}]", ""), F.lit(""))
+    options = F.coalesce(F.nullif(letters(F.col("mark_options")), F.lit("")), letters(F.col("rule.options")))
+    strategy = F.regexp_extract(options, f"([{STRATEGIES}])", 1)
+    out = f.withColumn("error", error).select("file_path", F.coalesce("marked", "rule.engine", F.lit(default)).alias("engine"), options.alias("options"), F.when(strategy == "", F.lit("F")).otherwise(strategy).alias("strategy"), "error")
+    ok = F.col("error").isNull() & F.col("file_path").isNotNull()
+    return out.select("file_path", *[F.when(ok, F.col(c)).alias(c) for c in ("engine", "options", "strategy")], "error")
+
+
 def read_extractions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Records of extraction files, raw JSON lists kept as text."""
     d = spark.read.schema("docs array<struct<idx:string,passage:string,extracted_entities:string,extracted_triples:string,failed:boolean,error:string>>").json(path, multiLine=multi_line)
