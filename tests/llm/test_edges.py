@@ -143,7 +143,8 @@ def test_line_dedup(spark, docs, none):
     assert [r.text for r in rows if r.doc_id == 4] == [None] and [r.n_lines for r in rows if r.doc_id == 4] == [0]
     assert line_dedup.dedup(none).count() == 0
     two = spark.createDataFrame([(1, "a line of words that repeats\nshort\nshort"), (2, "own\na line of words that repeat"), (3, "a line of words that repeats")], "doc_id long, text string")
-    assert {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(two).collect()} == {1: ("a line of words that repeats\nshort\nshort", 0, 0), 2: ("own", 0, 1), 3: ("", 1, 0)}
+    assert {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(two, short=False).collect()} == {1: ("a line of words that repeats\nshort\nshort", 0, 0), 2: ("own", 0, 1), 3: ("", 1, 0)}
+    assert {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(two).collect()} == {1: ("a line of words that repeats\nshort", 1, 0), 2: ("own", 0, 1), 3: ("", 1, 0)}
 
 
 def test_decontamination(spark, docs, none):
@@ -438,6 +439,26 @@ def test_conversations_are_told_apart_whatever_their_characters(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1), 6: (2, 1)}
 
 
+def test_license_templates_in_blocks_are_found_as_in_one(spark):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(80)]
+    templates = [(f"t{k}", " ".join(rng.sample(vocabulary, rng.randint(2, 30)))) for k in range(60)] + [("none", "--")]
+    texts = [None, "", "under the MIT license"]
+    for k in range(120):
+        words = [w for _ in range(rng.randint(0, 3)) for w in templates[rng.randrange(60)][1].split()] + rng.choices(vocabulary, k=20)
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _found0_ string, extra int")
+    one = license_join.scan(df, templates=templates).orderBy("doc_id")
+    rows = one.collect()
+    assert sum(len(r.matches) for r in rows) > 20 and sum(len(r.spans) for r in rows) > 20 and rows[2].places
+    for chars in (400, 5000):
+        cut = license_join.scan(df, templates=templates, template_chars=chars).orderBy("doc_id")
+        assert cut.columns == one.columns
+        assert [sorted(map(str, [r.doc_id, r.n_words, r._found0_, r.extra, r.places, sorted(r.matches), sorted(r.spans)])) for r in cut.collect()] == [sorted(map(str, [r.doc_id, r.n_words, r._found0_, r.extra, r.places, sorted(r.matches), sorted(r.spans)])) for r in rows]
+
+
 def test_license_scan_without_templates(spark, docs):
     for templates, phrases in (([], {}), ([("empty", " .")], {}), ([], {"same text": "x"})):
         rows = license_join.scan(docs, templates=templates, phrases=phrases).collect()

@@ -10,12 +10,14 @@ hold them.  A block qualifies only if it holds a token of the template's prefix
 its first shared token on (positional filter); the rest is verified exactly.
 Templates are found from their prefixes' tokens by an inverted index, so a block
 meets only those it shares a rare token with, however many there are.
-Both passes stream over whole texts; only the templates, a table whose size is
-checked, and one count per template token travel to the tasks.
+Both passes stream over whole texts; only blocks of templates of at most
+``TEMPLATE_CHARS`` characters, and one count per template token, travel to the
+tasks.  More blocks follow each other on the same rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,7 +46,7 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-#: Characters of template text that may travel to every task.
+#: Characters of template text that one step holds in a task; more templates take further steps.
 TEMPLATE_CHARS = 1_000_000
 
 
@@ -52,8 +54,6 @@ class Templates:
     """Templates and phrases over one sorted vocabulary of word hashes."""
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], threshold: float):
-        if sum(len(t) for _, t in templates) > TEMPLATE_CHARS:
-            raise ValueError("too many templates for one pass: join them in several tables")
         sets = [(label, sorted(set(text_word_hashes(t).tolist()))) for label, t in templates]
         self.length = [n for n in (len(text_word_hashes(t)) for _, t in templates) if n]
         self.phrases = [(label, text_word_hashes(p)) for p, label in phrases.items()]
@@ -200,7 +200,19 @@ _MATCH = pa.struct([("label", pa.string()), ("block", pa.int64()), ("containment
 _SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], tp: Templates, text: str) -> Iterator[pa.RecordBatch]:
+def _template_blocks(templates: list[tuple[str, str]], most: int) -> list[list[tuple[str, str]]]:
+    """Consecutive templates of at most ``most`` characters together; a longer one is alone, none at all are one empty block."""
+    out, size = [[]], 0
+    for label, text in templates:
+        if out[-1] and size + len(text) > most:
+            out.append([])
+            size = 0
+        out[-1].append((label, text))
+        size += len(text)
+    return out
+
+
+def _scan(batches: Iterator[pa.RecordBatch], tp: Templates, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         count, places, matches, spans = np.zeros(n, np.int64), *([[] for _ in range(n)] for _ in range(3))
@@ -234,10 +246,10 @@ def _scan(batches: Iterator[pa.RecordBatch], tp: Templates, text: str) -> Iterat
             pa.array([[{"label": b, "block": a, "containment": c} for a, b, c in sorted(m)] for m in matches], pa.list_(_MATCH)),
             pa.array([[{"label": c, "first": a, "last": b, "containment": d} for a, b, c, d in sorted(m)] for m in spans], pa.list_(_SPAN)),
         ]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "n_words", "places", "matches", "spans"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
 
-def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, template_chars: int = TEMPLATE_CHARS) -> DataFrame:
     """``docs`` with license phrases and template matches of each row.
 
     Adds n_words (long), places (array of label and word: where a phrase's words
@@ -248,15 +260,30 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
     Words are runs of letters and digits, A-Z lower-cased.
 
     Null or empty text: no words, nothing found.  Templates without words, and
-    none at all, match nothing.  Repeated rows and null ids: each row has its own result.  A block
+    none at all, match nothing.  Templates of more than ``template_chars``
+    characters together are joined in blocks, one step after the other on the same
+    rows, with equal results.  Repeated rows and null ids: each row has its own result.  A block
     that meets several templates, and ties between blocks, are all reported.
     Empty table: no rows.  All columns pass through; the four added names must
     not be taken.
     """
     if clash := {"n_words", "places", "matches", "spans"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
-    tp = Templates(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, threshold)
-    counts = docs.select(text_col).mapInArrow(lambda it: _count(it, tp), "token long, blocks long").groupBy("token").agg(F.sum("blocks").alias("blocks"))
-    tp.order({r["token"]: r["blocks"] for r in counts.collect()})  # one row per template word at most
-    added = T._parse_datatype_string("n_words long, places array<struct<label:string,word:long>>, matches array<struct<label:string,block:long,containment:double>>, spans array<struct<label:string,first:long,last:long,containment:double>>")
-    return docs.mapInArrow(lambda it: _scan(it, tp, text_col), T.StructType(docs.schema.fields + added.fields))
+    blocks = _template_blocks(TEMPLATES if templates is None else templates, template_chars)
+    found = ("places", "matches", "spans")
+    added = T._parse_datatype_string("n_words long, places array<struct<label:string,word:long>>, matches array<struct<label:string,block:long,containment:double>>, spans array<struct<label:string,first:long,last:long,containment:double>>").fields
+    taken = {c.lower() for c in docs.columns}
+    stem = next(s for k in itertools.count() if not any(c.startswith(s := f"_found{k}_") for c in taken))
+    out, names = docs, []
+    for k, block in enumerate(blocks):
+        tp = Templates(block, (PHRASES if phrases is None else phrases) if k == 0 else {}, threshold)
+        counts = docs.select(text_col).mapInArrow(lambda it, tp=tp: _count(it, tp), "token long, blocks long").groupBy("token").agg(F.sum("blocks").alias("blocks"))
+        tp.order({r["token"]: r["blocks"] for r in counts.collect()})  # one row per template word at most
+        new = [T.StructField(f"{stem}{k}_{f.name}" if len(blocks) > 1 else f.name, f.dataType) for f in added]
+        schema = T.StructType(out.schema.fields + new)
+        out = out.mapInArrow(lambda it, tp=tp, schema=schema: _scan(it, tp, text_col, schema.names), schema)
+        names.append([f.name for f in new])
+    if len(blocks) == 1:
+        return out
+    joined = [F.array_sort(F.concat(*[F.col(n[j]) for n in names])).alias(c) for j, c in enumerate(found, 1)]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(names[0][0]).alias("n_words"), *joined)

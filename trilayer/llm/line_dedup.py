@@ -309,7 +309,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return links.select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = True) -> DataFrame:
     """(doc, exact, near): numbers of the lines that go from each document that loses any."""
     occ = _read(docs, id_col, text_col, least, edits, short)
     first = _first(occ)
@@ -330,13 +330,13 @@ def short_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return n.agg(total(F.col("n")).alias("n_lines"), total(F.col("n") - 1).alias("n_repeats"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = True) -> DataFrame:
     """``docs`` without repeated lines, with n_lines, n_exact and n_near.
 
     Lines of ``least`` characters or more (blanks at the ends aside) are looked
-    at; shorter ones stay, and ``short_repeats`` counts the repeats among them.
-    With ``short``, shorter lines that hold a letter or digit are looked at too,
-    for exact repeats alone.  Of equal lines the first stays, by (id, line
+    at for repeats and near copies, shorter ones that hold a letter or digit for
+    exact repeats alone; without ``short`` these stay, and ``short_repeats`` counts
+    the repeats among them.  Of equal lines the first stays, by (id, line
     number), nulls first.  A line also goes if one within ``edits`` edits of it
     first occurs earlier.  n_lines counts all lines of the text before, n_exact
     the lines that went as repeats, n_near those that went as near copies.
