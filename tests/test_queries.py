@@ -1,11 +1,13 @@
 """Registered queries against their SQL on the smallest tables, a spread of one per family."""
 
+import hashlib
 import os
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
-from trilayer.plans import load_queries
+from trilayer.plans import load_queries, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,3 +51,25 @@ def test_every_sql_has_a_query():
     queries, sql = load_queries()
     assert set(sql) <= set(queries)
     assert len(queries) > 150
+
+
+def test_group_ranking_by_members(spark, monkeypatch):
+    """The 50th and 51st group begin alike: their members decide, not their ends, and come with the rank."""
+    facts = [(f"fact-{100 * i + j:032x}", f"h{i}", f"r{i}", f"t{i}-{j}") for i in range(1, 50) for j in range(4)]
+    facts += [(f"fact-{n:032x}", h, "r", t) for n, h, t in [(0, "h", "t"), (1, "h", "t1"), (9, "h", "t9"), (2, "h2", "t"), (3, "h3", "t")]]
+    df = spark.createDataFrame(facts, "fact_id string, head_key string, rel_key string, tail_key string")
+    monkeypatch.setattr(registry, "tables", lambda *_: SimpleNamespace(mem=SimpleNamespace(facts=df)))
+    queries, sql = load_queries()
+    ours = queries["f2_group_ranking"](spark, SF).toPandas()
+    sets = [[f[0] for f in facts[4 * i : 4 * i + 4]] for i in range(49)] + [[f"fact-{n:032x}" for n in (0, 1, 9)]]
+    want = [(len(m), m[0], m[-1], hashlib.md5(",".join(m).encode()).hexdigest(), 1) for m in sets]
+    assert [tuple(r) for r in ours[["size", "first", "last", "members", "cut"]].itertuples(index=False)] == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE facts (fact_id VARCHAR, head_key VARCHAR, rel_key VARCHAR, tail_key VARCHAR)")
+    con.executemany("INSERT INTO facts VALUES (?, ?, ?, ?)", facts)
+    s = sql["f2_group_ranking"]
+    assert rows(con.execute("WITH " + s[s.index("grp AS (") :]).fetchdf()) == rows(ours)
+
+
+def test_group_ranking_matches_sql(spark, duck):
+    test_query_matches_sql(spark, duck, "f2_group_ranking")
