@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trilayer.functions.session import materialise
+
+#: Edges as one table, or as one for each kind.
+Edges = DataFrame | list[DataFrame]
+
+
+def _of_each(edges: Edges, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``ask`` of the edges; the kinds are asked one after another, and what one took of the disk is free for the next."""
+    return ask(edges) if isinstance(edges, DataFrame) else reduce(DataFrame.unionByName, [materialise(ask(e)) for e in edges])
+
 
-def subgraph(nodes: DataFrame, edges: DataFrame, label: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def subgraph(nodes: DataFrame, edges: Edges, label: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A page of nodes of one label, edges with both ends on it (four times as many at most), and whether it was cut."""
     match = nodes.where(F.lower("label") == label.lower())
     page = match.orderBy("node_id").limit(limit)
-    ends = page.select("node_id")
-    e = edges.join(ends.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ends.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    ends = page.select("node_id") if isinstance(edges, DataFrame) else materialise(page.select("node_id"))
+    e = _of_each(edges, lambda e: e.join(ends.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ends.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))
     return page, e.orderBy("src", "dst", "type").limit(4 * limit), match.agg((F.count("*") > limit).alias("truncated"))
 
 
@@ -25,10 +38,10 @@ def labels(nodes: DataFrame) -> DataFrame:
     return nodes.select("label").distinct()
 
 
-def profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def profile(nodes: DataFrame, edges: Edges) -> DataFrame:
     """(part, name, n): nodes by label and edges by type."""
     n = nodes.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "name", "n")
-    return n.unionByName(edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "name", "n"))
+    return n.unionByName(_of_each(edges, lambda e: e.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "name", "n")))
 
 
 def property_keys(nodes: DataFrame, sample: int = 5000) -> DataFrame:
@@ -75,13 +88,13 @@ def neighborhood_edges(edges: DataFrame, node_id: str, hops: int = 1) -> DataFra
     return edges.join(src, "src", "left_semi").unionByName(edges.join(src, "src", "left_anti").join(dst, "dst", "left_semi"))
 
 
-def highlights(nodes: DataFrame, edges: DataFrame, schemas: DataFrame, k: int = 5) -> DataFrame:
+def highlights(nodes: DataFrame, edges: Edges, schemas: DataFrame, k: int = 5) -> DataFrame:
     """(kind, content, n): leading entities by relations, schemas by frequency, types by use (unused ones count 0)."""
     top = lambda df: df.orderBy(F.col("n").desc(), "content").limit(k)
-    rel = edges.where("type = 'ENTITY_RELATION'").select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n"))
+    rel = _of_each(edges, lambda e: e.where("type = 'ENTITY_RELATION'").select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n")))
     ent = nodes.where("label = 'Entity'").join(rel, "node_id").select(F.lit("entity").alias("kind"), "content", "n")
     sch = schemas.select(F.lit("schema").alias("kind"), F.concat_ws(" ", "head_type", "relation", "tail_type").alias("content"), F.col("frequency").alias("n"))
-    use = edges.where("type = 'ENTITY_TO_TYPE'").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n"))
+    use = _of_each(edges, lambda e: e.where("type = 'ENTITY_TO_TYPE'").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n")))
     typ = nodes.where("label = 'Type'").join(use, "node_id", "left").select(F.lit("type").alias("kind"), "content", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return top(ent).unionByName(top(sch)).unionByName(top(typ))
 
