@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trilayer.functions.session import materialise
+from trilayer.functions.session import materialise, stored, without_leftovers
 
 EXTRACTION = "chunk_id string, passage string, entities array<string>, triples array<struct<head:string,relation:string,tail:string>>, failed boolean, error string"
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
@@ -72,21 +72,25 @@ SUB_BATCH = 64
 
 
 def cached(spark: SparkSession, cache_path: str) -> DataFrame:
-    """All committed records.  What a broken run left without its manifest isn't read."""
+    """All committed good records.  A folder without a manifest isn't read."""
     try:
         done = [r["folder"] for r in spark.read.schema("folder string").json(f"{cache_path}/manifests").collect()]  # a row a wave
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = []
-    return spark.read.schema(EXTRACTION).parquet(*[f"{cache_path}/attempts/{x}" for x in done]) if done else spark.createDataFrame([], EXTRACTION)
+    return spark.read.schema(EXTRACTION).parquet(*[f"{cache_path}/attempts/{x}" for x in done]).where("not failed") if done else spark.createDataFrame([], EXTRACTION)
 
 
 def commit(records: DataFrame, cache_path: str) -> None:
     """Write good records to an attempt folder of their own, then its manifest, which makes them count."""
     folder = uuid.uuid4().hex
     records.where("not failed").write.parquet(f"{cache_path}/attempts/{folder}")
-    records.sparkSession.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("append").json(f"{cache_path}/manifests")
+    _count_in(records.sparkSession, cache_path, folder)
+
+
+def _count_in(spark: SparkSession, cache_path: str, folder: str) -> None:
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("append").json(f"{cache_path}/manifests")
 
 
 def sub_batches(chunks: DataFrame, rows: int) -> DataFrame:
@@ -100,29 +104,44 @@ def sub_batches(chunks: DataFrame, rows: int) -> DataFrame:
     return place.select(*chunks.columns, F.floor(number / rows).alias("sub"))
 
 
+#: Sub-batches of one job, for each core.
+JOB_SUBS = 64
+#: A task's file counts when the task ends, whether or not its job does.
+TASK_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def extract(chunks: DataFrame, cache_path: str, fn: BatchFn, rows: int = SUB_BATCH, parallel: int | None = None) -> DataFrame:
     """Extract (chunk_id, content) that the cache lacks; returns the failures, which aren't cached.
 
-    ``fn`` is called with sub-batches of ``rows``.  They run in waves of
-    ``parallel`` (as many as the cluster has cores), and each wave is committed
-    before the next begins.  A run that is killed repeats at most the wave it was
-    in, one sub-batch for each core; a lost executor's sub-batch is called again.
-    Replies are checkpointed before they are split into good and failed.
+    ``fn`` is called with sub-batches of ``rows``, each a task that writes one
+    file, and a file counts from then on: the run's folder has its manifest before
+    the first.  So a run that is killed repeats the sub-batches that were under
+    way, one for each core; a lost executor's sub-batch is called again.  With
+    ``parallel`` less than the cores, that many are under way at a time.
     """
     spark = chunks.sparkSession
     todo = missing_chunks(chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"]), cached(spark, cache_path))
-    todo = materialise(sub_batches(todo, rows))
-    parallel = parallel or spark.sparkContext.defaultParallelism
+    todo = stored(sub_batches(todo, rows))  # in order of sub, so that a job reads its own part
+    cores = spark.sparkContext.defaultParallelism
+    at_once = parallel if parallel and parallel < cores else JOB_SUBS * cores
     last = todo.agg(F.max("sub")).first()[0]
-    failed = spark.createDataFrame([], EXTRACTION)
-    for first in range(0, 0 if last is None else last + 1, parallel):
-        wave = todo.where(F.col("sub").between(first, first + parallel - 1))
-        # a partition a sub-batch, whatever the hash of its number
-        wave = wave.repartitionByRange(parallel, "sub").groupBy("sub")
-        done = materialise(wave.applyInPandas(lambda b: fn(b[["chunk_id", "content"]]), EXTRACTION))
-        commit(done, cache_path)
-        failed = failed.unionByName(done.where("failed"))
-    return failed
+    if last is None:
+        return spark.createDataFrame([], EXTRACTION)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if own := [b for b in batches if len(b)]:
+            yield fn(pd.concat(own, ignore_index=True)[["chunk_id", "content"]])
+
+    name = uuid.uuid4().hex
+    folder = f"{cache_path}/attempts/{name}"
+    spark.createDataFrame([], EXTRACTION).write.parquet(folder)
+    _count_in(spark, cache_path, name)
+    for first in range(0, last + 1, at_once):
+        n = min(at_once, last + 1 - first)
+        job = todo.where(F.col("sub").between(first, first + n - 1)).repartitionById(n, (F.col("sub") - first).cast("int"))
+        with without_leftovers(spark):
+            job.mapInPandas(run, EXTRACTION).write.mode("append").options(**TASK_COMMIT).parquet(folder)
+    return spark.read.schema(EXTRACTION).parquet(folder).where("failed")
 
 
 class ExtractionError(RuntimeError):
