@@ -30,7 +30,7 @@ def _(t: Tables) -> DataFrame:
 @query("s2_text_corpus", "SELECT 'notes' AS title, text FROM documents")
 def _(t: Tables) -> DataFrame:
     path = scratch(t.spark, "texts")
-    t.documents.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    files.write_texts(t.documents.select("text"), path)
     d = files.read_text_corpus(t.spark, path, "notes")
     return d.select("title", F.regexp_replace("text", r"\n$", "").alias("text"))
 
@@ -57,11 +57,11 @@ def _(t: Tables) -> DataFrame:
 @query("s9_directory_intake", "SELECT DISTINCT 'doc-' || md5(text || chr(10)) AS doc_id FROM documents WHERE doc_id % 2 = 1")
 def _(t: Tables) -> DataFrame:
     path = scratch(t.spark, "files")
-    t.documents.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    files.write_texts(t.documents.select("text"), path)
     known = t.documents.where("doc_id % 2 = 0").select(hash_id(F.concat("text", F.lit("\n")), "doc-").alias("doc_id"), F.lit("processed").alias("status"))
     odd = t.documents.where("doc_id % 2 = 1").select(hash_id(F.concat("text", F.lit("\n")), "doc-").alias("doc_id"))
     known = known.join(odd, "doc_id", "left_anti")
-    found = files.scan_dir(t.spark, path, known, exclude=["_SUCCESS"]).where(F.contains("file_path", F.lit("doc_id="))).select("doc_id").distinct()
+    found = files.scan_dir(t.spark, path, known, exclude=["_SUCCESS"]).where(F.contains("file_path", F.lit("/part-"))).select("doc_id").distinct()
     return found
 
 

@@ -23,9 +23,22 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None, multi_
     return d.orderBy("idx").limit(limit) if limit else d
 
 
+#: Tasks a core for a folder of many small files; Spark would make one of every few files.
+TASKS = 32
+
+
+def _in_few_tasks(files: DataFrame) -> DataFrame:
+    return files.coalesce(TASKS * files.sparkSession.sparkContext.defaultParallelism)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Each value of the one column as a file of its own, put in its place by the task that wrote it."""
+    texts.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def read_text_corpus(spark: SparkSession, path: str, title: str) -> DataFrame:
     """One document for each whole file."""
-    return spark.read.text(path, wholetext=True).select(F.lit(title).alias("title"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path"))
+    return _in_few_tasks(spark.read.text(path, wholetext=True).select(F.lit(title).alias("title"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
 
 
 def _examples(q: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def scan_dir(spark: SparkSession, path: str, doc_status: DataFrame, exclude: lis
 
     A document that failed may come again.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    f = _in_few_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     f = f.select(hash_id(F.col("content"), "doc-").alias("doc_id"), F.col("path").alias("file_path"), "content")
     f = f.where(~F.rlike("file_path", F.lit(r"/\.[^/]+")))
     for x in exclude or []:
