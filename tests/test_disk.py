@@ -51,3 +51,11 @@ def test_lines_without_part_or_supplier_keep_their_other_triples(spark):
     want = {r["relation"]: r["count"] for r in all_} | {"has brand": t.lineitem.where("l_partkey % 2 = 0").count()}
     del want["part of"]
     assert some == want
+
+
+def test_keys_of_ascii_labels_fold_all_whitespace(spark):
+    from trilayer.functions.canonical import _key, canonical
+
+    labels = [a + x + b for x in ["", " ", "  ", "`", *(chr(c) for c in range(1, 32))] for a in ("", " ", "Ab", "A b ") for b in ("", " ", "C d", "\n")]
+    got = canonical(spark.createDataFrame([(x,) for x in labels], "c string"), {"c": "k"}).collect()
+    assert [r.k for r in got] == [_key(r.c) for r in got]
